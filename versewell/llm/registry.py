@@ -7,9 +7,11 @@ import importlib
 #: query -> module that holds it; a module may also hold ORACLE_SQL for its query
 MODULES = {
     "op2_url_filter": "url_filter",
+    "op4_language": "language",
     "op5_chat": "chat",
     "op7_sharding": "sharding",
     "op9_bpe": "bpe",
+    "op10_secrets": "secret_scan",
 }
 
 
