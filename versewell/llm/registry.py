@@ -9,6 +9,7 @@ MODULES = {
     "op2_url_filter": "url_filter",
     "op4_language": "language",
     "op5_chat": "chat",
+    "op6_near_dup": "near_dup",
     "op7_sharding": "sharding",
     "op9_bpe": "bpe",
     "op10_secrets": "secret_scan",
