@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module that holds it; a module may also hold ORACLE_SQL for its query
 MODULES = {
+    "op1_lm_score": "lm_score",
     "op2_url_filter": "url_filter",
     "op4_language": "language",
     "op5_chat": "chat",
