@@ -12,6 +12,7 @@ MODULES = {
     "op5_chat": "chat",
     "op6_near_dup": "near_dup",
     "op7_sharding": "sharding",
+    "op8_ann": "ann",
     "op9_bpe": "bpe",
     "op10_secrets": "secret_scan",
 }
