@@ -1,11 +1,64 @@
-"""Cleaning a corpus in stages; see STAGES."""
+"""Cleaning ``documents`` for training, in five stages; each works on all that the one before it kept.
 
-ORACLE_SQL = None
-STAGES = []
+1. language ID: documents without a recognised language go (no letter, or a score under MIN_SCORE);
+2. near-duplicates: of each component at a similarity of 0.8 of five-word shingles its smallest id stays;
+3. decontamination: documents that hold a passage of ``benchmark`` go;
+4. secrets: passwords, keys and tokens in texts are masked, all documents stay;
+5. byte-level BPE: token ids of each text, with digests of the ids and of the text that they decode to.
 
+Stages 1 to 4 return the columns of ``documents``. The stages learn from what they are given: the language
+model is fitted on a bounded sample of the labelled documents of its own input.
+"""
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from versewell.llm import bpe, decontam, language, near_dup, secret_scan
+from versewell.llm.common import Scratch, table
+
+MIN_SCORE = 0.3
+ORACLE_SQL = None  # no SQL for a recurrent network, edit distances or BPE
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language.identify(docs, language.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(docs)
+    copies = found.where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN, ids=True).drop("text")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -161,26 +161,33 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out
     return df.withColumn(out, run(F.col(ids)))
 
 
-def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
-    """Per row, what it encodes to and decodes back to: n_tokens and the SHA-256 of ids and of decoded bytes."""
-    kind = "struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>"
+def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
+    """Per row, what it encodes to and decodes back to: n_tokens and the SHA-256 of ids and of decoded bytes.
+
+    ``ids``: also the ids themselves.
+    """
+    kind = f"struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' * ids}>"
+    with_ids = ids
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ByteBpe.get(held.value, pattern)
         for batch in batches:
-            n, ids_hex, text_hex = [], [], []
+            n, ids_hex, text_hex, whole = [], [], [], []
             step = max(1, int(len(batch) * slice_bytes / max(batch.nbytes, 1)))
             for at in range(0, len(batch), step):
                 for ids in bpe.encode(batch.slice(at, step).to_pylist()):
                     n.append(len(ids) // 4)
+                    if with_ids:
+                        whole.append(ids)
                     ids_hex.append(hashlib.sha256(ids).hexdigest())
                     text_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
+            if with_ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(whole), "<i4")))
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     return df.withColumn("__bpe", run(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns], "__bpe.*")
 

@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_lm_score": "lm_score",
     "op2_url_filter": "url_filter",
+    "op3_decontam": "decontam",
     "op4_language": "language",
     "op5_chat": "chat",
     "op6_near_dup": "near_dup",
