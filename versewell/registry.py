@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from versewell.operators import reports, scoring
+
+MODULES = (scoring, reports)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in MODULES for name, text in m.ORACLE.items()}
