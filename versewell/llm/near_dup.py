@@ -15,7 +15,9 @@ No group of copies is expanded into its pairs:
 
 So every pair that shares a key is either compared or already connected, and no link between components is
 lost. Before the full sets are fetched, pairs are tested by size (the smaller set must have the needed share
-of the larger) and by a sketch of 2 bits of each symbol, at six standard deviations.
+of the larger) and by a sketch of 2 bits of each symbol, at six standard deviations. In step 3 an odd sketch
+(parities of the shingles that fall into each of ODD cells; shared shingles cancel out) bounds the symmetric
+difference from below inside the join, so that groups of copies just under the threshold give no pairs.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing; rows of equal
 id count as one document; a row with a null id is its own; an empty table gives an empty result.
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from versewell.llm.common import Scratch, table
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 10, 5, 1, 12
+ODD = 1024
 SIGNATURE = CHUNKS * SYMBOLS
 SLICE_BYTES = 1 << 20
 _rng = np.random.default_rng(20)
@@ -96,11 +99,20 @@ def _sketch(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return halves[0], halves[1]
 
 
+def _odd(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each cell, as ODD / 64 words."""
+    cells = np.bincount((s * _P >> np.uint64(40)).astype("i8") % ODD, minlength=ODD)
+    return np.packbits((cells & 1).astype("u1")).view("i8")
+
+
 def fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """Add struct ``print``: size n, 128-bit hash (h1, h2) of the set, sketch (s1, s2) and keys."""
+    """Add struct ``print``: size n, 128-bit hash (h1, h2) of the set, sketch (s1, s2), odd sketch and keys."""
     import xxhash
 
-    @F.arrow_udf("struct<n int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, keys array<bigint>>")
+    words_, long = ODD // 64, pa.list_(pa.int64())
+    shape = pa.struct([("n", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "s1", "s2")], ("odd", long), ("keys", long)])
+
+    @F.arrow_udf("struct<n int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, odd array<bigint>, keys array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = []
@@ -117,8 +129,10 @@ def fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFrame:
                     keys = _keys(symbols)
                 ends = np.cumsum(np.where(n > 0, keys.shape[1], 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.ravel()))
-                parts.append(pa.StructArray.from_arrays([pa.array(n), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(s1), pa.array(s2), lists], ["n", "h1", "h2", "s1", "s2", "keys"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "s1", "s2")], ("keys", pa.list_(pa.int64()))]))
+                odd = np.concatenate([_odd(x) for x in sets])
+                odds = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * words_, pa.int32()), pa.array(odd))
+                parts.append(pa.StructArray.from_arrays([pa.array(n), *[pa.array(c) for c in (whole[:, 0], whole[:, 1], s1, s2)], odds, lists], fields=list(shape)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], shape)
 
     return df.withColumn("print", run(F.col(text)))
 
@@ -135,6 +149,14 @@ def _may_link(a: str, b: str, share: float) -> Column:
     return (differ <= most) & (small * 100 >= large * round(share * 100))
 
 
+def _odd_may_link(a: str, b: str, share: float) -> Column:
+    """Cells of odd difference are at most the symmetric difference; for large sets, six deviations over what it gives."""
+    differ = sum((F.bit_count(F.col(f"{a}o{k}").bitwiseXOR(F.col(f"{b}o{k}"))) for k in range(ODD // 64)), F.lit(0))
+    most = (F.col(a + "n") + F.col(b + "n")) * ((1 - share) / (1 + share)) + 1e-6
+    p = (1 - F.pow(F.lit(1 - 2 / ODD), most)) / 2
+    return differ <= F.least(most, ODD * p + 6 * F.sqrt(ODD * p * (1 - p)))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     percent = round(share * 100)
@@ -179,7 +201,7 @@ def near_duplicates(df: DataFrame, words: int = 5, share: float = 0.8, key: str
     prints = scratch.write(fingerprints(docs, words).select("id", "print.*"))
     linkable = prints.where("id IS NOT NULL AND n > 0")
     classes = scratch.write(
-        linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+        linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("odd").alias("odd"), F.first("keys").alias("keys"))
     )
 
     # keys of at least two documents, and whether the document may be linked with the key's first one
@@ -201,10 +223,13 @@ def near_duplicates(df: DataFrame, words: int = 5, share: float = 0.8, key: str
 
     labelled = shared.drop("centre", "near").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = scratch.write(labelled.join(several, "key", "left_semi"))
-    x = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "comp", "n", "s1", "s2")])
-    y = rest.select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "comp", "n", "s1", "s2")])
-    across = x.join(y, (x.key == y.key) & F.expr("x_comp < y_comp") & _may_link("x_", "y_", share))
+    rest = labelled.join(several, "key", "left_semi")
+    odd = classes.select("id", *[F.col("odd")[k].alias(f"o{k}") for k in range(ODD // 64)])
+    rest = scratch.write(rest.join(odd, "id"))
+    own = ("id", "comp", "n", "s1", "s2", *[f"o{k}" for k in range(ODD // 64)])
+    x = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in own])
+    y = rest.select("key", *[F.col(c).alias(f"y_{c}") for c in own])
+    across = x.join(y, (x.key == y.key) & F.expr("x_comp < y_comp") & _may_link("x_", "y_", share) & _odd_may_link("x_", "y_", share))
     pairs = across.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     more = scratch.write(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, share))
     if not more.isEmpty():
