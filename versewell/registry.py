@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from versewell.operators import reports, scoring
+from versewell.operators import frames, linking, reports, scoring
 
-MODULES = (scoring, reports)
+MODULES = (scoring, reports, linking, frames)
 
 
 def queries() -> dict:
