@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from versewell.operators import frames, linking, reports, scoring
+from versewell.operators import frames, linking, reports, scoring, texts
 
-MODULES = (scoring, reports, linking, frames)
+MODULES = (scoring, reports, linking, frames, texts)
 
 
 def queries() -> dict:
