@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from versewell.llm.common import held_out, table
 
 SAMPLE_PER_LANG, PIECE = 768, 128
-WINDOW, HIDDEN, EPOCHS, BATCH, RATE, SEED = 64, 8, 10, 192, 0.02, 7
+WINDOW, HIDDEN, STEPS, BATCH, RATE, SEED = 64, 8, 420, 192, 0.02, 7
 #: windows that run side by side
 LANES = 4096
 
@@ -122,18 +122,19 @@ class Model:
 
     def train(self, windows: np.ndarray, lang: np.ndarray) -> Model:
         """windows [n, WINDOW] of bytes; languages weigh the same whatever their share. Adam."""
-        rng, m, v, t = np.random.default_rng(SEED), {}, {}, 0
+        rng, m, v = np.random.default_rng(SEED), {}, {}
         share = np.bincount(lang, minlength=len(self.langs)).clip(1)
         weight = (len(lang) / len(self.langs) / share)[lang].astype("f4")
-        for epoch in range(EPOCHS):
-            order = rng.permutation(len(lang))
-            for at in range(0, len(order), BATCH):
-                rows, t = order[at : at + BATCH], t + 1
-                for k, g in self.step(np.ascontiguousarray(windows[rows].T), lang[rows], weight[rows]).items():
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                    v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
-                    rate = RATE * (1 - epoch / EPOCHS)
-                    self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype("f4")
+        order = rng.permutation(len(lang))
+        for t in range(1, STEPS + 1):
+            if len(order) < min(BATCH, len(lang)):
+                order = np.append(order, rng.permutation(len(lang)))
+            rows, order = order[:BATCH], order[BATCH:]
+            for k, g in self.step(np.ascontiguousarray(windows[rows].T), lang[rows], weight[rows]).items():
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * g
+                v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
+                rate = RATE * (1 - t / (STEPS + 1))
+                self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype("f4")
         return self
 
     def positions(self, text: bytes) -> np.ndarray:
