@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from versewell.operators import frames, linking, reports, scoring, texts
+from versewell.streaming import live
 
-MODULES = (scoring, reports, linking, frames, texts)
+MODULES = (scoring, reports, linking, frames, texts, live)
 
 
 def queries() -> dict:
