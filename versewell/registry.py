@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from versewell.operators import frames, linking, reports, scoring, texts
+from versewell.operators import frames, linking, reports, scoring, signals, texts
 from versewell.streaming import live
 
-MODULES = (scoring, reports, linking, frames, texts, live)
+MODULES = (scoring, reports, linking, frames, texts, signals, live)
 
 
 def queries() -> dict:
