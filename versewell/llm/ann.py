@@ -2,8 +2,8 @@
 
 Vectors are cut into pieces of two dimensions, each coded by four bits. What matters for inner products is
 the residual along the vector itself, so codes and codebooks minimise |r|^2 + (ETA - 1) (r . x)^2 / |x|^2:
-residuals parallel to the vector cost ETA times as much as orthogonal ones. Codebooks are fitted on the
-SAMPLE rows of least hash; every row is coded. Two codes share a byte, so a query's table has 256 entries
+residuals parallel to the vector cost ETA times as much as orthogonal ones. Codebooks are fitted on about
+SAMPLE rows, an even share by hash; every row is coded. Two codes share a byte, so a query's table has 256 entries
 for each four dimensions, and a scan adds up one table entry per byte.
 
 Queries (in blocks of QUERY_BLOCK) meet all coded rows (in blocks of ROW_BLOCK) in one task per pair of
@@ -124,7 +124,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
         return df.select(
             F.col(key).alias("query_id"), F.lit(0).alias("rank"), F.col(key), F.lit(0.0).alias("score")).where("false")
     rows = rows.where(F.size("v") == sizes[0].d)
-    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).toPandas()
+    share = F.pmod(F.xxhash64("id"), F.lit(-(-sizes[0].n // SAMPLE))) == 0
+    sample = rows.where(share).select("id", "v").toPandas().sort_values("id")
     book = Codebook.fit(np.stack(sample["v"].to_numpy()).astype("f8"))
     held = spark.sparkContext.broadcast(book)
 
