@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from versewell.operators import corpus, frames, linking, reports, scoring, signals, texts
+from versewell.operators import corpus, frames, linking, phonology, reports, scoring, signals, texts
 from versewell.streaming import live
 
-MODULES = (scoring, reports, linking, frames, texts, corpus, signals, live)
+MODULES = (scoring, reports, linking, frames, texts, corpus, phonology, signals, live)
 
 
 def queries() -> dict:
