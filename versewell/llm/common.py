@@ -57,14 +57,3 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
-
-def crc32_sql(text: str) -> str:
-    """DuckDB expression: CRC-32 (reflected, polynomial 0xEDB88320) of a short ASCII text."""
-    table = (
-        "(SELECT list(c ORDER BY n) FROM (WITH RECURSIVE s(n, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) "
-        "UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM s WHERE k < 8) "
-        "SELECT n, c FROM s WHERE k = 8))"
-    )
-    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
-    fold = f"list_reduce({codes}, lambda a, b: xor(a >> 8, ({table})[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)"
-    return f"xor({fold}, 4294967295::BIGINT)"

@@ -71,23 +71,27 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def _nibble(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+    return n
+
+
+# CRC-32 by half-bytes, the lower one first
+_H = "h[i + 2 - 2 * (i % 2)]"
+_CODES = f"list_transform(range(0, len(h)), lambda i: (ascii({_H}) - CASE WHEN {_H} > '9' THEN 55 ELSE 48 END)::BIGINT)"
+_FOLD = f"list_reduce({_CODES}, lambda a, b: xor(a >> 4, ({[_nibble(n) for n in range(16)]})[(xor(a, b) & 15) + 1]), 4294967295::BIGINT)"
 ORACLE_SQL = f"""
-WITH RECURSIVE crc_step(n, k, c) AS (
-  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
-  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8
-), crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_step WHERE k = 8),
-d AS (
-  SELECT doc_id, coalesce('s' || source, '') AS source, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS hx,
-         md5(concat_ws(':', doc_id::VARCHAR, '{SEED}')) AS h FROM documents
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS source, strlen(coalesce(text, '')) + 8 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h,
+         md5(concat_ws(':', doc_id::VARCHAR, '{SEED}')) AS md FROM documents
 ), crc AS (
-  SELECT *, xor(list_reduce(list_transform(range(1, size - 7), lambda i:
-             ((position(substr(hx, 2 * i - 1, 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(hx, 2 * i, 1) IN '0123456789ABCDEF') - 1)::BIGINT),
-           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
-  FROM d, crc_table
+  SELECT doc_id, source, size, md, CASE WHEN size = 8 THEN 0 ELSE xor({_FOLD}, 4294967295::BIGINT) END AS text_crc32 FROM d
 ), f AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM crc
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY md, doc_id) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM crc
 ), p AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, source, h, doc_id) - 1 AS place, count(*) OVER () AS n FROM f
+  SELECT *, row_number() OVER (ORDER BY fraction, source, md, doc_id) - 1 AS place, count(*) OVER () AS n FROM f
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {SHARDS} // n)::INT AS shard,
        (row_number() OVER (PARTITION BY place * {SHARDS} // n ORDER BY place) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
