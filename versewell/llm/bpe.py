@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versewell.llm.common import table
+from versewell.llm.common import others, table
 
 MEMO_PIECES, MEMO_CHARS = 400_000, 48
 
@@ -189,7 +189,7 @@ def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text",
                 columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(whole), "<i4")))
             yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-    return df.withColumn("__bpe", run(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns], "__bpe.*")
+    return df.withColumn("__bpe", run(F.col(text))).select(*others(df, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids), "__bpe.*")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

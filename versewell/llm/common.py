@@ -57,3 +57,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """Columns of ``df`` but those that an operator adds under ``names``: its results take their place."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]

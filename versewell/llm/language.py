@@ -10,7 +10,7 @@ training documents of least hash, from each one stretch of PIECE characters at a
 and the model (a few thousand numbers) are the only things that meet on the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is everything if no row
-can be learned from; a null lang is not learned from; extra columns are kept.
+can be learned from; a null lang is not learned from; extra columns are kept, unless they have an output's name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from versewell.llm.common import held_out, table
+from versewell.llm.common import held_out, others, table
 
 SAMPLE_PER_LANG, PIECE = 768, 128
 WINDOW, HIDDEN, STEPS, BATCH, RATE, SEED = 64, 8, 420, 192, 0.02, 7
@@ -186,7 +186,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes
     """Add ``lang_pred`` and ``score`` (mean probability of that language over all bytes of the text)."""
     und = (F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
-        return df.select(*[F.col(f"`{c}`") for c in df.columns], *und)
+        return df.select(*others(df, "lang_pred", "score"), *und)
     held = df.sparkSession.sparkContext.broadcast((model.langs, model.w))
 
     @F.arrow_udf("struct<lang_pred string, score double>")
@@ -205,7 +205,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes
     found = df.withColumn("__lang", run(F.col(text)))
     known = has_letter(F.col(text))
     return found.select(
-        *[F.col(f"`{c}`") for c in df.columns], F.when(known, F.col("__lang.lang_pred")).otherwise("und").alias("lang_pred"),
+        *others(df, "lang_pred", "score"), F.when(known, F.col("__lang.lang_pred")).otherwise("und").alias("lang_pred"),
         F.when(known, F.col("__lang.score")).otherwise(0.0).alias("score"),
     )
 

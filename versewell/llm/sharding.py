@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from versewell.llm.common import table
+from versewell.llm.common import others, table
 
 SEED, SHARDS = 42, 24
 #: hexadecimal digits of the hash that name a bucket; slices of the fractional rank
@@ -28,7 +28,7 @@ BUCKET_DIGITS, SLICES = 2, 4096
 
 def interleave(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Add ``shard`` (from 0) and ``slot`` (gapless from 0 inside each shard)."""
-    kept = df.columns
+    kept = others(df, "shard", "slot")
     shuffled = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
     rows = df.withColumn("__hash", shuffled).withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
@@ -57,7 +57,7 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str =
     rows = rows.withColumn("shard", F.expr(f"int((__ahead + __at - 1) * {shards} div __all)"))
     # the first place of shard s is the least p with p * shards div all = s
     first = F.expr(f"(shard * __all + {shards} - 1) div {shards}")
-    return rows.withColumn("slot", (place - first).cast("long")).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
+    return rows.withColumn("slot", (place - first).cast("long")).select(*kept, "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
