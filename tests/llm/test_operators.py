@@ -354,6 +354,17 @@ def test_secrets(spark, docs, duck):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secret_scan.BASE)
 
 
+def test_outputs_replace_columns_of_their_name(spark, docs):
+    clash = docs.select("*", *[F.lit("old").alias(c) for c in ("Score", "lang_pred", "n_tokens", "ids", "shard", "slot", "n_known", "bpe", "secrets", "listed")])
+    counts = lm_score.count_words(clash)
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    for out in (
+        lm_score.score(clash, counts, lm_score.train(clash, counts)), language.identify(clash, language.Model(["a"])), language.identify(clash, None), sharding.interleave(clash),
+        bpe.digests(clash, vocabulary, public_tokenizers.PATTERN, ids=True), bpe.encode(clash, vocabulary, public_tokenizers.PATTERN), secret_scan.find_secrets(clash), url_filter.mark_listed(clash, "text", F.lit(False), "listed"),
+    ):
+        assert out.count() == docs.count() and len({c.lower() for c in out.columns}) == len(out.columns)
+
+
 def test_held_out_is_the_crc(spark):
     from versewell.llm.common import held_out
 
