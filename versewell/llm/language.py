@@ -5,9 +5,9 @@ backward; at every byte both states give a distribution over the languages, and
 the mean over its bytes. Gates and states use x / (1 + |x|) in place of the logistic and tanh functions,
 which costs a third and learns the same task.
 
-Training is backpropagation through time in numpy on a bounded sample: per language the SAMPLE_PER_LANG
-training documents of least hash, from each one stretch of PIECE characters at a hashed place. The sample
-and the model (a few thousand numbers) are the only things that meet on the driver.
+Training is backpropagation through time in numpy on a bounded sample: of each language an even share of the
+training documents by hash, at most about SAMPLE_PER_LANG, and of each one a stretch of PIECE characters at a
+hashed place. The sample and the model (a few thousand numbers) are all that meets on the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is everything if no row
 can be learned from; a null lang is not learned from; extra columns are kept, unless they have an output's name.
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versewell.llm.common import held_out, others, table
@@ -170,11 +169,11 @@ def has_letter(text: Column) -> Column:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
     """Learn from labelled rows; None if there are none."""
-    at = F.xxhash64(F.col(key))
-    piece = F.col(text).substr(F.pmod(at, F.greatest(F.length(text) - PIECE, F.lit(0)) + 1).cast("int") + 1, F.lit(PIECE))
-    rows = rows.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).cast("string").alias("lang"), at.alias("at"), piece.alias("piece"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("at", "piece"))  # limited before the shuffle
-    sample = rows.withColumn("n", first).where(F.col("n") <= SAMPLE_PER_LANG).drop("n").toPandas().sort_values(["at", "lang", "piece"])
+    rows = rows.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
+    every = rows.groupBy("lang").agg(F.ceil(F.count("*") / SAMPLE_PER_LANG).alias("every"))
+    shared = rows.join(every, "lang").where(F.pmod(F.xxhash64("key"), F.col("every")) == 0)
+    place = F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
+    sample = shared.select("lang", F.col("text").substr(place, F.lit(PIECE)).alias("piece")).toPandas().sort_values(["piece", "lang"], ignore_index=True)
     if sample.empty:
         return None
     langs = sorted(set(sample["lang"]))
