@@ -1,5 +1,7 @@
 """Syllables, weights and comparison of recitations."""
 
+from pyspark.sql import functions as F
+
 from versewell.functions import phonology as P
 from versewell.operators import phonology as O
 
@@ -33,3 +35,13 @@ def test_native_weights_equal_the_helper(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = O.weigh(O.syllabify(df, "t")).collect()
     assert [r.weights for r in got] == [P.weights(P.syllables(t)) for t in texts]
+
+
+def test_writing_and_reading_back(spark):
+    for word in ("dharmakṣetre", "saṃgaḥ", "tat", "āśu", "kaumāra", "oṃkāra", "ṛṣi"):
+        deva = P.written(word)
+        assert P.phones(deva) == P.phones(word), word
+    assert P.written("dharma") == "धर्म" and P.written("kurukṣetre") == "कुरुक्षेत्रे"
+    df = spark.createDataFrame([("धर्म",)], "t string").select(O.convert_script(F.col("t"), "Deva", "Knda").alias("k"))
+    assert df.first().k == "ಧರ್ಮ"
+    assert P.phones(df.first().k) == P.phones("dharma")

@@ -62,5 +62,32 @@ def q_errors(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("kind").agg(F.count("*").alias("errors"), F.min(F.struct("conv_id", "turn", "at")).alias("first")).select("kind", "errors", "first.*")
 
 
-QUERIES = {"syllabify": q_syllabify, "compare_phonology": q_compare, "agg_error_histogram": q_errors}
+SCRIPTS = {"Deva": 0x0900, "Beng": 0x0980, "Gujr": 0x0A80, "Telu": 0x0C00, "Knda": 0x0C80}
+
+
+def convert_script(text, source: str, target: str):
+    """Text of one Indic script in another: the blocks have the same layout, so characters are shifted, natively."""
+    block = lambda name: "".join(chr(SCRIPTS[name] + k) for k in range(0x80))
+    return F.translate(text, block(source), block(target))
+
+
+def transliterate(words: DataFrame, word: str, out: str = "deva") -> DataFrame:
+    """Add the Devanagari spelling of distinct Latin words."""
+    return words.withColumn(out, F.arrow_udf(lambda x: pa.array([P.written(w.as_py() or "") for w in x], pa.string()), "string")(F.col(word)))
+
+
+def q_transliterate(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct word of the corpus once in Devanagari, with the number of its documents."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    w = V.table(spark, d, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
+    return transliterate(w, "word")
+
+
+def q_convert_script(spark: SparkSession, d: str) -> DataFrame:
+    """The same words in Kannada, and whether the way back is exact."""
+    w = q_transliterate(spark, d).withColumn("knda", convert_script(F.col("deva"), "Deva", "Knda"))
+    return w.select("word", "knda", (convert_script(F.col("knda"), "Knda", "Deva") == F.col("deva")).alias("exact"))
+
+
+QUERIES = {"transliterate": q_transliterate, "convert_script": q_convert_script, "syllabify": q_syllabify, "compare_phonology": q_compare, "agg_error_histogram": q_errors}
 ORACLE: dict[str, str] = {}
