@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from versewell.llm.common import others, table
 
-MEMO_PIECES, MEMO_CHARS = 400_000, 48
+MEMO_PIECES, MEMO_CHARS = 250_000, 48
 
 
 def byte_table() -> list[str]:
@@ -161,7 +161,7 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out
     return df.withColumn(out, run(F.col(ids)))
 
 
-def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
+def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
     """Per row, what it encodes to and decodes back to: n_tokens and the SHA-256 of ids and of decoded bytes.
 
     ``ids``: also the ids themselves.

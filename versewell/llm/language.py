@@ -181,7 +181,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return Model(langs).train(windows, np.repeat([langs.index(x) for x in sample["lang"]], counts))
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (mean probability of that language over all bytes of the text)."""
     und = (F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
