@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import table
+from versewell.llm.common import Scratch, table
 
 WINDOWS, WALKS, SAMPLES, COORDINATES, SEED = (12, 6), 3, 4, 5, 11
 SHARE, BLOCK_BYTES, SLICE_BYTES, PAIR_BITS = 0.8, 8 << 20, 1 << 20, 22
@@ -170,13 +170,13 @@ class Index:
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str):
-    """The items as broadcast lists of (id, words), each of at most about BLOCK_BYTES of text."""
+    """The items as broadcast lists of (id, words), each of at most about BLOCK_BYTES of text; how many there are."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text) + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == k).select(item_id, item_text)
         rows = sorted(mine.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield items.sparkSession.sparkContext.broadcast([(i, words_of(t)) for i, t in rows])
+        yield items.sparkSession.sparkContext.broadcast([(i, words_of(t)) for i, t in rows]), blocks
 
 
 def _sliced(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -200,15 +200,19 @@ def _is_clean(held, share: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item; all columns stay."""
-    for held in _blocks(items, item_id, item_text):
+    scratch = Scratch(docs.sparkSession)
+    for held, blocks in _blocks(items, item_id, item_text):
         docs = docs.where(_is_clean(held, share)(F.col(text)))
+        if blocks > 1:  # one block at a time on the driver and in the tasks
+            docs = scratch.write(docs)
+            held.destroy()
     return docs
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``key``, ``item_id``, item_words, edits): every item that a document holds up to the allowed edits."""
-    parts = []
-    for held in _blocks(items, item_id, item_text):
+    parts, scratch = [], Scratch(docs.sparkSession)
+    for held, blocks in _blocks(items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value)
@@ -220,7 +224,11 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, key: s
                         yield pa.RecordBatch.from_arrays([keys.slice(at).take(d), i, n, e], ["key", "item", "item_words", "edits"])
 
         kind = docs.schema[key].dataType.simpleString()
-        parts.append(docs.select(key, text).mapInArrow(run, f"key {kind}, item bigint, item_words bigint, edits bigint"))
+        part = docs.select(key, text).mapInArrow(run, f"key {kind}, item bigint, item_words bigint, edits bigint")
+        if blocks > 1:
+            part = scratch.write(part)
+            held.destroy()
+        parts.append(part)
     found = reduce(DataFrame.unionByName, parts)
     return found.select(F.col("key").alias(key), F.col("item").alias(item_id), "item_words", "edits")
 
