@@ -112,7 +112,7 @@ def test_infix_distance():
         assert decontam.infix_distance(a, b)[0] == min(row)
 
 
-def test_decontamination(spark, duck):
+def test_decontamination(spark, duck, monkeypatch):
     items = duck.sql("SELECT item_id, text FROM benchmark").fetchall()
     rng, rows, want = random.Random(5), [], set()
     filler = [w for (t,) in duck.sql("SELECT text FROM documents WHERE lang = 'de' LIMIT 30").fetchall() for w in t.split()]
@@ -132,6 +132,9 @@ def test_decontamination(spark, duck):
     assert {900, 901, 902} <= kept and len(kept - {900, 901, 902}) <= 0.02 * len(want)
     assert decontam.contaminated(empty(docs), bench).count() == 0 and decontam.contaminated(docs, empty(bench)).count() == 0
     assert decontam.drop_contaminated(docs, empty(bench)).columns == docs.columns
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)  # several blocks give the same
+    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == kept
 
 
 def test_decontamination_recall(duck):
