@@ -141,9 +141,55 @@ def q_ear(spark: SparkSession, d: str) -> DataFrame:
     return drain(fold(rows, "user_id", out, "count long, last double, items long", (0, 0.0, 0), step), ["user_id", "item"], "append")
 
 
-QUERIES = {"stream_session_takes": q_sessions, "stream_period_counts": q_period_counts, "stream_unsure_confirm": q_unsure_confirm, "stream_pace_profile": q_pace_profile, "stream_ear_decisions": q_ear}
+RISE = 2.5  # dB between a nucleus and the dips around it
+
+
+def nucleus(now: tuple[float, float, bool, int], level: float) -> tuple[tuple[float, float, bool, int], bool]:
+    """Follow the loudness of a take: (dip, peak, rising, count). A nucleus counts when the level has fallen from it."""
+    dip, peak, rising, count = now
+    if rising:
+        peak = max(peak, level)
+        if level <= peak - RISE:
+            return (level, level, False, count + 1), True
+        return (dip, peak, True, count), False
+    dip = min(dip, level)
+    return (dip, level, level >= dip + RISE, count), False
+
+
+def q_syllables(spark: SparkSession, d: str) -> DataFrame:
+    """Syllable nuclei of each take as they pass, and the pause before each."""
+    import math
+
+    def step(user, now, row):
+        *levels, last = now
+        at = row.at.timestamp()
+        new, counted = nucleus(tuple(levels), 20 * math.log10(max(row.value, 0.01) / 100))
+        return (*new, at), (user, new[3], round(at - last, 3) if last else 0.0) if counted else None
+
+    rows = events_stream(spark, d).select("user_id", "event_id", "at", "value")
+    out = fold(rows, "user_id", "user_id long, nucleus long, pause double", "dip double, peak double, rising boolean, count long, last double", (0.0, 0.0, False, 0, 0.0), step)
+    return drain(out, ["user_id", "nucleus"], "append")
+
+
+def q_stalls(spark: SparkSession, d: str) -> DataFrame:
+    """Slips of the live take: a stall for each pāda of eight syllables in which the learner paused too long, once."""
+
+    def step(user, now, row):
+        count, last, stalled = now
+        at = row.at.timestamp()
+        pada = count // 8
+        stall = bool(last) and at - last >= 3600 and count % 8 != 0 and stalled != pada
+        return (count + 1, at, pada if stall else stalled), (user, pada, "stall", count) if stall else None
+
+    rows = events_stream(spark, d).select("user_id", "event_id", "at", "value")
+    return drain(fold(rows, "user_id", "user_id long, pada long, kind string, count long", "count long, last double, stalled long", (0, 0.0, -1), step), ["user_id", "pada"], "append")
+
+
+QUERIES = {"stream_syllable_counter": q_syllables, "stream_ear_slips": q_stalls, "stream_session_takes": q_sessions, "stream_period_counts": q_period_counts, "stream_unsure_confirm": q_unsure_confirm, "stream_pace_profile": q_pace_profile, "stream_ear_decisions": q_ear}
 _FMT = "'%Y-%m-%d %H:%M:%S'"
 ORACLE = {
+    "stream_ear_slips": """WITH e AS (SELECT user_id, row_number() OVER w - 1 AS count, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count // 8 AS pada, 'stall' AS kind, min(count) AS count FROM e WHERE pause >= 3600000000 AND count % 8 <> 0 GROUP BY user_id, count // 8""",
     "stream_session_takes": f"""WITH e AS (SELECT user_id, ts, value, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < {STOP_SECONDS}000000 THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, strftime(min(ts), {_FMT}) AS start, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
     "stream_period_counts": f"""SELECT 'day' AS period, strftime(date_trunc('day', ts)::TIMESTAMP, {_FMT}) AS start, count(*) AS n FROM events GROUP BY ALL
