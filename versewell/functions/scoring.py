@@ -44,7 +44,7 @@ def weighted_mean(weights: dict[str, int]) -> Column:
     """Rounded weighted mean over the judged (non-null) columns; null if none was judged."""
     total = reduce(Column.__add__, [F.coalesce(F.col(c), F.lit(0)) * w for c, w in weights.items()])
     weight = reduce(Column.__add__, [F.when(F.col(c).isNotNull(), w).otherwise(0) for c, w in weights.items()])
-    return F.when(weight > 0, half_up(total / weight)).cast("long")
+    return half_up(F.try_divide(total.cast("double"), weight)).cast("long")
 
 
 def item_overall(categories: tuple[str, ...] = tuple(WEIGHTS), weights: dict[str, int] = WEIGHTS) -> Column:
@@ -52,7 +52,7 @@ def item_overall(categories: tuple[str, ...] = tuple(WEIGHTS), weights: dict[str
     old = weighted_mean({c: LEGACY_WEIGHTS[c] for c in legacy_categories(categories)})
     overall = F.when(is_legacy(), old).otherwise(weighted_mean({c: weights[c] for c in categories}))
     corrected = F.exists("slips", lambda s: s["kind"].isin(*SELF_CORRECTIONS) & ~s["unsure"])
-    return F.when(corrected, half_up(overall * (1 - 0.15)).cast("long")).otherwise(overall)
+    return half_up(overall * F.when(corrected, 1 - 0.15).otherwise(1.0)).cast("long")  # said once: the expression is large
 
 
 def grade_of(score: Column) -> Column:

@@ -24,8 +24,8 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 def sloka_takes(spark: SparkSession, d: str) -> DataFrame:
     """One row per learner, sloka and assessment, with the item's overall (the best of repeated items)."""
     heads = V.assessments(spark, d).select("assessment", F.coalesce("learner", F.lit(DEVICE)).alias("learner"), "at", "day")
-    items = O.with_overall(V.items(spark, d)).where("overall IS NOT NULL")
-    best = items.groupBy("assessment", (F.col("sloka") % 50).alias("sloka")).agg(F.max("overall").alias("overall"))
+    items = O.with_overall(V.items(spark, d))
+    best = items.groupBy("assessment", (F.col("sloka") % 50).alias("sloka")).agg(F.max("overall").alias("overall")).where("overall IS NOT NULL")
     return best.join(heads, "assessment")
 
 
