@@ -171,6 +171,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learn from labelled rows; None if there are none."""
     rows = rows.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
     every = rows.groupBy("lang").agg(F.ceil(F.count("*") / SAMPLE_PER_LANG).alias("every"))
+    every = F.broadcast(every) if every.count() <= 10_000 else every  # a row for each language
     shared = rows.join(every, "lang").where(F.pmod(F.xxhash64("key"), F.col("every")) == 0)
     place = F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
     sample = shared.select("lang", F.col("text").substr(place, F.lit(PIECE)).alias("piece")).toPandas().sort_values(["piece", "lang"], ignore_index=True)
