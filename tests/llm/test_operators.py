@@ -151,6 +151,31 @@ def test_decontamination_recall(duck):
     assert hit >= 0.97 * n
 
 
+def test_decontamination_of_short_items():
+    rng, words = random.Random(7), [f"w{i}" for i in range(300)]
+    for n in (*range(1, 46), 60, 80):
+        items = [(i, [rng.choice(words).encode() for _ in range(n)]) for i in range(40)]
+        index, missed = decontam.Index(items), 0
+        for k, (i, w) in enumerate(items):
+            x = list(w)
+            for e in range(n // 5):  # in the first words, in the last ones or anywhere
+                p = (min(e, len(x) - 1), max(len(x) - 1 - e, 0), rng.randrange(len(x)))[k % 3]
+                x[p : p + 1] = rng.choice([[b"qq"], [], [x[p], b"rr"]])
+            text = " ".join([*rng.choices(words, k=k % 4), *(y.decode() for y in x), *rng.choices(words, k=k % 3)])
+            missed += not any(found == i for _, found, _, _ in index.hits(["", "w1 w2", text, "w3"], 0.8))
+        assert missed <= (0 if n < decontam.LONG else 1), n
+
+
+def test_decontamination_of_short_items_is_exact(duck):
+    texts = [t for (t,) in duck.sql("SELECT text FROM documents ORDER BY doc_id LIMIT 40").fetchall()]
+    docs, rng = [decontam.words_of(t) for t in texts], random.Random(8)
+    whole = [d for d in docs if len(d) > 40]
+    cuts = [(n, rng.choice(whole)) for n in (1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 19, 24, 30) for _ in range(3)]
+    items = [(i, d[10 : 10 + n]) for i, (n, d) in enumerate(cuts)]
+    want = [(k, i, len(w), e) for k, d in enumerate(docs) for i, w in items if (e := decontam.infix_distance(w, d)[0]) <= len(w) // 5]
+    assert decontam.Index(items).hits(texts, 0.8) == want and len(want) > len(items)
+
+
 # 4 -----------------------------------------------------------------------------------------------------------
 def test_language_gradients():
     net, rng = language.Model(["a", "b"]), np.random.default_rng(0)

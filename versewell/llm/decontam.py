@@ -1,14 +1,19 @@
-"""Benchmark decontamination: CGK embedding of item-sized word windows, bit-sampling LSH, exact edit check.
+"""Benchmark decontamination: CGK embedding of word windows or whole pieces of short items, exact edit check.
 
-Texts are words (lower case, punctuation dropped). The CGK random walk reads a window word by word: at step
-j it writes the word under the pointer and moves on if a random bit of (j, word) says so; sequences at a
+Texts are words (lower case, punctuation dropped). An item of n words may be edited in n * (1 - share) places.
+
+Items of at least LONG words are found by LSH. The CGK random walk reads a window of WINDOW words word by word: at
+step j it writes the word under the pointer and moves on if a random bit of (j, word) says so; sequences at a
 small edit distance end up at a small Hamming distance, because walks that were put out of step by an edit
 meet again. A repetition samples COORDINATES of the written words (the first one always); windows that agree
-on them are candidates. Items of at least WINDOWS[0] words use windows of that size, shorter ones those of
-WINDOWS[1]; each item has a window from each of its words on, a document from each place whose two words follow each other in
-some item (windows that start otherwise are left to the item's other windows), so an item is found if any of
-its windows is. With WALKS walks of SAMPLES samples the chance to miss an item with a fifth of its
-words edited is under 1 % for 20 words and more (tests measure it).
+on them are candidates. An item has a window at each place where a whole one fits, a document at each place whose
+two words follow each other in some long item, so an item is found if any of its windows is. Windows of shorter
+items are too few for that, wherever the edits are.
+
+Shorter items, of one word and more, are found without loss: an item that may be edited in e places is cut into
+e + 1 pieces of whole words, and an edit spoils one of them at most, so every passage holds a piece as it is. Each
+place of a document that holds one is a candidate, unless more than e words of the item are missing from where
+e edits can have moved them.
 
 Every candidate is checked exactly: the least number of word insertions, deletions and replacements that
 turn the item into some stretch of the document (bit-parallel dynamic programming) must be at most
@@ -16,8 +21,8 @@ turn the item into some stretch of the document (bit-parallel dynamic programmin
 
 The items travel with the code in blocks of at most BLOCK_BYTES, one pass over the documents for each block.
 
-Defined results: null and empty texts match nothing; items of fewer than WINDOWS[1] words are no evidence and
-are left out; repeated items and documents are each reported; an empty table on either side gives no row.
+Defined results: null and empty texts match nothing; items of fewer words than 1 / (1 - share) match only as they
+are; repeated items and documents are each reported; an empty table on either side gives no row.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ from pyspark.sql import functions as F
 
 from versewell.llm.common import Scratch, table
 
-WINDOWS, WALKS, SAMPLES, COORDINATES, SEED = (12, 6), 3, 4, 5, 11
-SHARE, BLOCK_BYTES, SLICE_BYTES, PAIR_BITS = 0.8, 8 << 20, 1 << 20, 22
+WINDOW, WALKS, SAMPLES, COORDINATES, SEED, LONG = 12, 3, 4, 5, 11, 40
+SHARE, BLOCK_BYTES, SLICE_BYTES, PAIR_BITS, PLACES = 0.8, 8 << 20, 1 << 20, 22, 1 << 19
 _SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _QUOTES = re.compile(rb"\xe2\x80[\x80-\xbf]")
 
@@ -70,25 +75,47 @@ def infix_distance(item: list, words: list) -> tuple[int, int]:
 
 
 class Index:
-    """LSH tables over the windows of all items of one block."""
+    """LSH tables over the windows of the long items of one block, and tables of the pieces of its short ones."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.items = [(i, w) for i, w in items if len(w) >= WINDOWS[-1]]
+    def __init__(self, items: list[tuple[int, list[bytes]]], share: float = SHARE):
+        self.items = [(i, w) for i, w in items if w]
+        self.slack = np.array([int(len(w) * (1 - share) + 1e-9) for _, w in self.items], "i8")
+        self.lengths = np.array([len(w) for _, w in self.items], "i8")
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.own_words = [set(ws) for _, ws in self.items]
-        rng = np.random.default_rng(SEED)
-        pairs = [(self.vocabulary[a], self.vocabulary[b]) for _, ws in self.items for a, b in zip(ws, ws[1:])]
+        rng, long = np.random.default_rng(SEED), np.flatnonzero(self.lengths >= LONG).tolist()
+        pairs = [(self.vocabulary[a], self.vocabulary[b]) for k in long for a, b in zip(self.items[k][1], self.items[k][1][1:])]
         self.pairs = np.zeros(1 << PAIR_BITS, bool)  # hashed; what it lets through too much, the keys sort out
         if pairs:
             self.pairs[self._pair(*np.array(pairs).T)] = True
         self.tables = []  # (steps of a walk's bits, [(coordinates, allowed words at each, sorted keys, item and offset)])
-        for size, above in zip(WINDOWS, (None, *WINDOWS)):
-            mine = [k for k, (_, w) in enumerate(self.items) if len(w) >= size and (above is None or len(w) < above)]
-            for _ in range(WALKS):
-                bits = rng.integers(0, 2, (2 * size, len(self.vocabulary) + 1), dtype="i8")
-                samples = [np.sort(rng.choice(np.arange(1, 2 * size - 2), COORDINATES, replace=False)) for _ in range(SAMPLES)]
-                if mine:
-                    self.tables.append((bits, [self._table(mine, size, bits, c) for c in samples]))
+        for _ in range(WALKS):
+            bits = rng.integers(0, 2, (2 * WINDOW, len(self.vocabulary) + 1), dtype="i8")
+            samples = [np.sort(rng.choice(np.arange(1, 2 * WINDOW - 2), COORDINATES, replace=False)) for _ in range(SAMPLES)]
+            if long:
+                self.tables.append((bits, [self._table(long, WINDOW, bits, c) for c in samples]))
+        self.short = np.zeros((len(self.items), min(int(self.lengths.max(initial=0)), LONG - 1)), "i4")
+        self.pieces = self._pieces(np.flatnonzero(self.lengths < LONG).tolist())
+
+    def _pieces(self, mine: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of words: (hashed keys there are, sorted keys, item and offset) of the pieces of short items."""
+        found: dict[int, list] = {}
+        for k in mine:
+            n = len(self.items[k][1])
+            self.short[k, :n] = [self.vocabulary[w] for w in self.items[k][1]]
+            cuts = [i * n // (min(self.slack[k], n - 1) + 1) for i in range(min(self.slack[k], n - 1) + 2)]
+            for a, b in zip(cuts, cuts[1:]):
+                found.setdefault(int(b - a), []).append((k, a))
+        out = {}
+        for size, whose in sorted(found.items()):
+            at, key = np.array(whose), np.zeros(len(whose), "u8")
+            for j in range(size):
+                key = self._mix(key, self.short[at[:, 0], at[:, 1] + j])
+            there = np.zeros(1 << PAIR_BITS, bool)
+            there[key >> np.uint64(64 - PAIR_BITS)] = True
+            order = np.argsort(key, kind="stable")
+            out[size] = there, key[order], at[order]
+        return out
 
     def _table(self, mine: list[int], size: int, bits: np.ndarray, coordinates: np.ndarray):
         flat, starts, whose = [], [], []
@@ -119,9 +146,12 @@ class Index:
         key = (key ^ symbol.astype("u8")) * np.uint64(0x9E3779B97F4A7C15)
         return key ^ (key >> np.uint64(31))
 
-    def candidates(self, symbols: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place where the item would begin) over the words of many texts in one array."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows (item, place where the item would begin) over the words of many texts in one array, in order."""
+        found = [*self._of_windows(symbols), *self._of_pieces(symbols)]
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), "i8")
+
+    def _of_windows(self, symbols: np.ndarray) -> Iterator[np.ndarray]:
         known = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
         known = known[self.pairs[self._pair(symbols[known].astype("i8"), symbols[known + 1].astype("i8"))]]
         for bits, samples in self.tables:
@@ -137,24 +167,64 @@ class Index:
                     ok = may[here]
                     start, at, key = start[ok], at[ok], self._mix(key[ok], here[ok])
                     j = c
-                lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                for s, a, b in zip(start[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    found.update((k, s - o) for k, o in whose[a:b].tolist())
-        return found
+                yield from self._joined(start, key, keys, whose)
+
+    def _of_pieces(self, symbols: np.ndarray) -> Iterator[np.ndarray]:
+        keys, run = np.zeros(len(symbols), "u8"), np.ones(len(symbols), bool)
+        for j in range(min(max(self.pieces, default=0), len(symbols))):
+            n = len(symbols) - j
+            keys, run = self._mix(keys[:n], symbols[j:]), run[:n] & (symbols[j:] > 0)
+            if j + 1 in self.pieces:
+                there, mine, whose = self.pieces[j + 1]
+                at = np.flatnonzero(run & there[keys >> np.uint64(64 - PAIR_BITS)])
+                for part in self._joined(at, keys[at], mine, whose):
+                    yield self._possible(np.unique(part, axis=0), symbols)
+
+    @staticmethod
+    def _joined(start: np.ndarray, key: np.ndarray, keys: np.ndarray, whose: np.ndarray) -> Iterator[np.ndarray]:
+        """(item, begin) of each place and each entry of its key, in parts of about PLACES rows."""
+        lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+        start, lo, n = start[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        part = (np.cumsum(n) - n) // PLACES
+        for p in np.unique(part).tolist():
+            s, at, m = start[part == p], lo[part == p], n[part == p]
+            entry = np.repeat(at - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.column_stack([whose[entry, 0], np.repeat(s, m) - whose[entry, 1]])
+
+    def _possible(self, found: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The candidates of short items that miss no more words than may be edited, each looked for where edits can move it."""
+        pad, kept = 2 * LONG, []
+        padded = np.concatenate([np.zeros(pad, symbols.dtype), symbols, np.zeros(2 * pad, symbols.dtype)])
+        slack = self.slack[found[:, 0]]
+        for e in np.unique(slack).tolist():
+            mine = found[slack == e]
+            missing = np.zeros(len(mine), "i8")
+            for j in range(self.short.shape[1]):
+                word, at = self.short[mine[:, 0], j], mine[:, 1] + pad + j
+                there = word == 0  # past the item's end
+                for t in range(-min(e, LONG), min(e, LONG) + 1):
+                    there |= padded[at + t] == word
+                missing += ~there
+                mine, missing = mine[missing <= e], missing[missing <= e]
+            kept.append(mine)
+        return np.concatenate(kept)
 
     def hits(self, texts: list[str | None], share: float) -> list[tuple[int, int, int, int]]:
-        """(place of the text, item id, words of the item, edits) of every text that holds an item."""
+        """(place of the text, item id, words of the item, edits) of every text that holds an item; ``share``: that of the index or more."""
         docs = [words_of(t) for t in texts]
         lengths = np.array([len(d) for d in docs])
         get = self.vocabulary.get
         symbols = np.fromiter((get(w, 0) for d in docs for w in d), "i4", int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
         best: dict[tuple[int, int], int] = {}
-        for k, begin in sorted(self.candidates(symbols)):
+        found = self.candidates(symbols)
+        n, begins = self.lengths[found[:, 0]], found[:, 1]
+        places = np.column_stack([begins, begins + n // 2, begins + n - 1]).clip(0, max(len(symbols) - 1, 0))
+        whose = np.searchsorted(starts, places, "right") - 1  # the candidate may begin or end past its text
+        for (k, begin), of in zip(found.tolist(), whose.tolist()):
             item_id, item = self.items[k]
             slack = int(len(item) * (1 - share) + 1e-9)
-            doc = int(np.searchsorted(starts, max(begin, 0) + len(item) // 2, "right")) - 1
-            for d in {doc, int(np.searchsorted(starts, max(begin, 0), "right")) - 1}:
+            for d in {*of}:
                 if best.get((d, k)) == 0:
                     continue
                 lo = max(begin - int(starts[d]) - 2 * slack, 0)
@@ -188,7 +258,7 @@ def _sliced(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 def _is_clean(held, share: float):
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(held.value)
+        index = Index(held.value, share)
         for batch in batches:
             keep = np.ones(len(batch), bool)
             for at, texts in _sliced(batch):
@@ -215,7 +285,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, key: s
     for held, blocks in _blocks(items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            index = Index(held.value, share)
             for batch in batches:
                 keys, texts = batch.columns
                 for at, part in _sliced(texts):
