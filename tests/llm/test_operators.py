@@ -322,6 +322,28 @@ def test_nearest(spark, duck):
     assert few.count() == 4 and ann.search(empty(df), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_beside_many_copies(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32)
+    far, close = rng.normal(size=(1500, 32)), centre + 0.2 * rng.normal(size=(150, 32))
+    x = np.concatenate([far, close, np.repeat(centre[None], 3000, 0)]).astype("f4")
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>")
+    asked = {*ids[1500:1650:5].tolist(), *ids[1650:1660].tolist(), *ids[:30].tolist()}
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id").isin(*asked)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x, hit = x.astype("f8"), 0
+    assert set(got) == asked
+    for q, found in got.items():
+        s = sum(x[:, j] * x[ids == q][0][j] for j in range(32))
+        s[ids == q] = -np.inf
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and all(f[2] == s[ids == f[1]][0] for f in found)
+        hit += len({f[1] for f in found} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit >= 0.99 * 20 * len(asked)
+
+
 # 9 -----------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def tiktoken_encoding():

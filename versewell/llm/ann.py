@@ -3,12 +3,14 @@
 Vectors are cut into pieces of two dimensions, each coded by four bits. What matters for inner products is
 the residual along the vector itself, so codes and codebooks minimise |r|^2 + (ETA - 1) (r . x)^2 / |x|^2:
 residuals parallel to the vector cost ETA times as much as orthogonal ones. Codebooks are fitted on about
-SAMPLE rows, an even share by hash; every row is coded. Two codes share a byte, so a query's table has 256 entries
+SAMPLE distinct vectors, an even share by hash; every one is coded. Two codes share a byte, so a query's table has 256 entries
 for each four dimensions, and a scan adds up one table entry per byte.
 
-Queries (in blocks of QUERY_BLOCK) meet all coded rows (in blocks of ROW_BLOCK) in one task per pair of
-blocks, which keeps its KEEP best rows of each query; the KEEP best of all blocks are then reranked by the
-exact inner product in double precision.
+Equal vectors are one class, which holds its k + 1 smallest ids (one more than wanted, as a query is no
+neighbour of itself) and is coded, scanned and asked once. Asked classes (in blocks of QUERY_BLOCK) meet all
+coded ones (in blocks of at most about ROW_BLOCK) in one task per pair of blocks, which reranks its own KEEP best
+vectors of each query by the exact inner product in double precision: what is reranked grows with the blocks, and
+so with the rows. The k + 1 best ids of each block go on, those of all blocks are the answer of each row of the class.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 id, take no part, neither do vectors of another dimension than the most frequent one (ties: the larger);
@@ -124,8 +126,13 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
         return df.select(
             F.col(key).alias("query_id"), F.lit(0).alias("rank"), F.col(key), F.lit(0.0).alias("score")).where("false")
     rows = rows.where(F.size("v") == sizes[0].d)
-    share = F.pmod(F.xxhash64("id"), F.lit(-(-sizes[0].n // SAMPLE))) == 0
-    sample = rows.where(share).select("id", "v").toPandas().sort_values("id")
+    first = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    classes = rows.select("id", "v").withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.col("id").cast("bigint"))).alias("ids"))
+    asked = rows.where("q").select("v").distinct().withColumn("q", F.lit(True))
+    classes = scratch.write(classes.join(asked, "v", "left").withColumn("id", F.col("ids")[0]))
+    size = classes.agg(F.count("*").alias("n"), F.count_if("q").alias("nq")).first()
+    share = F.pmod(F.xxhash64("id"), F.lit(-(-size.n // SAMPLE))) == 0
+    sample = classes.where(share).select("id", "v").toPandas().sort_values("id")
     book = Codebook.fit(np.stack(sample["v"].to_numpy()).astype("f8"))
     held = spark.sparkContext.broadcast(book)
 
@@ -136,44 +143,59 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             parts = [held.value.pack(x[at : at + 2048]) for at in range(0, len(x), 2048)]
             yield pa.array([row.tobytes() for part in parts for row in part], pa.binary())
 
-    row_blocks = max(LEAST_ROW_BLOCKS, -(-sizes[0].n // ROW_BLOCK))
-    query_blocks = max(1, -(-sizes[0].nq // QUERY_BLOCK))
+    row_blocks = max(LEAST_ROW_BLOCKS, -(-size.n // ROW_BLOCK))
+    query_blocks = max(1, -(-size.nq // QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64(F.col("id"), F.lit(n)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    coded = rows.select("id", code("v").alias("code"), block(row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
-    queries = rows.where("q").select("id", "v", block(query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
+    own = df.schema[vector].dataType  # floats travel as they are
+    coded = classes.select("ids", F.col("v").cast(own).alias("x"), code("v").alias("code"), block(row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
+    queries = classes.where("q").select("id", "v", block(query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if len(left) and len(right):
-            book, ids = held.value, right["id"].to_numpy()
-            order = np.argsort(ids)  # stable sorting by score then keeps smaller ids first
-            ids = ids[order]
-            codes = np.frombuffer(b"".join(right["code"].to_pylist()), "u1").reshape(len(ids), -1)[order]
+            book, lists = held.value, right["ids"].combine_chunks()
+            ids, count = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype("i8")
+            start = np.cumsum(count) - count
+            order = np.argsort(ids[start])  # stable sorting by score then keeps smaller ids first
+            start, count = start[order], count[order]
+            codes = np.frombuffer(b"".join(right["code"].to_pylist()), "u1").reshape(len(order), -1)[order]
             columns = [np.ascontiguousarray(c) for c in codes.T]
+            exact = right["x"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order].T.astype("f8", order="C")
             qs, vs = left["id"].to_numpy(), left["v"].combine_chunks().flatten().to_numpy().reshape(len(left), -1)
             for at in range(0, len(qs), 64):
-                for q, lut in zip(qs[at : at + 64], book.tables(vs[at : at + 64])):
+                u, best = vs[at : at + 64], []
+                for lut in book.tables(u):
                     s = lut[0].take(columns[0])
                     for t, c in zip(lut[1:], columns[1:]):
                         s += t.take(c)
-                    s[ids == q] = -np.inf
-                    best = _first(s, KEEP)
-                    best = best[s[best] > -np.inf]
-                    out_q.append(np.full(len(best), q))
-                    out_id.append(ids[best])
-                    out_s.append(s[best])
+                    best.append(np.sort(_first(s, KEEP)))
+                best = np.stack(best)
+                score = np.zeros(best.shape)
+                for a, x in zip(u.T, exact):  # one dimension after the other: the same sums in every block
+                    score += a[:, None] * x.take(best)
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                score, best = np.take_along_axis(score, top, 1).ravel(), np.take_along_axis(best, top, 1).ravel()
+                query, n = np.repeat(np.arange(len(u)), top.shape[1]), count[best]
+                found = ids[np.repeat(start[best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                query, score = np.repeat(query, n), np.repeat(score, n)
+                order = np.lexsort((found, -score, query))
+                query, score, found = query[order], score[order], found[order]
+                keep = np.arange(len(query)) - np.searchsorted(query, query) <= k
+                out_q.append(qs[at + query[keep]])
+                out_id.append(found[keep])
+                out_s.append(score[keep])
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"query_id": join(out_q, "i8"), "id": join(out_id, "i8"), "near": join(out_s, "f4")})
-
-    near = queries.groupBy("qb", "rb").cogroup(coded.groupBy("qb", "rb")).applyInArrow(scan, "query_id bigint, id bigint, near float")
-    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "id"))
-    near = near.withColumn("n", first).where(F.col("n") <= KEEP).select("query_id", "id")
-    pairs = near.join(rows.select("id", "v"), "id").join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("u")), "query_id")
-    exact = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    found = pairs.select("query_id", "id", exact.alias("score")).withColumn("rank", place).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", F.col("id").alias(key), "score")
+        return pa.table({"query": join(out_q, "i8"), "id": join(out_id, "i8"), "score": join(out_s, "f8")})
+
+    near = queries.groupBy("qb", "rb").cogroup(coded.groupBy("qb", "rb")).applyInArrow(scan, "query bigint, id bigint, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    near = near.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("near"))
+    near = near.join(classes.where("q").select(F.col("id").alias("query"), "v"), "query").select("v", "near")
+    found = rows.where("q").select(F.col("id").cast("bigint").alias("query_id"), "v").join(near, "v")
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    found = found.select("query_id", F.posexplode(others).alias("place", "one"))
+    return found.select("query_id", (F.col("place") + 1).alias("rank"), F.col("one.id").alias(key), F.col("one.score").alias("score"))
 
 
 def _first(s: np.ndarray, k: int) -> np.ndarray:
