@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versewell.sources.storage import shared_folder
+
 QUIZ = "id long, name string, attempts array<struct<no: long, at: string, overall: long>>, broken string"
 
 
 def scratch_path(spark: SparkSession) -> str:
     """A new place in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-sources-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def read_json(spark: SparkSession, path: str, schema: str, corrupt: str = "broken", many_lines: bool = False) -> DataFrame:

@@ -7,7 +7,6 @@ transformation feeds a long-running ``writeStream``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,31 +17,24 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from versewell.plans import views as V
+from versewell.sources.storage import shared_folder
 
 STOP_SECONDS = 1800  # silence that ends a take
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
     """``events`` as a stream; the event time becomes a TIMESTAMP, which watermarks need."""
-    schema = V.table(spark, d, "events").schema
-    read = spark.readStream.schema(schema)
-    e = read.parquet(f"{d}/events.parquet") if _is_folder(spark, f"{d}/events.parquet") else read.option("pathGlobFilter", "events.parquet").parquet(d)
+    there = V.table(spark, d, "events")
+    read = spark.readStream.schema(there.schema)
+    in_folder = any("/events.parquet/" in path for path in there.inputFiles())
+    e = read.parquet(f"{d}/events.parquet") if in_folder else read.option("pathGlobFilter", "events.parquet").parquet(d)
     return e.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run the stream over what is there; the last version of each key, by batch."""
     spark, top = stream.sparkSession, folder(stream.sparkSession)
