@@ -3,13 +3,15 @@
 One pass of the automaton over the text (letters A-Z lower-cased) finds every place where a keyword stands;
 an expression is tried at those places only, from left to right, never inside the match before it, which is
 what a scan of the whole text by that expression gives. Long runs of hexadecimal digits have no keyword:
-the text is mapped to two letters (digit or not) and the "keyword" is a run of 24.
+the text is mapped to two letters (digit or not) and the "keyword" is a run of 24. All steps are linear in
+the text: the characters before a run are counted from the run before it on.
 
 Kinds: ``assign``, ``access`` and ``hex``, and two that carry a checksum in their last six characters
 (base-62 CRC-32 of the characters between prefix and checksum), which must be right: ``git`` and ``npm``.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; texts are
-scanned whole.
+scanned whole, however long; repeated rows are scanned each; the output takes the place of a column of its
+name, all other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import table
+from versewell.llm.common import others, table
 
 HEX_RUN = 24
 BASE = ("assign", "access", "hex")
@@ -81,12 +83,13 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             if m.end(group) - m.start(group) >= least and (kind not in CHECKED or checksum(m[0][4:-6]) == m[0][-6:]):
                 spans.append((kind, m.start(), m.end()))
     mapped, run = raw.translate(_IS_HEX), b"x" * HEX_RUN
-    at = mapped.find(run)
+    at, done, chars = mapped.find(run), 0, 0  # so many bytes are so many characters
     while at >= 0:
         end = mapped.find(b" ", at)
         end = len(mapped) if end < 0 else end
-        start = len(raw[:at].decode())
-        spans.append(("hex", start, start + end - at))
+        start = chars + len(raw[done:at].decode())
+        done, chars = end, start + end - at
+        spans.append(("hex", start, chars))
         at = mapped.find(run, end)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -100,7 +103,7 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
         for batch in batches:
             yield pa.array([[dict(zip(("kind", "start", "end"), s)) for s in scan(x.as_py())] for x in batch], kind)
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.select(*others(df, out), run(F.col(text)).alias(out))
 
 
 def masked(text: str | None) -> str | None:
