@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versewell.sources.storage import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Scratch:
-    """Parquet tables in the shared checkpoint folder: they cut lineage and outlive lost executors.
+    """Parquet tables in the shared folder: they cut lineage and outlive lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, a laptop) the
-    context's own checkpoint folder, or else a new temporary one, is taken.
+    Tables that have served are emptied by ``drop``; those that a lazy result still reads stay, and go with
+    the folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.base = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        self.base = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, *partitions: str) -> DataFrame:
+        path = f"{self.base}/{len(self.written)}"
+        df.write.partitionBy(*partitions).parquet(path)
+        self.written.append((self.spark.read.parquet(path), path))
+        return self.written[-1][0]
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            path = df.inputFiles()[:1]
-            if path:
-                folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-                conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-                folder.getFileSystem(conf).delete(folder, True)
+        """Empty tables that no later plan reads: an empty one takes the place of their files."""
+        none = self.spark.createDataFrame([], "gone boolean").coalesce(1)
+        for df, path in self.written:
+            if any(df is x for x in tables):
+                none.write.mode("overwrite").parquet(path)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
