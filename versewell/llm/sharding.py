@@ -4,13 +4,16 @@ Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
 of its source. Sorted by fractional rank, every stretch holds the sources in their overall proportions, so
 equal cuts give shards that match the mixture, with counts at most one apart (law ``rows``).
 
-Both rankings are exact without putting a source, or the table, into one task: rows are dealt to hash
-buckets inside the source (and to slices of the fractional rank), ranked there, and shifted by the running
-count of the buckets before, which is a table of counts only.
+Both rankings are exact without putting a source, or the table, into one task: rows are dealt to buckets
+of their hash inside the source (and to slices of the fractional rank) of about BUCKET_ROWS rows, however many
+there are, ranked there, and shifted by the running count of the buckets before, which is a table of counts
+only. How many rows a slice holds follows from the sizes of the sources alone, so rows are shuffled, hashed and
+ranked once.
 
 Defined results: a null source is a source of its own; a null text has size 8 and the CRC of the empty text;
 equal ids (and wholly equal rows) are ranked in any order among themselves and keep their rows; with fewer
-rows than shards the first shards hold one row each; an empty table gives an empty result.
+rows than shards the first shards hold one row each; texts of any length count by their bytes and are never
+moved; the outputs take the place of columns of their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +25,16 @@ from pyspark.sql import functions as F
 from versewell.llm.common import others, table
 
 SEED, SHARDS = 42, 24
-#: hexadecimal digits of the hash that name a bucket; slices of the fractional rank
-BUCKET_DIGITS, SLICES = 2, 4096
+#: rows of a bucket or slice, about; the most digits of the hash that name a bucket
+BUCKET_ROWS, MOST_DIGITS = 50_000, 6
 
 
 def interleave(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Add ``shard`` (from 0) and ``slot`` (gapless from 0 inside each shard)."""
-    kept = others(df, "shard", "slot")
+    kept, n = others(df, "shard", "slot"), df.select(key).count()
+    digits = next(d for d in range(1, MOST_DIGITS + 1) if d == MOST_DIGITS or n <= BUCKET_ROWS * 16**d)
     shuffled = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    rows = df.withColumn("__hash", shuffled).withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
+    rows = df.withColumn("__hash", shuffled).withColumn("__bucket", F.substring("__hash", 1, digits))
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
     rows = rows.withColumn("__source", stratum)
 
@@ -42,12 +46,22 @@ def interleave(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: str =
     )
     in_bucket = F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__hash", key))
     rows = rows.withColumn("__row", in_bucket).join(counts, ["__source", "__bucket"])
-    rank = F.col("__before") + F.col("__row")
-    rows = rows.withColumn("__fraction", (2 * rank - 1) / (2 * F.col("__total")))
-    rows = rows.withColumn("__slice", F.floor(F.col("__fraction") * SLICES).cast("int"))
-
-    slices = rows.groupBy("__slice").agg(F.count("*").alias("__in_slice"))
-    ahead = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)  # at most SLICES rows
+    rows = rows.withColumn("__rank", F.col("__before") + F.col("__row"))
+    rows = rows.withColumn("__fraction", (2 * F.col("__rank") - 1) / (2 * F.col("__total")))
+
+    # rank r of t rows is in slice (2 r - 1) S div 2 t; the first rank of slice s is the least r of at least (2 t s + S) / 2 S
+    cut = max(1, -(-n // BUCKET_ROWS))
+    rows = rows.withColumn("__slice", F.expr(f"(2 * __rank - 1) * {cut} div (2 * __total)"))
+    first_of = lambda s: f"(2 * __total * {s} + {3 * cut} - 1) div {2 * cut}"
+    sizes = counts.groupBy("__source").agg(F.first("__total").alias("__total"))
+    sizes = sizes.withColumn("__k", F.explode(F.expr(f"sequence(0L, least(__total, {cut}) - 1)")))
+    some = F.col("__total") >= cut  # else a rank each
+    slices = sizes.select(
+        F.when(some, F.col("__k")).otherwise(F.expr(f"(2 * __k + 1) * {cut} div (2 * __total)")).alias("__slice"),
+        F.when(some, F.expr(f"{first_of('(__k + 1)')} - {first_of('__k')}")).otherwise(1).alias("__m"),
+    )
+    slices = slices.groupBy("__slice").agg(F.sum("__m").alias("__in_slice"))
+    ahead = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)  # a row for each BUCKET_ROWS rows
     slices = slices.select(
         "__slice", F.coalesce(F.sum("__in_slice").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__in_slice").over(W.partitionBy()).alias("__all")
     )
