@@ -81,8 +81,7 @@ def test_url_rules(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     host, path = url_filter.host_and_path(F.col("url"))
     df = df.select("url", host.alias("host"), path.alias("path"))
-    on = F.col("key").rlike(r"(^|\.)cheap-pills(\.|$)")
-    out = url_filter.mark_listed(df, "host", on, "listed")
+    out = url_filter.mark_listed(df, "host", url_filter.listed_hosts(df), "listed")
     rule, verdict = url_filter.rule_of(F.col("host"), F.col("path"))
     got = out.select("url", "host", "path", rule.alias("r"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("v"))
     assert {r.url: tuple(r)[1:] for r in got.collect()} == urls
@@ -90,12 +89,16 @@ def test_url_rules(spark):
 
 @pytest.mark.parametrize("bits", [1 << 25, 4096])  # one cascade, and shards
 def test_cascade_is_exact(spark, bits):
-    df = spark.range(3000).select(F.concat(F.lit("h"), F.col("id") % 1500).alias("key"), "id")
-    listed = F.crc32(F.col("key").cast("binary")) % 3 == 0
+    df = spark.range(3000).select(F.concat(F.lit("h"), F.col("id") % 1500).alias("key"), "id", F.lit("x").alias("on"))
+    is_listed = F.crc32(F.col("key").cast("binary")) % 3 == 0
+    listed = df.where(is_listed).select("key").unionByName(spark.createDataFrame([(None,), ("elsewhere",), ("y" * 1_000_000,)], "key string"))
     out = url_filter.mark_listed(df, "key", listed, "on", bits).select("key", "on", F.col("id"))
-    assert out.count() == 3000 and out.where(F.col("on") != listed).count() == 0
-    assert url_filter.mark_listed(df, "key", F.lit(False), "on").where("on").count() == 0
+    assert out.count() == 3000 and out.where(F.col("on") != is_listed).count() == 0
+    assert url_filter.mark_listed(df, "key", empty(listed), "on").where("on").count() == 0
     assert url_filter.mark_listed(empty(df), "key", listed, "on").count() == 0
+    odd = spark.createDataFrame([(None,), ("",), ("y" * 1_000_000,), ("y" * 999_999,), ("z",), ("z",)], "key string")
+    got = url_filter.mark_listed(odd, "key", spark.createDataFrame([("",), ("y" * 1_000_000,)], "key string"), "on").collect()
+    assert sorted((len(r.key or ""), r.on) for r in got) == [(0, True), (0, True), (1, False), (1, False), (999_999, False), (1_000_000, True)]
 
 
 # 3 -----------------------------------------------------------------------------------------------------------
@@ -295,6 +298,13 @@ def test_sharding(spark, docs):
     assert sharding.interleave(empty(docs)).count() == 0
 
 
+def test_sharding_in_many_buckets_and_slices(spark, monkeypatch):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(90)))).alias("source"))
+    want = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(rows).collect()}
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 23)  # sources smaller and larger than the number of slices
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(rows).collect()} == want
+
+
 # 8 -----------------------------------------------------------------------------------------------------------
 def test_nearest(spark, duck):
     rows = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
@@ -393,6 +403,8 @@ def test_secrets(spark, docs, duck):
     for t in texts:
         assert [s for s in secret_scan.scan(t) if s[0] in secret_scan.BASE] == brute_spans(t)
     assert [s[0] for s in secret_scan.scan(f"é {good} {bad}")] == ["git"] and secret_scan.scan(f"é {good}")[0][1:] == (2, 42)
+    hexes = "é 0123456789abcdef0123456789abcdef\n" * 120_000  # four megabytes in a moment
+    assert secret_scan.scan(hexes)[-1] == ("hex", 35 * 119_999 + 2, 35 * 120_000 - 1)
     assert secret_scan.masked(f"é token={good} end") == "é [assign+git] end" and secret_scan.masked("clean") == "clean"
     out = secret_scan.find_secrets(docs)
     assert out.columns == [*docs.columns, "secrets"] and out.where("size(secrets) > 0").count() == 0
@@ -410,7 +422,7 @@ def test_outputs_replace_columns_of_their_name(spark, docs):
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     for out in (
         lm_score.score(clash, counts, lm_score.train(clash, counts)), language.identify(clash, language.Model(["a"])), language.identify(clash, None), sharding.interleave(clash),
-        bpe.digests(clash, vocabulary, public_tokenizers.PATTERN, ids=True), bpe.encode(clash, vocabulary, public_tokenizers.PATTERN), secret_scan.find_secrets(clash), url_filter.mark_listed(clash, "text", F.lit(False), "listed"),
+        bpe.digests(clash, vocabulary, public_tokenizers.PATTERN, ids=True), bpe.encode(clash, vocabulary, public_tokenizers.PATTERN), secret_scan.find_secrets(clash), url_filter.mark_listed(clash, "text", empty(clash.select(F.col("text").alias("key"))), "listed"),
     ):
         assert out.count() == docs.count() and len({c.lower() for c in out.columns}) == len(out.columns)
 
