@@ -384,6 +384,16 @@ def test_bpe(spark, docs, duck, tiktoken_encoding):
         ids = tiktoken_encoding.encode_ordinary(r.text or "")
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+        at, places, char_of = 0, [[], []], [k for k, c in enumerate(r.text or "") for _ in c.encode()]
+        for i in ids:
+            end = at + len(tiktoken_encoding.decode_single_token_bytes(i))
+            places[0].append(char_of[at])
+            places[1].append(char_of[end - 1] + 1)
+            at = end
+        assert r.offsets_sha256 == hashlib.sha256(np.array(sum(places, []), "<u4").tobytes()).hexdigest()
+    big = "schön 的 wort " * 150_000  # two megabytes
+    [ids] = b.encode([big])
+    assert np.frombuffer(ids, "<u4").tolist() == tiktoken_encoding.encode_ordinary(big) and b.decode(ids).decode() == big
     assert bpe.digests(empty(docs), vocabulary, public_tokenizers.PATTERN).count() == 0
 
 

@@ -9,7 +9,9 @@ Texts are first cut by the pattern; each match ("piece") is encoded by itself, a
 that each worker keeps a bounded memo of them. Nothing is cut to a prefix, and no special tokens exist.
 
 Defined results: null text encodes as the empty text; empty text gives no ids; ids that no token has
-raise; decoded bytes that are not whole characters are replaced when text (not bytes) is asked for.
+raise; decoded bytes that are not whole characters are replaced when text (not bytes) is asked for; repeated
+rows are encoded each; texts of any length are encoded whole; outputs take the place of columns of their
+names, all others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,6 +68,7 @@ class ByteBpe:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.sizes = np.array([len(b) for b in self.bytes_of] or [0], "i8")
         chars = byte_table()
         as_chars = {token: "".join(map(chars.__getitem__, token)) for token in ranks}
         merges = [
@@ -117,16 +120,14 @@ class ByteBpe:
         """Bytes of one text's ids."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def offsets(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, ids: bytes, decoded: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of each token. A token that holds only a part of a character covers it."""
-        tokens = [self.bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]
-        if not tokens:
-            return np.zeros(0, "i4"), np.zeros(0, "i4")
-        ends = np.cumsum([len(t) for t in tokens])
-        starts = ends - [len(t) for t in tokens]
-        lead = (np.frombuffer(b"".join(tokens), "u1") & 0xC0) != 0x80
-        char = np.cumsum(lead) - 1  # of each byte
-        return char[starts].astype("i4"), (char[ends - 1] + 1).astype("i4")
+        ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+        if not len(ends):
+            return np.zeros(0, "<u4"), np.zeros(0, "<u4")
+        raw = np.frombuffer(self.decode(ids) if decoded is None else decoded, "u1")
+        char = np.cumsum((raw & 0xC0) != 0x80, dtype="<u4")  # characters begun up to each byte
+        return char[np.concatenate([[0], ends[:-1]])] - 1, char[ends - 1]
 
 
 def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", out: str = "bpe") -> DataFrame:
@@ -141,10 +142,10 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", o
             rows = []
             for ids in bpe.encode(batch.to_pylist()):
                 starts, ends = bpe.offsets(ids)
-                rows.append({"ids": np.frombuffer(ids, "<i4"), "starts": starts, "ends": ends})
+                rows.append({"ids": np.frombuffer(ids, "<i4"), "starts": starts.astype("i4"), "ends": ends.astype("i4")})
             yield pa.array(rows, pa.struct([(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")]))
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.select(*others(df, out), run(F.col(text)).alias(out))
 
 
 def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -158,15 +159,16 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out
             rows = (None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in batch.to_pylist())
             yield pa.array([x if x is None else x.decode("utf-8", "replace") for x in rows], pa.string())
 
-    return df.withColumn(out, run(F.col(ids)))
+    return df.select(*others(df, out), run(F.col(ids)).alias(out))
 
 
 def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
-    """Per row, what it encodes to and decodes back to: n_tokens and the SHA-256 of ids and of decoded bytes.
+    """Per row, what it encodes to and decodes back to: n_tokens and the SHA-256 of ids, of decoded bytes and of offsets.
 
+    The offsets are the first character of each token, then the end of each, as unsigned 32-bit integers.
     ``ids``: also the ids themselves.
     """
-    kind = f"struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' * ids}>"
+    kind = f"struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string, offsets_sha256 string{', ids array<int>' * ids}>"
     with_ids = ids
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -174,7 +176,7 @@ def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ByteBpe.get(held.value, pattern)
         for batch in batches:
-            n, ids_hex, text_hex, whole = [], [], [], []
+            n, ids_hex, text_hex, place_hex, whole = [], [], [], [], []
             step = max(1, int(len(batch) * slice_bytes / max(batch.nbytes, 1)))
             for at in range(0, len(batch), step):
                 for ids in bpe.encode(batch.slice(at, step).to_pylist()):
@@ -182,14 +184,17 @@ def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text",
                     if with_ids:
                         whole.append(ids)
                     ids_hex.append(hashlib.sha256(ids).hexdigest())
-                    text_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
+                    decoded = bpe.decode(ids)
+                    text_hex.append(hashlib.sha256(decoded).hexdigest())
+                    place_hex.append(hashlib.sha256(np.concatenate(bpe.offsets(ids, decoded))).hexdigest())
+            hexes = {"ids_sha256": ids_hex, "decoded_sha256": text_hex, "offsets_sha256": place_hex}
+            columns = {"n_tokens": pa.array(n, pa.int64()), **{k: pa.array(v, pa.string()) for k, v in hexes.items()}}
             if with_ids:
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(whole), "<i4")))
             yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-    return df.withColumn("__bpe", run(F.col(text))).select(*others(df, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids), "__bpe.*")
+    return df.withColumn("__bpe", run(F.col(text))).select(*others(df, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", *["ids"] * with_ids), "__bpe.*")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
