@@ -7,15 +7,16 @@ SAMPLE distinct vectors, an even share by hash; every one is coded. Two codes sh
 for each four dimensions, and a scan adds up one table entry per byte.
 
 Equal vectors are one class, which holds its k + 1 smallest ids (one more than wanted, as a query is no
-neighbour of itself) and is coded, scanned and asked once. Asked classes (in blocks of QUERY_BLOCK) meet all
-coded ones (in blocks of at most about ROW_BLOCK) in one task per pair of blocks, which reranks its own KEEP best
+neighbour of itself) and is coded, scanned and asked once. Asked classes (in blocks of BLOCK_BYTES, so that the
+coded ones are sent to few of them) meet all coded ones (in blocks of at most about ROW_BLOCK) in one task per pair, which reranks its own KEEP best
 vectors of each query by the exact inner product in double precision: what is reranked grows with the blocks, and
 so with the rows. The k + 1 best ids of each block go on, those of all blocks are the answer of each row of the class.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 id, take no part, neither do vectors of another dimension than the most frequent one (ties: the larger);
 repeated rows count once, and of different vectors with the same id the smallest counts; ties go to smaller
-ids; with fewer candidates all are returned; an empty table gives an empty result.
+ids; with fewer candidates all are returned; other columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from versewell.llm.common import Scratch, table
 
 SAMPLE, ROUNDS, SWEEPS, THRESHOLD, SEED = 8192, 8, 2, 0.2, 5
-QUERY_BLOCK, ROW_BLOCK, LEAST_ROW_BLOCKS, KEEP = 8192, 32768, 24, 200
+BLOCK_BYTES, ROW_BLOCK, LEAST_ROW_BLOCKS, KEEP = 64 << 20, 32768, 24, 200
 
 
 class Codebook:
@@ -144,7 +145,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             yield pa.array([row.tobytes() for part in parts for row in part], pa.binary())
 
     row_blocks = max(LEAST_ROW_BLOCKS, -(-size.n // ROW_BLOCK))
-    query_blocks = max(1, -(-size.nq // QUERY_BLOCK))
+    query_blocks = max(1, -(-size.nq * 8 * sizes[0].d // BLOCK_BYTES))
     block = lambda n: F.pmod(F.xxhash64(F.col("id"), F.lit(n)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = df.schema[vector].dataType  # floats travel as they are
