@@ -8,6 +8,12 @@
 
 Stages 1 to 4 return the columns of ``documents``. The stages learn from what they are given: the language
 model is fitted on a bounded sample of the labelled documents of its own input.
+
+Defined results: null, empty and letterless texts go in stage 1. A row without an id counts, in stage 2, by a key
+made of its text, larger than any id, so it goes where a row with an id is its copy. Rows of equal id (or none)
+and equal text leave one row; rows of equal id and different texts are one document and stay or go together. Texts
+of any length are read whole; extra columns stay up to the last stage, which keeps doc_id, lang and source beside
+its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +34,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    by_text = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = docs.withColumn("__key", F.coalesce("doc_id", by_text))
+    found = near_dup.near_duplicates(keyed, key="__key")
+    marks = found.groupBy("__key").agg(F.max(F.col("__key") != F.col("component_id")).alias("copy"), F.count("*").alias("n"))
+    marks = Scratch(spark).write(marks.where("copy OR n > 1"))
+    once = keyed.join(marks, "__key", "left_anti")
+    again = keyed.join(marks.where("NOT copy"), "__key", "left_semi").withColumn("__print", F.xxhash64("text")).dropDuplicates(["__key", "__print"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
