@@ -181,23 +181,61 @@ def test_decontamination_of_short_items_is_exact(duck):
 
 # 4 -----------------------------------------------------------------------------------------------------------
 def test_language_gradients():
-    net, rng = language.Model(["a", "b"]), np.random.default_rng(0)
-    seq, lang, weight = rng.integers(1, 255, (6, 3)), np.array([0, 1, 1]), np.ones(3, "f4")
+    net, rng = language.Model(["a", "b", "c"]), np.random.default_rng(0)
+    seq, lang, weight = rng.integers(1, 255, (7, 4)), np.array([0, 1, 1, 2]), np.array([1, 0.5, 2, 1])
+    seq[5:, 1] = 0  # padding
     net.w = {k: v.astype("f8") for k, v in net.w.items()}
 
     def loss():
-        p = net._position_probs(*net._both(seq))
-        return -np.log(p[:, np.arange(3), lang]).mean()
+        f, b = net._layers()
+        p = net._distributions(f.run(seq), b.run(np.ascontiguousarray(seq[::-1]))[::-1])
+        each = -np.log(p[:, lang, np.arange(4)]) * (seq > 0) * weight
+        return each.sum() / ((seq > 0) * weight).sum()
 
     grad = net.step(seq, lang, weight)
-    for k in ("uf", "ub", "outf", "bias"):
-        at = tuple(0 for _ in net.w[k].shape)
-        net.w[k][at] += 1e-2
-        up = loss()
-        net.w[k][at] -= 2e-2
-        down = loss()
-        net.w[k][at] += 1e-2
-        assert abs((up - down) / 2e-2 - grad[k][at]) < 2e-3
+    for k in grad:
+        assert grad[k].shape == net.w[k].shape
+        for _ in range(12):
+            at = tuple(rng.integers(n) for n in net.w[k].shape)
+            at = (seq[rng.integers(5), rng.integers(4)], at[1]) if k.startswith("in") else at  # a byte that occurs
+            old = net.w[k][at]
+            net.w[k][at] = old + 1e-5
+            up = loss()
+            net.w[k][at] = old - 1e-5
+            down = loss()
+            net.w[k][at] = old
+            assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-7, (k, at)
+
+
+def plain_language(net, text):
+    """The network in plain loops, over the whole text at once."""
+    n, sig = language.HIDDEN, lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, data):
+        w, u, h, out = net.w["in" + d].tolist(), net.w["u" + d].tolist(), [0.0] * n, []
+        for byte in data:
+            dot = [sum(h[i] * u[i][j] for i in range(n)) for j in range(3 * n)]
+            x = w[byte]
+            z, r = ([sig(x[a + j] + dot[a + j]) for j in range(n)] for a in (0, n))
+            c = [math.tanh(x[2 * n + j] + r[j] * dot[2 * n + j]) for j in range(n)]
+            h = [a + g * (b - a) for a, g, b in zip(h, z, c)]
+            out.append(h)
+        return out
+
+    found = []
+    for f, b in zip(states("f", text), states("b", text[::-1])[::-1]):
+        raw = [math.exp(sum(f[i] * net.w["outf"][i, k] + b[i] * net.w["outb"][i, k] for i in range(n)) + net.w["bias"][k]) for k in range(len(net.langs))]
+        found.append([x / sum(raw) for x in raw])
+    return np.array(found)
+
+
+def test_language_forward(duck):
+    net = language.Model(["a", "b", "c"])
+    texts = [t.encode()[:400] for (t,) in duck.sql("SELECT text FROM documents ORDER BY doc_id LIMIT 4").fetchall()]
+    for text, p in zip(texts, net.pooled(texts)):
+        assert np.allclose(net.positions(text), plain_language(net, text), atol=1e-4) and np.allclose(p, plain_language(net, text).mean(0), atol=1e-4)
+    long = texts[0] * 4  # several stretches: their states are warmed up
+    assert len(long) > 2 * language.WINDOW and np.abs(net.positions(long) - plain_language(net, long)).max() < 0.02
 
 
 def test_language(spark, docs):
@@ -216,7 +254,20 @@ def test_language(spark, docs):
 def test_language_labels_every_position(spark):
     net = language.Model(["a", "b"])
     assert net.positions(b"x" * 150).shape == (150, 2)
-    assert np.allclose(net.pooled([b"hello" * 40])[0], net.positions(b"hello" * 40).mean(0), atol=1e-4)
+    big = b"hello " * 200_000
+    assert np.allclose(net.pooled([b"", big, b"x"])[1], net.positions(big).mean(0, dtype="f8"), atol=1e-4) and not net.pooled([b"", b"x"])[0].any()
+
+
+def test_language_samples_whole_texts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 64)
+    monkeypatch.setattr(language, "MOST_LANGS", 3)
+    monkeypatch.setattr(language, "STEPS", 2)
+    seen = {}
+    monkeypatch.setattr(language.Model, "train", lambda self, pieces, lang: seen.update(langs=self.langs, pieces=pieces) or self)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(900)), f"l{i % 5}") for i in range(25)] + [(90 + i, "a b", f"junk{i}") for i in range(50)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    ends = {int(w.rsplit("x", 1)[1]) for p in seen["pieces"] for w in p.decode().split()[1:-1]}
+    assert seen["langs"] == ["l0", "l1", "l2"] and 20 < len(seen["pieces"]) < 150 and max(ends) > 800
 
 
 # 5 -----------------------------------------------------------------------------------------------------------
