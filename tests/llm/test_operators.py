@@ -309,7 +309,7 @@ def brute_components(rows, words):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def test_near_duplicates(spark, duck, docs):
+def test_near_duplicates(spark, duck, docs, monkeypatch):
     rng = random.Random(9)
     base = [w for (t,) in duck.sql("SELECT text FROM documents ORDER BY doc_id LIMIT 5").fetchall() for w in t.split()]
     rows = []
@@ -321,9 +321,14 @@ def test_near_duplicates(spark, duck, docs):
         rows.append((k, " ".join(w)))
     rows += [(300 + i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame([(*r, "x", 0, 1) for r in [*rows, rows[3]]], "doc_id long, text string, key string, n int, comp int")
-    for words in (2, 5):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words).collect()}
-        assert got == brute_components(rows, words)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 5).collect()} == brute_components(rows, 5)
+    monkeypatch.setattr(near_dup, "LEAST_HOT", 3)  # the ways of hot keys and classes, and several blocks
+    monkeypatch.setattr(near_dup, "HOT", 0)
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 2).collect()} == brute_components(rows, 2)
+    twice = df.unionByName(df.where("doc_id IN (3, 4)").withColumn("text", F.lit(rows[9][1])))  # an id of several texts
+    got = near_dup.near_duplicates(twice, 2).collect()
+    assert len(got) == twice.count() and len({(r.doc_id, r.component_id) for r in got if r.doc_id in (3, 4)}) == 2
     null_id = near_dup.near_duplicates(docs, 2).where("doc_id IS NULL").collect()
     assert [r.component_id for r in null_id] == [None]
     assert near_dup.near_duplicates(empty(docs)).count() == 0

@@ -14,19 +14,27 @@ No group of copies is expanded into its pairs:
 3. for keys that still hold several components, the members of *different* components are compared.
 
 So every pair that shares a key is either compared or already connected, and no link between components is
-lost. Before the full sets are fetched, pairs are tested by size (the smaller set must have the needed share
+lost. No key is one task's work: keys of more than HOT of all entries are found by a count over hashed cells of
+bounded number, their centres (at most 1 / HOT of them) are broadcast instead of sorted; in step 3 the members of
+a key are dealt to blocks of about BLOCK, and each pair of blocks is a join key of its own. Classes of more than
+HOT of all rows (at most 1 / HOT, too) are broadcast to their rows. Families of many texts just under the threshold
+still cost a sketch test for each pair; they are spread over all tasks, and give no rows.
+
+Before the full sets are fetched, pairs are tested by size (the smaller set must have the needed share
 of the larger) and by a sketch of 2 bits of each symbol, at six standard deviations. In step 3 an odd sketch
 (parities of the shingles that fall into each of ODD cells; shared shingles cancel out) bounds the symmetric
 difference from below inside the join, so that groups of copies just under the threshold give no pairs.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing; rows of equal
-id count as one document; a row with a null id is its own; an empty table gives an empty result.
+id count as one document, whose texts are all linked by it; a row with a null id is its own; texts of any length
+are read whole; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,7 +47,10 @@ from versewell.llm.common import Scratch, table
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 10, 5, 1, 12
 ODD = 1024
+#: share of all entries (and number) above which a key or class is not left to one task; cells that are counted; members of a block
+HOT, LEAST_HOT, CELLS, BLOCK = 1e-3, 100_000, 1 << 16, 4096
 SIGNATURE = CHUNKS * SYMBOLS
+KEYS = CHUNKS * math.comb(SYMBOLS, ERRORS)
 SLICE_BYTES = 1 << 20
 _rng = np.random.default_rng(20)
 TIMES, PLUS = _rng.integers(0, 1 << 63, (2, SIGNATURE), dtype="u8") | np.uint64(1)
@@ -194,52 +205,104 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "comp")
 
 
+def _spread(left: DataFrame, right: DataFrame, on: list[str], most: int) -> DataFrame:
+    """Inner join with ``right`` (distinct keys; ``members``: how many rows of ``left`` each meets) without a hot task.
+
+    The keys of more than ``most`` members are broadcast: there are at most rows of ``left`` / ``most`` of them.
+    """
+    hot = right.where(F.col("members") > most)
+    if hot.isEmpty():
+        return left.join(right, on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("members") <= most), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
+def _with_centres(rows: DataFrame, most: int, share: float) -> DataFrame:
+    """Entries of keys that several documents hold, each with its key's smallest id and whether the two may be linked."""
+    by_key = W.partitionBy("key").orderBy("id")
+    first = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
+    cell = F.pmod(F.xxhash64("key"), F.lit(CELLS))
+    full = [r.cell for r in rows.groupBy(cell.alias("cell")).count().where(F.col("count") > most).collect()]  # at most entries / most of the CELLS
+    parts = []
+    if full:
+        some = rows.where(cell.isin(full))
+        heads = some.groupBy("key").agg(F.count("*").alias("members"), *[F.min_by(c, "id").alias(f"c_{c}") for c in ("id", "n", "s1", "s2")])
+        hot = F.broadcast(heads.where(F.col("members") > most).drop("members"))
+        parts.append(some.join(hot, "key"))
+        rows = rows.where(~cell.isin(full)).unionByName(some.join(hot.select("key"), "key", "left_anti"))
+    held = rows.select("*", *[F.first(c).over(first).alias(f"c_{c}") for c in ("id", "n", "s1", "s2")], F.lead("id").over(by_key).alias("next"))
+    parts.append(held.where("next IS NOT NULL OR id <> c_id").drop("next"))
+    near = (_may_link("", "c_", share) & F.expr("id <> c_id")).alias("near")
+    return reduce(DataFrame.unionByName, parts).select("key", "id", "n", "s1", "s2", F.col("c_id").alias("centre"), near)
+
+
+def _across(rest: DataFrame, share: float) -> DataFrame:
+    """Pairs of members of one key that lie in different components and may be linked; ``members``: of the key."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = ("id", "comp", "n", "s1", "s2", *[f"o{k}" for k in range(ODD // 64)])
+    to = F.sequence(F.col("block"), F.col("blocks") - 1)
+    x = rest.select("key", F.col("block").alias("one"), F.explode(to).alias("two"), *[F.col(c).alias(f"x_{c}") for c in own])
+    of = F.sequence(F.lit(0).cast("long"), F.col("block"))
+    y = rest.select("key", F.explode(of).alias("one"), F.col("block").alias("two"), *[F.col(c).alias(f"y_{c}") for c in own])
+    apart = F.expr("x_comp < y_comp OR (one < two AND x_comp > y_comp)")
+    met = x.join(y, ["key", "one", "two"]).where(apart & _may_link("x_", "y_", share) & _odd_may_link("x_", "y_", share))
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, words: int = 5, share: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: its key, ``n_shingles`` and ``component_id``."""
+    import xxhash
+
     scratch = Scratch(df.sparkSession)
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     prints = scratch.write(fingerprints(docs, words).select("id", "print.*"))
-    linkable = prints.where("id IS NOT NULL AND n > 0")
+    full = prints.where("id IS NOT NULL AND n > 0")
+    # an id of several texts counts by the one whose set has the smallest hash
+    whole = F.struct("h1", "h2")
+    several = scratch.write(full.groupBy("id").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select("id", "lo"))
+    linkable = full.join(several, "id", "left").where("lo IS NULL OR (h1 = lo.h1 AND h2 = lo.h2)")
     classes = scratch.write(
-        linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("odd").alias("odd"), F.first("keys").alias("keys"))
+        linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "odd", "keys")])
     )
 
-    # keys of at least two documents, and whether the document may be linked with the key's first one
-    by_key = W.partitionBy("key").orderBy("id")
-    first = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = classes.select(F.explode("keys").alias("key"), "id", "n", "s1", "s2")
-    shared = rows.select("*", *[F.first(c).over(first).alias(f"c_{c}") for c in ("id", "n", "s1", "s2")], F.lead("id").over(by_key).alias("next"))
-    shared = shared.where("next IS NOT NULL OR id <> c_id")
-    shared = scratch.write(shared.select("key", "id", "n", "s1", "s2", F.col("c_id").alias("centre"), (_may_link("", "c_", share) & F.expr("id <> c_id")).alias("near")))
+    most = max(LEAST_HOT, int(classes.count() * KEYS * HOT))
+    shared = scratch.write(_with_centres(rows, most, share))
 
-    ids = shared.select("id").distinct()
-    as_bytes = F.arrow_udf(lambda x: pa.array([shingles(t.as_py(), words).tobytes() for t in x], pa.binary()), "binary")
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.write(texts.select("id", as_bytes("text").alias("set")))
+    @F.arrow_udf("struct<hash binary, set binary>")
+    def as_bytes(texts: pa.Array) -> pa.Array:
+        sets = [shingles(t.as_py(), words).tobytes() for t in texts]
+        hashes = [xxhash.xxh3_128_digest(s) for s in sets]
+        return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], ["hash", "set"])
+
+    wanted = classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2")
+    texts = docs.join(wanted, "id").withColumn("own", as_bytes("text"))
+    same = F.hex("own.hash") == F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")])
+    sets = scratch.write(texts.where(same).select("id", F.col("own.set").alias("set")).dropDuplicates(["id"]))
 
     stars = scratch.write(shared.where("near").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = scratch.write(_confirmed(stars, sets, share))
     labels = components(links, scratch)
 
     labelled = shared.drop("centre", "near").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(several, "key", "left_semi")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+    rest = _spread(labelled, scratch.write(mixed), ["key"], most)
     odd = classes.select("id", *[F.col("odd")[k].alias(f"o{k}") for k in range(ODD // 64)])
     rest = scratch.write(rest.join(odd, "id"))
-    own = ("id", "comp", "n", "s1", "s2", *[f"o{k}" for k in range(ODD // 64)])
-    x = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in own])
-    y = rest.select("key", *[F.col(c).alias(f"y_{c}") for c in own])
-    across = x.join(y, (x.key == y.key) & F.expr("x_comp < y_comp") & _may_link("x_", "y_", share) & _odd_may_link("x_", "y_", share))
-    pairs = across.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    more = scratch.write(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, share))
+    pairs = _across(rest, share).join(stars, ["a", "b"], "left_anti")
+    more = scratch.write(_confirmed(pairs, sets, share))
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch)
 
-    of_class = classes.select("h1", "h2", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
-    found = prints.select("id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    comp = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), comp.alias("component_id"))
+    of_class = classes.select("h1", "h2", "members", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    of_class = scratch.write(of_class.select("h1", "h2", "members", F.coalesce("comp", "rep").alias("comp")))
+    scratch.drop(*[t for t, _ in scratch.written if not any(t is x for x in (prints, several, of_class))])
+    held = prints.select("id", "n", "h1", "h2").where("id IS NOT NULL AND n > 0").join(several, "id", "left")
+    held = held.select("id", "n", F.coalesce("lo.h1", "h1").alias("h1"), F.coalesce("lo.h2", "h2").alias("h2"))
+    found = _spread(held, of_class, ["h1", "h2"], max(LEAST_HOT, int(prints.count() * HOT))).select("id", "n", "comp")
+    alone = prints.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("comp"))
+    return found.unionByName(alone).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
