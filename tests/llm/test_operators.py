@@ -58,12 +58,101 @@ def test_lm_score(spark, docs, monkeypatch):
     assert {r.n_known for r in lm_score.score(docs, none, lm_score.train(empty(docs), none)).collect()} == {0}
 
 
-def test_lm_is_a_distribution(spark, docs):
-    counts = lm_score.count_words(docs)
-    reader = lm_score.Reader(lm_score.train(docs, counts))
-    _, _, _, outcome, rows = reader.read([lm_score.tokens("one two three zebra")])
-    _, p, q = reader.probabilities(outcome, rows)
-    assert np.allclose(p.sum(1), 1) and np.allclose(q.sum(1), 1)
+def plain_lm(m, words):
+    """The model's log10 probability of words, in plain loops."""
+    def mix(x):
+        x &= 0xFFFFFFFF
+        return ((x ^ x >> 15) * 2654435761) & 0xFFFFFFFF
+
+    def outcome(w):
+        k = m.words.index(w) if w in m.words else None
+        return k if k is not None and k < lm_score.TOP else lm_score.TOP + zlib.crc32(w) % lm_score.TAIL
+
+    def softmax(row):
+        top = [math.exp(x) for x in row]
+        return [x / sum(top) for x in top]
+
+    total, mass = 0.0, m.mass.reshape(lm_score.CLASSES, lm_score.MEMBERS) + 0.5
+    c = dict(zip(m.words, m.counts.tolist()))
+    for k, w in enumerate(words):
+        one = zlib.crc32(words[k - 1]) if k else 1
+        two = zlib.crc32(words[k - 2]) if k > 1 else 1
+        y = outcome(w)
+        cls, member = divmod(y, lm_score.MEMBERS)
+        of_class, of_member = np.log(mass.sum(1) / mass.sum()), np.log(mass[cls] / mass[cls].sum())
+        for f, h in enumerate((mix(one), mix(one * 31 + two), mix(two ^ 0x5BD1E995))):
+            of_class = of_class + m.class_w[f * lm_score.BUCKETS + h // (2**32 // lm_score.BUCKETS)]
+            salted = ((h ^ (cls * lm_score.FEATURES + f) * 0x9E3779B1 & 0xFFFFFFFF) * 0x85EBCA6B) & 0xFFFFFFFF
+            of_member = of_member + m.member_w[salted // (2**32 // lm_score.MEMBER_ROWS)]
+        total += math.log10(softmax(of_class)[cls]) + math.log10(softmax(of_member)[member])
+        if y >= lm_score.TOP:
+            total += math.log10(c.get(w, 0) + 1) - math.log10(m.mass[y] + m.kinds[y] + 1)
+    return total
+
+
+def test_lm_score_by_plain_loops(spark, docs):
+    many = " ".join(f"w{k}" for k in range(2000))  # more words than have an outcome of their own
+    new = spark.createDataFrame([(90, "one two w3 w1999 unseen three w1700"), (91, "w1 w2 w3 w4 w5")], "doc_id long, text string")
+    learn = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50 + k, many) for k in range(9)], "doc_id long, text string"))
+    counts = lm_score.count_words(learn)
+    m = lm_score.train(learn, counts)
+    assert np.abs(m.class_w).max() > 0.1 and np.abs(m.member_w).max() > 0.1
+    both = docs.select("doc_id", "text").unionByName(new)
+    texts = {r.doc_id: r.text for r in both.collect()}
+    for r in lm_score.score(both, counts, m).collect():
+        if texts[r.doc_id] != LONG:
+            assert math.isclose(r.score, plain_lm(m, lm_score.tokens(texts[r.doc_id])), rel_tol=1e-4), r
+
+
+def test_lm_gradient(spark, docs):
+    counts, rng = lm_score.count_words(docs), np.random.default_rng(1)
+    m = lm_score.train(docs, counts)
+    part = [(0, 0, lm_score.tokens("one two three four zebra one two")), (1, 2, [b"one", b"two", *lm_score.tokens("three four")])]
+    g = np.zeros((lm_score.CLASSES, len(m.class_w) + len(m.member_w)))
+    n = len(m.class_w)
+    lm_score.add_gradient(lm_score.Reader(m), part, g[:, :n], g[:, n:])
+
+    def value():
+        reader = lm_score.Reader(m)
+        _, _, counted, _, y, contexts = reader.read(part)
+        p, q = reader.probabilities(y, *reader.rows(contexts, y // lm_score.MEMBERS))
+        at = np.arange(len(y))
+        return (np.log(p[at, y // lm_score.MEMBERS].astype("f8")) + np.log(q[at, y % lm_score.MEMBERS].astype("f8")))[counted].sum()
+
+    for w, part_of_g in ((m.class_w, g[:, :n].T), (m.member_w, g[:, n:].T)):
+        rows = np.flatnonzero(part_of_g.any(1))
+        for _ in range(15):
+            at = (rng.choice(rows), rng.integers(w.shape[1]))
+            old = w[at]
+            w[at] = old + 0.05
+            up = value()
+            w[at] = old - 0.05
+            down = value()
+            w[at] = old
+            assert abs((up - down) / 0.1 - part_of_g[at]) < 5e-3
+
+
+def test_lm_reads_long_texts_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a bb ccc " * 300, "", None, "x" * 500 + " y", "one two"]
+    whole = [lm_score.tokens(t) for t in texts]
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 40)
+    parts = [p for held in lm_score._stretches(pa.array(texts)) for p in held]
+    for k, words in enumerate(whole):
+        mine = [(skip, w) for place, skip, w in parts if place == k]
+        assert [x for skip, w in mine for x in w[skip:]] == words
+        done = []
+        for skip, w in mine:
+            assert w[:skip] == (done[-2:] if skip else [])
+            done += w[skip:]
+    assert len(whole[3][0]) == 32  # a long word goes by its hash
+
+
+def test_lm_frequent_words_are_bounded(spark):
+    counts = spark.range(5000).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"), F.when(F.col("id") < 10, 900).otherwise(7).alias("c"))
+    some = lm_score.frequent(counts, 1000)
+    assert 600 < some.count() <= 1000 and some.where("c = 900").count() == 10 and lm_score.frequent(counts, 9000).count() == 5000
 
 
 def test_lm_learns(spark):
@@ -71,6 +160,28 @@ def test_lm_learns(spark):
     assert all(r.s > r.b for r in got)  # better than the unigram base, on held-out texts too
 
 
+def test_lm_prefers_what_it_saw(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    follow = {w: words[k - 1] for k, w in enumerate(words)}
+    rows = []
+    for k in range(400):
+        w, said = rng.choice(words), []
+        for _ in range(60):
+            said.append(w)
+            w = follow[w] if rng.random() < 0.8 else rng.choice(words)
+        rows.append((k, " ".join(said)))
+    learn = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm_score.count_words(learn)
+    chain = ["w3"]
+    while len(chain) < 30:
+        chain.append(follow[chain[-1]])
+    odd = rng.sample(chain, len(chain))  # the same words in another order
+    new = spark.createDataFrame([(1, " ".join(chain)), (2, " ".join(odd))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(new, counts, lm_score.train(learn, counts)).collect()}
+    assert math.isclose(got[1].base_score, got[2].base_score, rel_tol=1e-9) and got[1].score > got[2].score + 5
+
+
 # 2 -----------------------------------------------------------------------------------------------------------
 def test_url_rules(spark):
     urls = {

@@ -1,32 +1,40 @@
 """LM scoring: a hashed maximum-entropy model of the next word.
 
-Words are runs of non-space bytes, A-Z lower-cased; every text ends with one end token. A word's outcome is
-its own (the TOP most frequent words) or one of TAIL hashed ones; outcomes are ordered by frequency and dealt
-to CLASSES classes, so that
+Words are runs of non-space bytes, A-Z lower-cased; every text ends with one end token. Words of more than KEY_BYTES
+bytes go by their SHA-256. A word's outcome is its own (the TOP most frequent words) or one of TAIL hashed ones;
+outcomes are ordered by frequency and dealt to CLASSES classes, so that
 
     P(word | context) = P(class | context) * P(outcome | class, context) * P(word | outcome).
 
 The first two are softmaxes over hashed context features (the previous word, the two previous words, and the
-word before the previous one alone), on top of corpus frequencies as bias. The last is the word's share of
-its outcome, with one added to each count and one unseen word.
+word before the previous one alone), on top of corpus frequencies as bias: a row of weights for each of BUCKETS
+contexts of a feature, and one for each of MEMBER_ROWS hashed pairs of context and class. The last is the word's
+share of its outcome, with one added to each count and one unseen word.
 
-Counting covers all training texts. Training runs ROUNDS rounds over disjoint parts of them: every task sums
-observed and expected feature counts in numpy, Spark adds the sums up, and the driver takes one gradient step
-(scaled by the expected counts); it only ever holds the weights, whose number is fixed. Scoring needs each
-word's count: the HEAD most frequent words of at most HEAD_BYTES bytes travel with the model (a bounded
-table, whole bins of a histogram of counts), all other words of a text are joined to the counts by a shuffle.
+Counting covers all training texts. Training goes EPOCHS times over them, in PARTS steps each: every task sums the
+gradient of its texts in numpy and sends the rows that they touch, Spark adds them up, and the driver, which only
+ever holds the weights, whose number is fixed, takes the step (AdaGrad). Tasks read as much text as outweighs
+what they send. Scoring needs each word's count, and the table of counts grows with the corpus: the HEAD most frequent
+words travel with the model (a bounded table, from a histogram of counts), all other words of a text, each of which
+is at most 1 / HEAD of all tokens, are joined to the counts by a shuffle.
+
+Texts are read in stretches of at most about SLICE_BYTES, the words before a stretch going with it as context.
 
 Defined results: a null text is the empty one, which is its end token alone; repeated rows are scored each;
-with no training text, N and V are 0 and every count is 0; an empty table gives an empty result.
+with no training text, N and V are 0 and every count is 0; texts of any length are read whole; outputs take the
+place of columns of their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +43,44 @@ from pyspark.sql import functions as F
 
 from versewell.llm.common import Scratch, held_out, others, table
 
-CLASSES, MEMBERS, TAIL = 16, 16, 64
+CLASSES, MEMBERS, TAIL = 32, 32, 128
 TOP = CLASSES * MEMBERS - TAIL
-FEATURES, BUCKETS = 3, 256
-ROWS = FEATURES * BUCKETS
-HEAD, HEAD_BYTES = 1 << 16, 32
-ROUNDS, DAMPING, CLIP = 3, 4.0, 1.5
+FEATURES, BUCKETS, MEMBER_ROWS = 3, 1 << 13, 1 << 16
+HEAD, KEY_BYTES = 1 << 16, 32
+EPOCHS, PARTS, RATE, DAMPING, LIMIT = 2, 2, 0.7, 8.0, 6.0
 END = b" "
-FLUSH, SLICE_BYTES = 100_000, 1 << 20
+FLUSH, SLICE_BYTES, CHUNK, TASK_TOKENS, LEAST_TASKS = 100_000, 1 << 19, 1 << 16, 1 << 25, 4
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+def _words(raw: bytes) -> list[bytes]:
+    return [w if len(w) <= KEY_BYTES else hashlib.sha256(w).digest() for w in raw.lower().split()]
 
 
-def _slices(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    """Tokens of all texts, in slices of bounded size."""
-    step = max(1, int(len(texts) * SLICE_BYTES / max(texts.nbytes, 1)))
-    for at in range(0, len(texts), step):
-        yield [tokens(x) for x in texts.slice(at, step).to_pylist()]
+def tokens(text: str | None) -> list[bytes]:
+    return [*_words((text or "").encode()), END]
+
+
+def _stretches(texts: pa.Array) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """(place of the text, number of words that are context only, words) in lists of bounded size."""
+    held, size = [], 0
+    for place, text in enumerate(texts):
+        raw, at, before = (text.as_py() or "").encode(), 0, []
+        while True:
+            end = at + SLICE_BYTES
+            cut = _SPACE.search(raw, end) if end < len(raw) else None
+            end = cut.start() if cut else len(raw)
+            words = _words(raw[at:end]) + ([] if cut else [END])
+            held.append((place, len(before), before + words))
+            size += end - at + 64
+            if size > SLICE_BYTES:
+                yield held
+                held, size = [], 0
+            if not cut:
+                break
+            at, before = end, (before + words)[-2:]
+    if held:
+        yield held
 
 
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
@@ -68,9 +95,9 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for docs in _slices(batch.column(text)):
-                for words in docs:
-                    seen.update(words)
+            for part in _stretches(batch.column(text)):
+                for _, skip, words in part:
+                    seen.update(words[skip:])
                 if len(seen) > FLUSH:
                     yield flush()
         yield flush()
@@ -86,8 +113,8 @@ class Model:
     counts: np.ndarray  # theirs
     mass: np.ndarray  # count of each outcome
     kinds: np.ndarray  # distinct words of each outcome
-    class_w: np.ndarray  # [ROWS, CLASSES]
-    member_w: np.ndarray  # [ROWS * CLASSES, MEMBERS]
+    class_w: np.ndarray  # [FEATURES * BUCKETS, CLASSES]
+    member_w: np.ndarray  # [MEMBER_ROWS, MEMBERS]
 
 
 class Reader:
@@ -97,89 +124,110 @@ class Reader:
         self.m = m
         self.index = {w: k for k, w in enumerate(m.words)}
         self.crc = np.array([zlib.crc32(w) for w in m.words] or [0], "u4")
-        self.outcome = np.where(np.arange(len(self.crc)) < TOP, np.arange(len(self.crc)), TOP + self.crc % TAIL).astype("i8")
+        self.outcome = np.where(np.arange(len(self.crc)) < TOP, np.arange(len(self.crc)), TOP + self.crc % TAIL).astype("i4")
         mass = m.mass.reshape(CLASSES, MEMBERS) + 0.5
         self.class_bias = np.log(mass.sum(1) / mass.sum()).astype("f4")
         self.member_bias = np.log(mass / mass.sum(1, keepdims=True)).astype("f4")
 
-    def read(self, docs: list[list[bytes]]):
-        """place in the head (-1: none), crc, outcome of every token; feature rows [FEATURES, tokens]; tokens of each text."""
-        lengths = np.array([len(d) for d in docs])
-        flat = [w for d in docs for w in d]
+    def read(self, part: list[tuple[int, int, list[bytes]]]):
+        """Words, which of them count, place in the head (-1: none) and outcome of each; hashed contexts [FEATURES, words]."""
+        lengths = np.array([len(words) for _, _, words in part])
+        flat = [w for _, _, words in part for w in words]
         get = self.index.get
-        place = np.fromiter((get(w, -1) for w in flat), "i8", len(flat))
+        place = np.fromiter(map(get, flat, repeat(-1)), "i4", len(flat))
         crc, outcome = self.crc[place], self.outcome[place]
         other = np.flatnonzero(place < 0)
-        crc[other] = [zlib.crc32(flat[k]) for k in other.tolist()]
+        crc[other] = np.fromiter(map(zlib.crc32, map(flat.__getitem__, other.tolist())), "u4", len(other))
         outcome[other] = TOP + crc[other] % TAIL
         starts = np.cumsum(lengths) - lengths
         one, two = np.roll(crc, 1), np.roll(crc, 2)
         one[starts] = two[starts] = 1
-        second = starts[lengths > 1] + 1
-        two[second] = 1
-        mix = lambda x: ((x * np.uint32(2654435761)) >> np.uint32(24)).astype("i8")  # noqa: E731  of 256 buckets
-        rows = np.stack([mix(one), mix(one * np.uint32(31) + two), mix(two ^ np.uint32(0x5BD1E995))])
-        return flat, lengths, place, outcome, rows + np.arange(FEATURES)[:, None] * BUCKETS
-
-    def probabilities(self, outcome: np.ndarray, rows: np.ndarray):
+        two[starts[lengths > 1] + 1] = 1
+        counts = np.ones(len(flat), bool)
+        for start, (_, skip, _) in zip(starts.tolist(), part):
+            counts[start : start + skip] = False
+        mix = lambda x: (x ^ x >> np.uint32(15)) * np.uint32(2654435761)
+        return flat, lengths, counts, place, outcome, np.stack([mix(one), mix(one * np.uint32(31) + two), mix(two ^ np.uint32(0x5BD1E995))])
+
+    @staticmethod
+    def rows(contexts: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of class_w and of member_w, [FEATURES, words] each."""
+        own = (contexts >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype("i8") + np.arange(FEATURES)[:, None] * BUCKETS
+        salted = (contexts ^ (cls.astype("u4") * np.uint32(FEATURES) + np.arange(FEATURES, dtype="u4")[:, None]) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+        return own, (salted >> np.uint32(32 - MEMBER_ROWS.bit_length() + 1)).astype("i8")
+
+    def probabilities(self, outcome: np.ndarray, own: np.ndarray, of_class: np.ndarray):
         """P(class | context) [n, CLASSES] and P(member | class, context) [n, MEMBERS] for each token's own class."""
-        cls = outcome // MEMBERS
-        p = self.class_bias + sum(self.m.class_w[r] for r in rows)
-        q = self.member_bias[cls] + sum(self.m.member_w[r * CLASSES + cls] for r in rows)
-        for x in (p, q):
-            x -= x.max(1, keepdims=True)
+        p = self.m.class_w.take(own[0], 0)
+        q = self.m.member_w.take(of_class[0], 0)
+        for f in range(1, FEATURES):
+            p += self.m.class_w.take(own[f], 0)
+            q += self.m.member_w.take(of_class[f], 0)
+        p += self.class_bias
+        q += self.member_bias.take(outcome // MEMBERS, 0)
+        for x in (p, q):  # weights are bounded, so that no exponential overflows
             np.exp(x, out=x)
-            x /= x.sum(1, keepdims=True)
-        return cls, p, q
-
-
-def _gradient(df: DataFrame, model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected counts of all features, [2, ROWS, CLASSES] and [2, ROWS * CLASSES, MEMBERS]."""
+            x /= (x @ np.ones(x.shape[1], "f4"))[:, None]
+        return p, q
+
+
+def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class_g: np.ndarray, member_g: np.ndarray) -> None:
+    """Add the gradient of the log-likelihood (observed less expected features) of texts; [CLASSES, rows] both."""
+    _, _, counts, _, outcome, contexts = reader.read(part)
+    keep = np.flatnonzero(counts)
+    for at in range(0, len(keep), CHUNK):
+        mine = keep[at : at + CHUNK]
+        y, ctx = outcome[mine], contexts[:, mine]
+        own, of_class = reader.rows(ctx, y // MEMBERS)
+        p, q = reader.probabilities(y, own, of_class)
+        n = np.arange(len(mine))
+        np.negative(p, out=p)
+        np.negative(q, out=q)
+        p[n, y // MEMBERS] += 1
+        q[n, y % MEMBERS] += 1
+        for to, rows, values in ((class_g, own, p), (member_g, of_class, q)):
+            for k, column in enumerate(np.ascontiguousarray(values.T)):
+                for f in range(FEATURES):
+                    to[k] += np.bincount(rows[f], column, to.shape[1])
+
+
+def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
+    """Sum of gradients over all texts, [FEATURES * BUCKETS + MEMBER_ROWS, CLASSES]."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    width = max(CLASSES, MEMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(held.value)
-        class_sum, member_sum = np.zeros((2, ROWS, CLASSES)), np.zeros((2, ROWS * CLASSES, MEMBERS))
+        reader, g = Reader(held.value), np.zeros((CLASSES, FEATURES * BUCKETS + MEMBER_ROWS), "f4")
         for batch in batches:
-            for docs in _slices(batch.column(text)):
-                _, _, _, outcome, rows = reader.read(docs)
-                cls, p, q = reader.probabilities(outcome, rows)
-                member = outcome % MEMBERS
-                for r in rows:
-                    rc = r * CLASSES + cls
-                    class_sum[0] += np.bincount(rc, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-                    member_sum[0] += np.bincount(rc * MEMBERS + member, minlength=ROWS * CLASSES * MEMBERS).reshape(-1, MEMBERS)
-                    for k in range(CLASSES):
-                        class_sum[1, :, k] += np.bincount(r, p[:, k], ROWS)
-                    for k in range(MEMBERS):
-                        member_sum[1, :, k] += np.bincount(rc, q[:, k], ROWS * CLASSES)
-        both = np.concatenate([class_sum, member_sum], 1)  # CLASSES == MEMBERS
-        some = np.flatnonzero(both[0].any(1) | both[1].any(1))
-        columns = [pa.array(some, pa.int32()), *[pa.array(both[s, some, k].astype("f4")) for s in range(2) for k in range(width)]]
-        yield pa.RecordBatch.from_arrays(columns, ["row", *names])
-
-    names = [f"{s}{k}" for s in ("obs", "exp") for k in range(width)]
-    sums = df.select(text).mapInArrow(run, ", ".join(["row int", *[f"{n} float" for n in names]]))
-    found = sums.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # at most ROWS * (1 + CLASSES) rows
-    both = np.zeros((2, ROWS * (1 + CLASSES), width))
-    both[:, found["row"].to_numpy()] = found[names].to_numpy().reshape(-1, 2, width).transpose(1, 0, 2)
-    return both[:, :ROWS], both[:, ROWS:]
+            for part in _stretches(batch.column(text)):
+                add_gradient(reader, part, g[:, : FEATURES * BUCKETS], g[:, FEATURES * BUCKETS :])
+        some = np.flatnonzero(g.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some]) for x in g]], ["row", *names])
+
+    names = [f"g{k}" for k in range(CLASSES)]
+    tasks = max(LEAST_TASKS, -(-model.total // TASK_TOKENS))
+    sums = df.select(text).coalesce(tasks).mapInArrow(run, ", ".join(["row int", *[f"{n} float" for n in names]]))
+    found = sums.groupBy("row").agg(*[F.sum(n).cast("float").alias(n) for n in names]).toArrow()  # a row for each row of weights at most
+    out = np.zeros((FEATURES * BUCKETS + MEMBER_ROWS, CLASSES), "f4")
+    out[found["row"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], 1)
+    held.destroy()
+    return out
 
 
 def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
-    """The most frequent words, at most HEAD: those in the upper bins of a histogram of counts, whole bins only.
+    """The most frequent words, at most HEAD: the upper bins of a histogram of counts, and a share by hash of the next.
 
     The histogram has 16 bins for each doubling, so that neither it nor the words grow with the corpus.
     """
-    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("bin", F.floor(F.log2("c") * 16))
-    least, left = None, HEAD if most is None else most
-    for r in sorted(short.groupBy("bin").count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r.bin
-    return short.where(F.col("bin") >= F.lit(least)).drop("bin") if least is not None else short.where("1 = 0").drop("bin")
+    binned = counts.withColumn("bin", F.floor(F.log2("c") * 16))
+    left, keep = HEAD if most is None else most, F.lit(False)
+    for r in sorted(binned.groupBy("bin").count().collect(), reverse=True):
+        if r["count"] <= left:
+            keep = keep | (F.col("bin") == r.bin)
+            left -= r["count"]
+            continue
+        share = F.pmod(F.xxhash64("word"), F.lit(r["count"])) < max(left - 6 * math.isqrt(left), 0)
+        return binned.where(keep | ((F.col("bin") == r.bin) & share)).drop("bin")
+    return binned.where(keep).drop("bin")
 
 
 def train(df: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -194,14 +242,14 @@ def train(df: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "te
     mass[: min(TOP, len(words))] = head["c"][:TOP]
     for r in tail:
         mass[r.o], kinds[r.o] = r.c, r.n
-    model = Model(
-        int(total), int(distinct), words, head["c"].to_numpy("i8"), mass, kinds,
-        np.zeros((ROWS, CLASSES), "f4"), np.zeros((ROWS * CLASSES, MEMBERS), "f4"),
-    )
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(ROUNDS))
-    for k in range(ROUNDS):
-        for w, (seen, expected) in zip((model.class_w, model.member_w), _gradient(df.where(part == k), model, text)):
-            w += np.clip((seen - expected) / (FEATURES * (expected + DAMPING)), -CLIP, CLIP).astype("f4")
+    w = np.zeros((FEATURES * BUCKETS + MEMBER_ROWS, CLASSES), "f4")
+    model = Model(int(total), int(distinct), words, head["c"].to_numpy("i8"), mass, kinds, w[: FEATURES * BUCKETS], w[FEATURES * BUCKETS :])
+    squares, part = np.full_like(w, DAMPING**2), F.pmod(F.xxhash64(F.col(key)), F.lit(PARTS))
+    for step in range(EPOCHS * PARTS):
+        g = _gradient(df.where(part == step % PARTS), model, text)
+        squares += g * g
+        w += RATE * g / np.sqrt(squares)
+        np.clip(w, -LIMIT, LIMIT, out=w)
     return model
 
 
@@ -209,40 +257,40 @@ def score(df: DataFrame, counts: DataFrame, model: Model, text: str = "text") ->
     """Add n_tokens, n_known, train_tokens, base_score and score to every row."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     held = spark.sparkContext.broadcast(model)
-    shape = pa.struct([("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                       ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+    shape = pa.struct([("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary()))])
 
-    @F.arrow_udf("struct<n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<int>>")
+    @F.arrow_udf("struct<n_tokens bigint, known bigint, base double, score double, words array<binary>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(held.value)
         logs = np.append(np.log10(reader.m.counts + 1.0), 0.0)  # of head words; 0 at place -1
         size = np.log10(np.maximum(reader.m.mass + reader.m.kinds + 1, 1))
         size[:TOP] = 0
         for batch in batches:
-            parts = []
-            for docs in _slices(batch):
-                flat, lengths, place, outcome, rows = reader.read(docs)
-                cls, p, q = reader.probabilities(outcome, rows)
-                at = np.arange(len(flat))
-                model_log = np.log10(p[at, cls]) + np.log10(q[at, outcome % MEMBERS]) - size[outcome]
-                model_log += np.where(outcome < TOP, 0, logs[place])
-                starts = np.cumsum(lengths) - lengths
-                add = lambda x, starts=starts: np.add.reduceat(x, starts)
-                others, ends, words, times = np.flatnonzero(place < 0), np.cumsum(lengths), [], []
-                for lo, hi in zip(np.searchsorted(others, starts), np.searchsorted(others, ends)):
-                    own = Counter([flat[k] for k in others[lo:hi].tolist()])
-                    words.append(list(own))
-                    times.append(list(own.values()))
-                columns = [pa.array(lengths, pa.int64()), pa.array(add((place >= 0).astype("i8"))), pa.array(add(logs[place])), pa.array(add(model_log.astype("f8"))),
-                           pa.array(words, shape.field(4).type), pa.array(times, shape.field(5).type)]
-                parts.append(pa.StructArray.from_arrays(columns, fields=list(shape)))
-            yield pa.concat_arrays(parts) if parts else pa.array([], shape)
+            sums, rare, owner = np.zeros((4, len(batch))), [], []
+            for part in _stretches(batch):
+                flat, lengths, counts, place, outcome, contexts = reader.read(part)
+                told = np.empty(len(flat))
+                for at in range(0, len(flat), CHUNK):
+                    y, here = outcome[at : at + CHUNK], place[at : at + CHUNK]
+                    p, q = reader.probabilities(y, *reader.rows(contexts[:, at : at + CHUNK], y // MEMBERS))
+                    n = np.arange(len(y))
+                    told[at : at + CHUNK] = np.log10(p[n, y // MEMBERS]) + np.log10(q[n, y % MEMBERS]) - size[y] + np.where(y < TOP, 0, logs[here])
+                text_of = np.repeat([k for k, _, _ in part], lengths)
+                for k, values in enumerate((np.ones(len(flat)), place >= 0, logs[place], told)):
+                    sums[k] += np.bincount(text_of, values * counts, len(batch))
+                others = np.flatnonzero((place < 0) & counts)
+                rare += [flat[k] for k in others.tolist()]
+                owner.append(text_of[others])
+            each = np.bincount(np.concatenate(owner), minlength=len(batch)) if owner else np.zeros(len(batch), "i8")
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(rare, pa.binary()))
+            columns = [pa.array(sums[0].astype("i8")), pa.array(sums[1].astype("i8")), pa.array(sums[2]), pa.array(sums[3]), words]
+            yield pa.StructArray.from_arrays(columns, fields=list(shape))
 
     own = others(df, text, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     first = df.withColumn("__s", run(F.col(text))).select(F.monotonically_increasing_id().alias("__row"), *own, "__s")
     first = scratch.write(first)
-    pairs = first.select("__row", F.explode(F.arrays_zip("__s.words", "__s.times")).alias("x")).select("__row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    rare = pairs.join(counts, "word").groupBy("__row").agg(F.sum("k").alias("__k"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("__log"))
+    pairs = first.select("__row", F.explode("__s.words").alias("word"))
+    rare = pairs.join(counts, "word").groupBy("__row").agg(F.count("*").alias("__k"), F.sum(F.log10(F.col("c") + 1)).alias("__log"))
     slim = first.withColumn("__s", F.struct(*[F.col(f"__s.{c}") for c in ("n_tokens", "known", "base", "score")]))
     told = slim.join(rare, "__row", "left")
     log = F.coalesce("__log", F.lit(0.0))
@@ -260,4 +308,3 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = docs.where("NOT held_out")
     counts = Scratch(spark).write(count_words(learn))
     return score(docs, counts, train(learn, counts))
-
