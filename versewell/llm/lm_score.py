@@ -186,9 +186,9 @@ def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class
         p[n, y // MEMBERS] += 1
         q[n, y % MEMBERS] += 1
         for to, rows, values in ((class_g, own, p), (member_g, of_class, q)):
-            for k, column in enumerate(np.ascontiguousarray(values.T)):
-                for f in range(FEATURES):
-                    to[k] += np.bincount(rows[f], column, to.shape[1])
+            flat = rows.ravel()
+            for k, column in enumerate(np.ascontiguousarray(values.T, "f8")):
+                to[k] += np.bincount(flat, np.tile(column, FEATURES), to.shape[1])
 
 
 def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
@@ -236,12 +236,13 @@ def train(df: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "te
     head = frequent(counts).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     words = [bytes(w) for w in head["word"]]
     outcome = F.lit(TOP) + F.crc32("word") % TAIL
-    rest = counts.where(~F.col("word").isin(words[:TOP])) if words else counts
-    tail = rest.groupBy(outcome.alias("o")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # TAIL rows
+    tail = counts.groupBy(outcome.alias("o")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # TAIL rows
     mass, kinds = np.zeros(TOP + TAIL), np.zeros(TOP + TAIL)
-    mass[: min(TOP, len(words))] = head["c"][:TOP]
     for r in tail:
         mass[r.o], kinds[r.o] = r.c, r.n
+    for k, (word, c) in enumerate(zip(words[:TOP], head["c"][:TOP])):  # these are no part of it
+        o = TOP + zlib.crc32(word) % TAIL
+        mass[k], mass[o], kinds[o] = c, mass[o] - c, kinds[o] - 1
     w = np.zeros((FEATURES * BUCKETS + MEMBER_ROWS, CLASSES), "f4")
     model = Model(int(total), int(distinct), words, head["c"].to_numpy("i8"), mass, kinds, w[: FEATURES * BUCKETS], w[FEATURES * BUCKETS :])
     squares, part = np.full_like(w, DAMPING**2), F.pmod(F.xxhash64(F.col(key)), F.lit(PARTS))
