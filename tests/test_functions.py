@@ -66,6 +66,26 @@ def test_diff_prefers_deletion_and_is_symmetric_in_length():
         assert all(a[i] == b[j] for i, j in equal)
 
 
+def test_diff_of_long_texts_in_halves(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(texts, "MAX_BITS", 20)
+    for _ in range(100):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        halves = texts.lcs_ops(a, b)
+        monkeypatch.setattr(texts, "MAX_BITS", 1 << 31)
+        whole = texts.lcs_ops(a, b)
+        monkeypatch.setattr(texts, "MAX_BITS", 20)
+        assert sum(op == "equal" for op, *_ in halves) == sum(op == "equal" for op, *_ in whole)
+        assert [i for _, i, _ in halves if i >= 0] == list(range(len(a))) and [j for _, _, j in halves if j >= 0] == list(range(len(b)))
+
+
+def test_compare_words(spark):
+    rows = [(["dharma", "kshetre"], ["dharmakshetre"]), (["a", "b"], ["c"]), ([], ["x"]), (["one", "two"], []), (["ab" * 900], ["ab" * 900])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = [tuple(r.heard) for r in texts.compare_words(df, "a", "b").collect()]
+    assert got == [(2, 0, 0, 1.0), (0, 2, 1, 0.0), (0, 0, 1, 0.0), (0, 2, 0, 0.0), (1, 0, 0, 1.0)]
+
+
 def test_degenerate(spark):
     cases = {"": True, None: True, "123 456": True, "la la la la la la la": True, "a fine line of ordinary words": False, "no " * 20: True}
     df = spark.createDataFrame([(k,) for k in cases], "t string")

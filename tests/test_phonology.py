@@ -27,6 +27,8 @@ def test_comparison():
     gone = P.compare(text, text.replace("kurukṣetre ", ""))
     assert gone["missing"] == 4 and gone["syllables"] == 75 and gone["phonemes"] == 100
     assert P.compare("kha", "ka")["errors"][0]["kind"] == "aspiration" and P.compare("ṭa", "ta")["errors"][0]["kind"] == "place"
+    lines = P.compare("dharma kuru\nsama veta", "dharma kuru sama")
+    assert lines["padas"] == [100, 50] and lines["missing"] == 2
     assert P.compare("", "x") is None and P.compare("ka", None)["missing"] == 1
 
 
@@ -45,3 +47,31 @@ def test_writing_and_reading_back(spark):
     df = spark.createDataFrame([("धर्म",)], "t string").select(O.convert_script(F.col("t"), "Deva", "Knda").alias("k"))
     assert df.first().k == "ಧರ್ಮ"
     assert P.phones(df.first().k) == P.phones("dharma")
+
+
+def test_pairs_of_consonants():
+    for one, two, kind in (("ka", "kha", "aspiration"), ("ga", "ka", "voicing"), ("śa", "ṣa", "place"), ("da", "na", "nasality"), ("kaḥ", "ka", "visarga"), ("kaṃ", "ka", "nasality"), ("kā", "ka", "vowelLength")):
+        got = P.compare(f"{one} dharma", f"{two} dharma")
+        assert [e["kind"] for e in got["errors"]] == [kind] and got["replaced"] == 0, (one, two, got)
+    assert P.compare("ka", "sū")["replaced"] == 1  # nothing in common
+
+
+def test_alignment_is_the_cheapest_with_and_without_halving(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(60):
+        lack = np.array([[rng.choice([0.0, 0.4, 0.8, 1.6]) for _ in range(5)] for _ in range(4)])
+        a, b = (np.array([rng.randrange(n) for _ in range(rng.randint(0, 9))], "i8") for n in (4, 5))
+        cost = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [cost[i - 1][j] + 1] * (i > 0) + [cost[i][j - 1] + 1] * (j > 0) + ([cost[i - 1][j - 1] + lack[a[i - 1], b[j - 1]]] if i and j else [])
+                cost[i][j] = min(ways, default=0.0)
+        for cells in (4_000_000, 4):
+            monkeypatch.setattr(P, "CELLS", cells)
+            pairs = P.aligned(lack, a, b)
+            assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
+            assert abs(sum(lack[a[i], b[j]] if i >= 0 and j >= 0 else 1 for i, j in pairs) - cost[-1][-1]) < 1e-9

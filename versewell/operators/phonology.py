@@ -12,7 +12,7 @@ from versewell.plans import views as V
 
 SYLLABLE = "struct<onset array<string>, vowel string, long boolean, marks string, coda array<string>, word int>"
 COUNTS = ("ref", "heard", "missing", "added", "replaced", "syllables", "phonemes", "vowels")
-RESULT = f"struct<{', '.join(f'{c} int' for c in COUNTS)}, errors array<struct<kind string, at int>>>"
+RESULT = f"struct<{', '.join(f'{c} int' for c in COUNTS)}, padas array<int>, errors array<struct<kind string, at int>>>"
 
 
 def syllabify(df: DataFrame, text: str, out: str = "aksharas") -> DataFrame:
@@ -33,7 +33,7 @@ def weigh(df: DataFrame, aksharas: str = "aksharas", out: str = "weights") -> Da
 
 
 def compare_phonology(pairs: DataFrame, ref: str, heard: str, out: str = "p") -> DataFrame:
-    kind = pa.struct([*[(c, pa.int32()) for c in COUNTS], ("errors", pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32())])))])
+    kind = pa.struct([*[(c, pa.int32()) for c in COUNTS], ("padas", pa.list_(pa.int32())), ("errors", pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32())])))])
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([P.compare(x.as_py(), y.as_py()) for x, y in zip(a, b)], kind)
