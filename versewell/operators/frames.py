@@ -109,10 +109,10 @@ def q_onsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_topk_deviations(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 most severe spans per take, in time order."""
+    """The 60 most severe spans per take, in time order."""
     e = V.intervals(spark, d).withColumn("severity", F.floor(F.col("value") / 20).cast("long"))
     n = F.row_number().over(W.partitionBy("take").orderBy(F.desc("severity"), "t0", "span"))
-    kept = e.withColumn("n", n).where("n <= 20")
+    kept = e.withColumn("n", n).where("n <= 60")
     return kept.select("take", "span", "severity", F.row_number().over(W.partitionBy("take").orderBy("t0", "span")).alias("place"))
 
 
@@ -126,10 +126,10 @@ def q_longest_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_even_stride(spark: SparkSession, d: str) -> DataFrame:
-    """At most 30 active frames per recording at an even stride."""
+    """At most 300 active frames per recording at an even stride."""
     f = V.frames(spark, d).where("rms_db > -12")
     f = f.withColumn("n", F.count("*").over(by_rec())).withColumn("i", F.row_number().over(by_time()) - 1)
-    return f.where(F.col("i") % F.greatest(F.lit(1), F.ceil(F.col("n") / 30)) == 0).select("recording", "idx")
+    return f.where(F.col("i") % F.greatest(F.lit(1), F.ceil(F.col("n") / 300)) == 0).select("recording", "idx")
 
 
 def q_activity_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -356,11 +356,11 @@ SELECT recording, idx, round(CASE WHEN stddev_pop(s) OVER r > 0 THEN (s - avg(s)
         """,, x AS (SELECT take, span, lead(t0) OVER (PARTITION BY take ORDER BY t0, span) - t0 AS ioi, 600 + value * 20 AS ref FROM v_intervals WHERE kind = 'click'), y AS (SELECT *, ioi / ref AS r FROM x WHERE ioi > 0),
 z AS (SELECT *, CASE WHEN r > 1.25 AND ioi - ref > 0.08 THEN 'slow' WHEN r < 0.8 AND ref - ioi > 0.08 THEN 'fast' END AS verdict FROM y)
 SELECT take, span, verdict, CASE WHEN verdict IS NOT NULL THEN least(3, 1 + floor(abs(ln(r)) / 0.7))::BIGINT END AS severity FROM z""", *_I),
-    "topk_deviations": V.sql("SELECT take, span, severity, row_number() OVER (PARTITION BY take ORDER BY t0, span) AS place FROM (SELECT *, floor(value / 20)::BIGINT AS severity, row_number() OVER (PARTITION BY take ORDER BY floor(value / 20) DESC, t0, span) AS n FROM v_intervals) WHERE n <= 20", *_I),
+    "topk_deviations": V.sql("SELECT take, span, severity, row_number() OVER (PARTITION BY take ORDER BY t0, span) AS place FROM (SELECT *, floor(value / 20)::BIGINT AS severity, row_number() OVER (PARTITION BY take ORDER BY floor(value / 20) DESC, t0, span) AS n FROM v_intervals) WHERE n <= 60", *_I),
     "topk_longest_gaps": V.sql(
         """,, g AS (SELECT take, span, t0, t0 - lag(t0) OVER (PARTITION BY take ORDER BY t0, span) AS gap FROM v_intervals), r AS (SELECT *, row_number() OVER (PARTITION BY take ORDER BY gap DESC, t0) AS n, count(*) OVER (PARTITION BY take) AS al FROM g WHERE gap IS NOT NULL)
 SELECT take, span, row_number() OVER (PARTITION BY take ORDER BY t0) AS pada FROM r WHERE al >= 3 AND n <= 3""", *_I),
-    "sample_even_stride": V.sql("SELECT recording, idx FROM (SELECT recording, idx, count(*) OVER (PARTITION BY recording) AS n, row_number() OVER (PARTITION BY recording ORDER BY idx) - 1 AS i FROM v_frames WHERE rms_db > -12) WHERE i % greatest(1, ceil(n / 30)) = 0", *_F),
+    "sample_even_stride": V.sql("SELECT recording, idx FROM (SELECT recording, idx, count(*) OVER (PARTITION BY recording) AS n, row_number() OVER (PARTITION BY recording ORDER BY idx) - 1 AS i FROM v_frames WHERE rms_db > -12) WHERE i % greatest(1, ceil(n / 300)) = 0", *_F),
     "activity_threshold": V.sql(
         f""",, x AS (SELECT recording, idx, rms_db, avg(rms_db) OVER w AS level, max(rms_db) OVER w - min(rms_db) OVER w AS spread, count(*) OVER w AS n FROM v_frames {_W} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)),
 a AS (SELECT recording, arg_min(level, (level, idx)) FILTER (n = 15) AS level, arg_min(spread, (level, idx)) FILTER (n = 15) AS spread, {_rank_sql('rms_db', 0.98)} AS p98, {_rank_sql('rms_db', 0.1)} AS p10 FROM x GROUP BY recording)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,7 +83,7 @@ def q_family(spark: SparkSession, d: str) -> DataFrame:
 def q_chapter_recordings(spark: SparkSession, d: str) -> DataFrame:
     """Verses of each chapter with their recordings; a combined recording covers each of its parts."""
     s = V.slokas(spark, d)
-    rec = V.table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_orderkey").alias("rec"), F.col("l_partkey").alias("sloka"), (F.col("l_linenumber") % 3).alias("more")).join(s.select("sloka", "chapter", "verse"), "sloka")
+    rec = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("rec"), F.col("l_partkey").alias("sloka"), (F.col("l_linenumber") % 3).alias("more")).join(s.select("sloka", "chapter", "verse"), "sloka")
     parts = rec.select("rec", "chapter", F.explode(F.sequence(F.col("verse"), F.least(F.col("verse") + F.col("more"), F.lit(40)))).alias("verse")).distinct()
     verses = s.select("chapter", "verse").distinct()
     return verses.join(parts, ["chapter", "verse"], "left").groupBy("chapter", "verse").agg(F.count("rec").alias("recordings"), F.min("rec").alias("first_rec"))
@@ -98,33 +98,48 @@ def q_diag(spark: SparkSession, d: str) -> DataFrame:
     return takes.join(pairs, "take", "left").select("take", "sloka", F.when(error.isNull(), F.round("contrast", 2)).alias("contrast"), F.when(error.isNull(), F.round("words", 2)).alias("words"), error.alias("error"))
 
 
+def reference_words(df: DataFrame, verse: str, typed: str, fixed: str) -> DataFrame:
+    """Add ``words`` and ``origin``: the linked verse, else the typed text, else the corrected transcript, each whole."""
+    sources = (("verse", verse), ("typed", typed), ("transcript", fixed))
+    origin = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in sources])
+    return df.withColumn("words", F.coalesce(*[c for _, c in sources])).withColumn("origin", origin)
+
+
 def q_reference_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words that a pair is judged by: the linked verse, else the typed text, else the corrected transcript."""
-    docs = V.table(spark, d, "documents")
-    verse = docs.where("doc_id % 3 = 0").select("doc_id", F.substring("text", 1, 40).alias("verse"))
-    typed = docs.where("doc_id % 4 = 0").select("doc_id", F.substring("text", 1, 30).alias("typed"))
-    fixed = docs.where("doc_id % 5 = 0").select("doc_id", F.substring("text", 1, 20).alias("fixed"))
-    j = docs.select("doc_id").join(verse, "doc_id", "left").join(typed, "doc_id", "left").join(fixed, "doc_id", "left")
-    source = F.when(F.col("verse").isNotNull(), "verse").when(F.col("typed").isNotNull(), "typed").when(F.col("fixed").isNotNull(), "transcript")
-    return j.select("doc_id", F.coalesce("verse", "typed", "fixed").alias("words"), source.alias("origin"))
+    """Words that a pair is judged by; a document of good quality stands for a verse, another labelled one for typed text."""
+    docs, labels = V.table(spark, d, "documents"), V.table(spark, d, "labels")
+    j = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
+    j = j.select("doc_id", F.expr("CASE WHEN quality = 1 THEN text END").alias("v"), F.expr("CASE WHEN quality = 0 THEN text END").alias("t"), F.expr("CASE WHEN lang <> 'en' THEN text END").alias("f"))
+    found = reference_words(j, "v", "t", "f")
+    return found.select("doc_id", F.sha2("words", 256).alias("words_hash"), F.length("words").cast("long").alias("chars"), "origin")
 
 
 def shingled(df: DataFrame, key: str, n: int = 5, text: str = "text") -> DataFrame:
+    """(``key``, grams): 64-bit hashes of the distinct word shingles of each text that has any."""
     words = F.filter(F.split(F.lower(text), WORD_SPLIT), lambda w: w != "")
-    grams = F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " ")))
-    return df.select(F.col(key), words.alias("__w")).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " ")))
+    some = df.select(F.col(key), words.alias("__w")).where(F.size("__w") >= n)
+    return some.select(key, F.when(F.size("__w") >= n, F.array_distinct(grams)).alias("grams"))
+
+
+def _each(grams: str) -> Column:
+    """Explode: of an expression, since for a column Spark adds a filter on its size, pushed down and worked out from the text anew."""
+    return F.explode(F.coalesce(F.col(grams), F.array().cast("array<bigint>")))
 
 
-def identify_reference(docs: DataFrame, refs: DataFrame, doc: str, ref: str, common: int = 1000) -> DataFrame:
-    """References that share rare word shingles with each document, by number shared; the best one of each.
+def identify_reference(docs: DataFrame, refs: DataFrame, doc: str, ref: str, broadcast_grams: int = 1 << 20) -> DataFrame:
+    """The reference that shares most word shingles with each document (ties: the smallest), and how many.
 
-    Shingles of more than ``common`` references say nothing and are left out.
+    References of equal shingles are one class. Where the references' shingles are at most ``broadcast_grams`` they
+    travel to the documents, which then aren't shuffled by shingle; beyond that both sides are, and no shingle is left out.
     """
-    r = shingled(refs, ref)
-    rare = r.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("gram")
-    hits = shingled(docs, doc).join(r.join(rare, "gram"), "gram").groupBy(doc, ref).agg(F.count("*").alias("shared"))
-    best = F.row_number().over(W.partitionBy(doc).orderBy(F.desc("shared"), ref))
-    return hits.withColumn("n", best).where("n = 1").select(doc, ref, "shared")
+    classes = shingled(refs, ref).groupBy(F.array_sort("grams").alias("grams")).agg(F.min(ref).alias(ref))
+    r = classes.select(ref, _each("grams").alias("gram"))
+    if classes.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0] <= broadcast_grams:
+        r = F.broadcast(r)
+    hits = shingled(docs, doc).select(doc, _each("grams").alias("gram")).join(r, "gram").groupBy(doc, ref).agg(F.count("*").alias("shared"))
+    best = hits.groupBy(doc).agg(F.max(F.struct("shared", (-F.col(ref)).alias("least"))).alias("b"))
+    return best.select(doc, (-F.col("b.least")).alias(ref), "b.shared")
 
 
 def q_identify(spark: SparkSession, d: str) -> DataFrame:
@@ -209,11 +224,12 @@ SELECT i.path AS p0, k.path AS p1, 'kept' AS state FROM i JOIN k ON i.path = k.p
     "semi_linked_anti_unlinked": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'linked' ELSE 'unlinked' END AS state FROM customer",
     "range_verse_family": V.sql(f"SELECT sloka, coalesce(family, 'anushtubh') AS family FROM v_slokas s LEFT JOIN (VALUES {', '.join(map(str, RANGES))}) r(chapter, lo, hi, family) ON r.chapter = s.chapter AND verse BETWEEN lo AND hi", "v_slokas"),
     "join_chapter_recordings": V.sql(
-        """,, p AS (SELECT DISTINCT l_orderkey AS rec, chapter, unnest(range(verse, least(verse + l_linenumber % 3, 40) + 1)) AS verse FROM lineitem JOIN v_slokas ON sloka = l_partkey WHERE l_quantity >= 48), q AS (SELECT DISTINCT * FROM p)
+        """,, p AS (SELECT DISTINCT l_orderkey AS rec, chapter, unnest(range(verse, least(verse + l_linenumber % 3, 40) + 1)) AS verse FROM lineitem JOIN v_slokas ON sloka = l_partkey), q AS (SELECT DISTINCT * FROM p)
 SELECT chapter, verse, count(rec) AS recordings, min(rec) AS first_rec FROM (SELECT DISTINCT chapter, verse FROM v_slokas) LEFT JOIN q USING (chapter, verse) GROUP BY ALL""", "v_slokas"),
     "join_diag": """WITH p AS (SELECT l_orderkey AS take, l_partkey AS sloka, max(l_discount) AS contrast, max(l_tax) AS words, bool_or(l_returnflag = 'N') AS failed FROM lineitem GROUP BY ALL), j AS (SELECT o_orderkey AS take, sloka, contrast, words, CASE WHEN sloka IS NULL THEN 'no pair' WHEN failed THEN 'not comparable' END AS error FROM orders LEFT JOIN p ON take = o_orderkey WHERE o_orderstatus = 'F')
 SELECT take, sloka, CASE WHEN error IS NULL THEN round(contrast, 2) END AS contrast, CASE WHEN error IS NULL THEN round(words, 2) END AS words, error FROM j""",
-    "join_reference_words": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 40) WHEN doc_id % 4 = 0 THEN left(text, 30) WHEN doc_id % 5 = 0 THEN left(text, 20) END AS words, CASE WHEN doc_id % 3 = 0 THEN 'verse' WHEN doc_id % 4 = 0 THEN 'typed' WHEN doc_id % 5 = 0 THEN 'transcript' END AS origin FROM documents""",
+    "join_reference_words": """WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), j AS (SELECT d.doc_id, text, CASE WHEN text IS NULL THEN NULL WHEN quality = 1 THEN 'verse' WHEN quality = 0 THEN 'typed' WHEN lang <> 'en' THEN 'transcript' END AS origin FROM documents d LEFT JOIN l USING (doc_id))
+SELECT doc_id, CASE WHEN origin IS NOT NULL THEN sha256(text) END AS words_hash, CASE WHEN origin IS NOT NULL THEN length(text) END::BIGINT AS chars, origin FROM j""",
     "fuzzy_identify_reference": f"WITH {_GRAMS} SELECT doc_id, item_id, shared FROM best",
     "join_link_verses": f"WITH {_GRAMS} SELECT doc_id, item_id, sha256(text) AS text_hash, CASE WHEN shared >= 10 THEN 'words' ELSE 'doubtful' END AS mapped_by FROM best JOIN benchmark USING (item_id)",
     "fuzzy_relabel_best": """WITH s AS (SELECT l_orderkey AS seg, l_partkey AS ref, max(l_discount * 10) AS sim, sum(l_linenumber) AS words FROM lineitem GROUP BY ALL), r AS (SELECT *, first_value(sim) OVER (PARTITION BY seg ORDER BY ref) AS assumed, row_number() OVER (PARTITION BY seg ORDER BY sim DESC, ref) AS n, sum(words) OVER (PARTITION BY seg) AS al FROM s)

@@ -100,9 +100,9 @@ def moments(takes: DataFrame) -> DataFrame:
     return shown.select("learner", "assessment", "sloka", "kind", "rank")
 
 
-def qualifying(history_: DataFrame) -> DataFrame:
-    """Attempts that count for a badge: quiz, overall of at least 60 here, one per learner, quiz and day, numbered."""
-    ok = history_.where((F.col("kind") == "quiz") & (F.col("overall") >= 60))
+def qualifying(history_: DataFrame, least: int = 90) -> DataFrame:
+    """Attempts that count for a badge: quiz, overall of at least ``least``, one per learner, quiz and day, numbered."""
+    ok = history_.where((F.col("kind") == "quiz") & (F.col("overall") >= least))
     first = F.row_number().over(W.partitionBy("learner", "quiz", "day").orderBy("at", "assessment"))
     per_day = ok.withColumn("one", first).where("one = 1")
     return per_day.withColumn("n", F.row_number().over(W.partitionBy("learner", "quiz").orderBy("day")))
@@ -135,7 +135,7 @@ CUT = "1998-01-01"
 
 def _badges(spark, d, until: str | None = None) -> DataFrame:
     h = history(spark, d).withColumn("quiz", F.col("quiz") % 3)
-    return badge_levels(qualifying(h.where(F.col("day") < until) if until else h))
+    return badge_levels(qualifying(h.where(F.col("day") < until) if until else h, 60))  # the stand-in scores seldom reach 90
 
 
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +240,7 @@ def q_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 def q_folder_counts(spark: SparkSession, d: str) -> DataFrame:
     """Recordings per folder, empty folders kept."""
-    n, c = V.table(spark, d, "nation"), V.table(spark, d, "customer").where("c_acctbal > 9000")
+    n, c = V.table(spark, d, "nation"), V.table(spark, d, "customer")
     return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("recordings"))
 
 
@@ -333,7 +333,7 @@ SELECT learner, chapter, any_value(verses) AS verses FROM now JOIN p USING (quiz
 UNION ALL SELECT 'session:' || assessment, kind, NULL, day, overall, assessment FROM v_history WHERE kind <> 'quiz'""", *_H),
     "sort_newest_first": V.sql("""SELECT assessment, date_trunc('month', day)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', day) ORDER BY "at" DESC, assessment) AS place FROM v_assessments""", "v_assessments"),
     "sort_grouped_by_sloka": V.sql("SELECT folder, sloka, assessment, item, overall, count(*) OVER (PARTITION BY folder, sloka) AS takes, max(overall) OVER (PARTITION BY folder, sloka) AS best FROM v_scored JOIN (SELECT sloka, folder FROM v_slokas) USING (sloka)", "v_items", "v_scored", "v_slokas"),
-    "agg_folder_counts": "SELECT n_name, count(c_custkey) AS recordings FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) ON n_nationkey = c_nationkey GROUP BY n_name",
+    "agg_folder_counts": "SELECT n_name, count(c_custkey) AS recordings FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name",
     "agg_coverage_grouping_sets": V.sql("SELECT chapter, folder, count(*) AS verses, count(r.sloka) AS recorded FROM v_slokas v LEFT JOIN (SELECT DISTINCT sloka FROM v_items WHERE matched AND NOT missing AND phoneme >= 90) r USING (sloka) GROUP BY GROUPING SETS ((), (chapter), (folder))", "v_items", "v_slokas"),
     "sample_round_robin": V.sql("SELECT sloka, folder, round FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY md5('7:' || sloka)) AS round FROM v_slokas) ORDER BY round, md5(folder) LIMIT 25", "v_slokas"),
     "sort_verse_order": V.sql("SELECT sloka, chapter, verse, row_number() OVER (PARTITION BY chapter ORDER BY verse, sloka) AS place FROM v_slokas", "v_slokas"),
