@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versewell.llm.common import others, table
+from versewell.llm.common import others, released, table
 
 MEMO_PIECES, MEMO_CHARS = 250_000, 48
 
@@ -138,7 +138,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", o
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ByteBpe.get(held.value, pattern)
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for ids in bpe.encode(batch.to_pylist()):
                 starts, ends = bpe.offsets(ids)
@@ -155,7 +155,7 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out
     @F.arrow_udf(T.StringType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ByteBpe.get(held.value, pattern)
-        for batch in batches:
+        for batch in released(batches):
             rows = (None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in batch.to_pylist())
             yield pa.array([x if x is None else x.decode("utf-8", "replace") for x in rows], pa.string())
 
@@ -175,7 +175,7 @@ def digests(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text",
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = ByteBpe.get(held.value, pattern)
-        for batch in batches:
+        for batch in released(batches):
             n, ids_hex, text_hex, place_hex, whole = [], [], [], [], []
             step = max(1, int(len(batch) * slice_bytes / max(batch.nbytes, 1)))
             for at in range(0, len(batch), step):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; memory that Arrow keeps for later goes back after each, as Python workers live on from job to job."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive lost executors.
 

@@ -38,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import Scratch, table
+from versewell.llm.common import Scratch, released, table
 
 WINDOW, WALKS, SAMPLES, COORDINATES, SEED, LONG = 12, 3, 4, 5, 11, 40
-SHARE, BLOCK_BYTES, SLICE_BYTES, PAIR_BITS, PLACES = 0.8, 8 << 20, 1 << 20, 22, 1 << 19
+SHARE, BLOCK_BYTES, SLICE_BYTES, PAIR_BITS, PLACES = 0.8, 8 << 20, 1 << 19, 22, 1 << 19
 _SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _QUOTES = re.compile(rb"\xe2\x80[\x80-\xbf]")
 
@@ -259,7 +259,7 @@ def _is_clean(held, share: float):
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(held.value, share)
-        for batch in batches:
+        for batch in released(batches):
             keep = np.ones(len(batch), bool)
             for at, texts in _sliced(batch):
                 keep[[at + d for d, *_ in index.hits(texts, share)]] = False
@@ -286,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, key: s
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, share)
-            for batch in batches:
+            for batch in released(batches):
                 keys, texts = batch.columns
                 for at, part in _sliced(texts):
                     if rows := index.hits(part, share):

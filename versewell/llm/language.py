@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import held_out, others, table
+from versewell.llm.common import held_out, others, released, table
 
 SAMPLE, PIECE, MOST_LANGS = 16384, 96, 256
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 140, 96, 0.03, 7
@@ -228,7 +228,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return Model(langs).train([x.encode() for x in sample["piece"]], np.array([langs.index(x) for x in sample["lang"]])) if langs else None
 
 
-def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes: int = 1 << 19) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (mean probability of that language over all bytes of the text)."""
     und = (F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
@@ -239,7 +239,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", slice_bytes
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = Model(held.value[0])
         net.w = held.value[1]
-        for batch in batches:
+        for batch in released(batches):
             best, score = [], []
             step = max(1, int(len(batch) * slice_bytes / max(batch.nbytes, 1)))
             for at in range(0, len(batch), step):

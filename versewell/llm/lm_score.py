@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import Scratch, held_out, others, table
+from versewell.llm.common import Scratch, held_out, others, released, table
 
 CLASSES, MEMBERS, TAIL = 32, 32, 128
 TOP = CLASSES * MEMBERS - TAIL
@@ -94,7 +94,7 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in released(batches):
             for part in _stretches(batch.column(text)):
                 for _, skip, words in part:
                     seen.update(words[skip:])
@@ -197,7 +197,7 @@ def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, g = Reader(held.value), np.zeros((CLASSES, FEATURES * BUCKETS + MEMBER_ROWS), "f4")
-        for batch in batches:
+        for batch in released(batches):
             for part in _stretches(batch.column(text)):
                 add_gradient(reader, part, g[:, : FEATURES * BUCKETS], g[:, FEATURES * BUCKETS :])
         some = np.flatnonzero(g.any(0))
@@ -266,7 +266,7 @@ def score(df: DataFrame, counts: DataFrame, model: Model, text: str = "text") ->
         logs = np.append(np.log10(reader.m.counts + 1.0), 0.0)  # of head words; 0 at place -1
         size = np.log10(np.maximum(reader.m.mass + reader.m.kinds + 1, 1))
         size[:TOP] = 0
-        for batch in batches:
+        for batch in released(batches):
             sums, rare, owner = np.zeros((4, len(batch))), [], []
             for part in _stretches(batch):
                 flat, lengths, counts, place, outcome, contexts = reader.read(part)

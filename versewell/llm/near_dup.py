@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from versewell.llm.common import Scratch, table
+from versewell.llm.common import Scratch, released, table
 
 CHUNKS, SYMBOLS, ERRORS, BITS = 10, 5, 1, 12
 ODD = 1024
@@ -51,7 +51,7 @@ ODD = 1024
 HOT, LEAST_HOT, CELLS, BLOCK = 1e-3, 100_000, 1 << 16, 4096
 SIGNATURE = CHUNKS * SYMBOLS
 KEYS = CHUNKS * math.comb(SYMBOLS, ERRORS)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _rng = np.random.default_rng(20)
 TIMES, PLUS = _rng.integers(0, 1 << 63, (2, SIGNATURE), dtype="u8") | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -125,7 +125,7 @@ def fingerprints(df: DataFrame, words: int, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<n int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, odd array<bigint>, keys array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             parts = []
             step = max(1, int(len(batch) * SLICE_BYTES / max(batch.nbytes, 1)))
             for at in range(0, len(batch), step):
@@ -260,7 +260,8 @@ def near_duplicates(df: DataFrame, words: int = 5, share: float = 0.8, key: str
     full = prints.where("id IS NOT NULL AND n > 0")
     # an id of several texts counts by the one whose set has the smallest hash
     whole = F.struct("h1", "h2")
-    several = scratch.write(full.groupBy("id").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select("id", "lo"))
+    several = full.groupBy("id").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"), F.count("*").alias("times"))
+    several = scratch.write(several.where("times > 1").select("id", "lo"))  # ids of several rows
     linkable = full.join(several, "id", "left").where("lo IS NULL OR (h1 = lo.h1 AND h2 = lo.h2)")
     classes = scratch.write(
         linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "odd", "keys")])
@@ -271,15 +272,20 @@ def near_duplicates(df: DataFrame, words: int = 5, share: float = 0.8, key: str
     shared = scratch.write(_with_centres(rows, most, share))
 
     @F.arrow_udf("struct<hash binary, set binary>")
-    def as_bytes(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py(), words).tobytes() for t in texts]
-        hashes = [xxhash.xxh3_128_digest(s) for s in sets]
-        return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], ["hash", "set"])
+    def as_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in released(batches):
+            hashes, sets = [], []
+            for t in batch:
+                sets.append(shingles(t.as_py(), words).tobytes())
+                hashes.append(xxhash.xxh3_128_digest(sets[-1]))
+            yield pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], ["hash", "set"])
 
     wanted = classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2")
-    texts = docs.join(wanted, "id").withColumn("own", as_bytes("text"))
     same = F.hex("own.hash") == F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")])
-    sets = scratch.write(texts.where(same).select("id", F.col("own.set").alias("set")).dropDuplicates(["id"]))
+    own_set = lambda rows: rows.withColumn("own", as_bytes("text")).where(same).select("id", F.col("own.set").alias("set"))
+    texts = docs.join(wanted, "id")
+    once, again = own_set(texts.join(several, "id", "left_anti")), own_set(texts.join(several, "id", "left_semi")).dropDuplicates(["id"])
+    sets = scratch.write(once.unionByName(again))
 
     stars = scratch.write(shared.where("near").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = scratch.write(_confirmed(stars, sets, share))

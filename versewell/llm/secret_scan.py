@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewell.llm.common import others, table
+from versewell.llm.common import others, released, table
 
 HEX_RUN = 24
 BASE = ("assign", "access", "hex")
@@ -100,7 +100,7 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     @F.arrow_udf("array<struct<kind string, start int, end int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in released(batches):
             yield pa.array([[dict(zip(("kind", "start", "end"), s)) for s in scan(x.as_py())] for x in batch], kind)
 
     return df.select(*others(df, out), run(F.col(text)).alias(out))
@@ -126,7 +126,7 @@ def mask_secrets(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             yield pa.array([masked(x.as_py()) for x in batch], pa.string())
 
     return df.withColumn(text, run(F.col(text)))
