@@ -219,15 +219,13 @@ def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
     The histogram has 16 bins for each doubling, so that neither it nor the words grow with the corpus.
     """
     binned = counts.withColumn("bin", F.floor(F.log2("c") * 16))
-    left, keep = HEAD if most is None else most, F.lit(False)
+    left = HEAD if most is None else most
     for r in sorted(binned.groupBy("bin").count().collect(), reverse=True):
-        if r["count"] <= left:
-            keep = keep | (F.col("bin") == r.bin)
-            left -= r["count"]
-            continue
-        share = F.pmod(F.xxhash64("word"), F.lit(r["count"])) < max(left - 6 * math.isqrt(left), 0)
-        return binned.where(keep | ((F.col("bin") == r.bin) & share)).drop("bin")
-    return binned.where(keep).drop("bin")
+        if r["count"] > left:
+            share = F.pmod(F.xxhash64("word"), F.lit(r["count"])) < max(left - 6 * math.isqrt(left), 0)
+            return binned.where((F.col("bin") > r.bin) | ((F.col("bin") == r.bin) & share)).drop("bin")
+        left -= r["count"]
+    return counts
 
 
 def train(df: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
