@@ -175,9 +175,10 @@ def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class
     """Add the gradient of the log-likelihood (observed less expected features) of texts; [CLASSES, rows] both."""
     _, _, counts, _, outcome, contexts = reader.read(part)
     keep = np.flatnonzero(counts)
+    class_part, member_part = np.zeros_like(class_g), np.zeros_like(member_g)  # of these texts alone, so that small terms aren't lost in large sums
     for at in range(0, len(keep), CHUNK):
         mine = keep[at : at + CHUNK]
-        y, ctx = outcome[mine], contexts[:, mine]
+        y, ctx = outcome[mine], contexts.take(mine, 1)
         own, of_class = reader.rows(ctx, y // MEMBERS)
         p, q = reader.probabilities(y, own, of_class)
         n = np.arange(len(mine))
@@ -185,10 +186,12 @@ def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class
         np.negative(q, out=q)
         p[n, y // MEMBERS] += 1
         q[n, y % MEMBERS] += 1
-        for to, rows, values in ((class_g, own, p), (member_g, of_class, q)):
-            flat = rows.ravel()
-            for k, column in enumerate(np.ascontiguousarray(values.T, "f8")):
-                to[k] += np.bincount(flat, np.tile(column, FEATURES), to.shape[1])
+        for to, rows, values in ((class_part, own, p), (member_part, of_class, q)):
+            for k, column in enumerate(np.ascontiguousarray(values.T)):
+                for mine in rows:
+                    np.add.at(to[k], mine, column)
+    class_g += class_part
+    member_g += member_part
 
 
 def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
