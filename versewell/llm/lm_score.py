@@ -49,7 +49,7 @@ FEATURES, BUCKETS, MEMBER_ROWS = 3, 1 << 13, 1 << 16
 HEAD, KEY_BYTES = 1 << 16, 32
 EPOCHS, PARTS, RATE, DAMPING, LIMIT = 2, 2, 0.7, 8.0, 6.0
 END = b" "
-FLUSH, SLICE_BYTES, CHUNK, TASK_TOKENS, LEAST_TASKS = 100_000, 1 << 19, 1 << 16, 1 << 25, 4
+FLUSH, SLICE_BYTES, CHUNK, TASK_TOKENS, LEAST_TASKS = 300_000, 1 << 19, 1 << 16, 1 << 25, 4
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
