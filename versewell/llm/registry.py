@@ -16,6 +16,9 @@ MODULES = {
     "op8_ann": "ann",
     "op9_bpe": "bpe",
     "op10_secrets": "secret_scan",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_align_tokens": "align_tokens",
+    "op13_jaccard_join": "jaccard_join",
 }
 
 
