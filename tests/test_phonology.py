@@ -28,7 +28,7 @@ def test_comparison():
     assert gone["missing"] == 4 and gone["syllables"] == 75 and gone["phonemes"] == 100
     assert P.compare("kha", "ka")["errors"][0]["kind"] == "aspiration" and P.compare("ṭa", "ta")["errors"][0]["kind"] == "place"
     lines = P.compare("dharma kuru\nsama veta", "dharma kuru sama")
-    assert lines["padas"] == [100, 50] and lines["missing"] == 2
+    assert lines["lines"] == [100, 50] and lines["missing"] == 2
     assert P.compare("", "x") is None and P.compare("ka", None)["missing"] == 1
 
 
@@ -75,3 +75,66 @@ def test_alignment_is_the_cheapest_with_and_without_halving(monkeypatch):
             pairs = P.aligned(lack, a, b)
             assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
             assert abs(sum(lack[a[i], b[j]] if i >= 0 and j >= 0 else 1 for i, j in pairs) - cost[-1][-1]) < 1e-9
+
+
+def kinds(ref, heard, **more):
+    c = P.compare(ref, heard, **more)
+    return [e["kind"] for e in c["errors"]], c["phonemes"], c["added"], c["missing"], c["sandhi"]
+
+
+def test_visarga_spelt_as_a_breath():
+    for ref, heard in (("योगवित्तमाः", "वित्तमाहा"), ("परयोपेताः", "पेताहा"), ("मैत्रः करुण", "मैत्रह करुण"), ("निरहङ्कारः", "निरहंकारह"), ("प्रियाः", "प्रियाहाः"), ("समबुद्धयः", "बुद्धयः"), ("ratāḥ", "ratāhā"), ("रताः", "रता हा")):
+        found, phonemes, added, *_ = kinds(ref, heard)
+        assert "visarga" not in found and added == 0 and phonemes == 100, (ref, heard, found)
+    whole = P.compare("ते प्राप्नुवन्ति मामेव सर्वभूतहिते रताः", "तेव्प्राप्नोवन्तिममेव सर्वभुतहितेरतहः")
+    assert (whole["breaths"], whole["ref"], whole["heard"]) == (1, 16, 16)
+    turned = P.compare("युक्ततमामताहा", "युक्ततमा मताः")  # the text spells it, the hearing has the mark
+    assert (turned["missing"], turned["ref"], turned["errors"]) == (0, 6, [])
+    assert kinds("रताः", "रता")[0] == ["visarga"] and kinds("देहः", "देह")[0] == ["visarga"]  # really dropped
+    assert kinds("सह", "सह")[1] == kinds("इह देहः", "इह देहः")[1] == 100
+    assert kinds("रताः", "रताका")[::2] == (["visarga"], 1, 0) and kinds("रताः", "रताहं")[2] == 1  # no breath
+
+
+def test_visarga_recited_by_sandhi():
+    for ref, heard in (("तपः कुरु", "तप खुरु"), ("गमः पार्थ", "गम फार्थ"), ("गमः पार्थ", "गम पार्थ"), ("दुःखम्", "दुखम्"), ("तपः कुरु", "तपः खुरु"), ("रामः सखः", "रामस्सखः"), ("रामः शेते", "रामश्शेते"), ("tapaḥ kuru", "tapa khuru")):
+        assert kinds(ref, heard) == ([], 100, 0, 0, 1), (ref, heard)
+    assert kinds("नमः क्षेत्र", "नम क्षेत्र")[::4] == (["visarga"], 0) and kinds("नमः ते", "नम ते")[0] == ["visarga"]
+    ref = "धर्मक्षेत्रे कुरुक्षेत्रे समवेता युयुत्सवः कुरुक्षेत्रे"
+    assert "visarga" in kinds(ref, ref.replace("वः कु", "व खु"), per_pada=8)[0]  # the sixteenth syllable ends a pāda
+    assert kinds(ref, ref.replace("वः कु", "व खु"))[4] == 1 and kinds(ref, ref.replace("वः कु", "व खु"), per_pada=8, offset=1)[4] == 1
+    assert kinds("समवेता युयुत्सवः\nकुरुक्षेत्रे", "समवेता युयुत्सव\nखुरुक्षेत्रे")[4] == 0  # nor at the end of a line
+
+
+def test_figures_by_pada():
+    ref = "ये त्वक्षरमनिर्देश्यमव्यक्तं पर्युपासते । सर्वत्रगमचिन्त्यञ्च कूटस्थमचलन्ध्रुवम् ॥"
+    gone = P.compare(ref, "येत्वक्षरम निर्देश्यम् सर्वत्रगम चिंत्यम्चा।गूटस्थम चलंधुवं॥", per_pada=8)
+    assert [p["missing"] for p in gone["padas"]] == [0, 8, 0, 0] and [p["ref"] for p in gone["padas"]] == [8] * 4
+    more = P.compare("a ka kha ga gha ṅa ca cha ja", "a ka kha ga da gha ṅa ca cha ja ṭa", per_pada=4, offset=1)
+    assert [(p["ref"], p["heard"], p["added"]) for p in more["padas"]] == [(4, 5, 1), (4, 5, 1)]
+    assert P.compare("ka", "ka")["padas"] is None
+    long = P.compare("ka " * 50, "ka " * 49, per_pada=8)["padas"]
+    assert [p["ref"] for p in long] == [8, 8, 8, 26] and sum(p["missing"] for p in long) == 1
+
+
+def test_readings_of_latin_letters():
+    for latin, knda in (("jñānam", "ಜ್ಞಾನಂ"), ("namah", "ನಮಃ"), ("apyaksharam", "ಅಪ್ಯಕ್ಷರಂ"), ("deshām", "ದೇಶಾಂ"), ("sangam", "ಸಙ್ಗಂ"), ("chintyam", "ಚಿನ್ತ್ಯಂ"), ("karmaṇyevādhikāraste", "ಕರ್ಮಣ್ಯೇವಾಧಿಕಾರಸ್ತೇ")):
+        assert P.written(latin, 0x0C80) == knda
+    assert [P.written(w, exact=True) for w in ("cintyam", "chintyam", "manyate", "aa")] == ["चिन्त्यम्", "छिन्त्यम्", "मन्यते", "आ"]
+    text = "अर्जुन उवाच एवं सततयुक्ता ये भक्तास्त्वां पर्युपासते"
+    plain = P.compare(text, "arjuna uvacha evam satatayukta ye bhaktastvam paryupasate")
+    assert plain["phonemes"] == 100 and plain["vowels"] < 80
+    assert [P.compare(text, t)["vowels"] for t in ("arjuna uvāca evaṃ satatayuktā ye bhaktāstvāṃ paryupāsate", "ಅರ್ಜುನ ಉವಾಚ ಏವಂ ಸತತಯುಕ್ತಾ ಯೇ ಭಕ್ತಾಸ್ತ್ವಾಂ ಪರ್ಯುಪಾಸತೇ")] == [100, 100]
+    assert [P.spelled(s) for s in P.syllables("कर्मण्येवाधिकारस्ते नमः जगत् ॐ")] == ["ka", "rma", "ṇye", "vā", "dhi", "kā", "ra", "ste", "na", "maḥ", "ja", "gat", "oṃ"]
+
+
+def test_error_histogram(spark):
+    rows = [(c, 0, "k" * (c % 2) + "x", c, 0, "a", "b") for c in range(40)]
+    errors = spark.createDataFrame(rows, "conv_id long, turn long, kind string, at int, place int, ref string, heard string")
+    got = {r.kind: (r.errors, [e.conv_id for e in r.examples]) for r in O.error_histogram(errors, ["conv_id", "turn"]).collect()}
+    assert got == {"x": (20, list(range(0, 24, 2))), "kx": (20, list(range(1, 25, 2)))}
+
+
+def test_comparison_as_columns(spark):
+    df = spark.createDataFrame([("ka kha ga gha", "ka kha gha", 2), ("ka", None, None), ("", "ka", 8), (None, None, None)], "a string, b string, n int")
+    got = [r.p for r in O.compare_phonology(df, "a", "b", per_pada=F.col("n")).collect()]
+    assert [p.missing for p in got[0].padas] == [0, 1] and got[0].syllables == 75 and got[1].padas is None and got[1].missing == 1 and got[2:] == [None, None]

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versewell.functions import phonology as P
 from versewell.plans import views as V
+from versewell.sources.storage import written
 
 SYLLABLE = "struct<onset array<string>, vowel string, long boolean, marks string, coda array<string>, word int>"
 COUNTS = ("ref", "heard", "missing", "added", "replaced", "syllables", "phonemes", "vowels")
-RESULT = f"struct<{', '.join(f'{c} int' for c in COUNTS)}, padas array<int>, errors array<struct<kind string, at int>>>"
+MORE = ("breaths", "sandhi", "sounds", "vowel_slips")
+PADAS = f"array<struct<{', '.join(f'{c} int' for c in P.PADA)}>>"
+RESULT = f"struct<{', '.join(f'{c} int' for c in (*COUNTS, *MORE))}, lines array<int>, padas {PADAS}, errors array<struct<kind string, at int, ref string, heard string>>>"
+EXAMPLES, ANUSHTUBH = 12, 8
 
 
 def syllabify(df: DataFrame, text: str, out: str = "aksharas") -> DataFrame:
@@ -32,13 +36,20 @@ def weigh(df: DataFrame, aksharas: str = "aksharas", out: str = "weights") -> Da
     return df.withColumn(out, F.array_join(F.transform(a, lambda x, i: F.when(heavy(x, i), "G").otherwise("L")), ""))
 
 
-def compare_phonology(pairs: DataFrame, ref: str, heard: str, out: str = "p") -> DataFrame:
-    kind = pa.struct([*[(c, pa.int32()) for c in COUNTS], ("padas", pa.list_(pa.int32())), ("errors", pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32())])))])
+def compare_phonology(pairs: DataFrame, ref: str, heard: str, out: str = "p", per_pada: Column | None = None, offset: Column | None = None) -> DataFrame:
+    """Add ``out``: scores and counts of a hearing against a text, its errors, and its figures by line and by pāda.
 
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([P.compare(x.as_py(), y.as_py()) for x, y in zip(a, b)], kind)
+    ``per_pada``: syllables in a pāda (null: no metre), counted from the syllable ``offset`` on.
+    """
+    pada = pa.list_(pa.struct([(c, pa.int32()) for c in P.PADA]))
+    error = pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("ref", pa.string()), ("heard", pa.string())]))
+    kind = pa.struct([*[(c, pa.int32()) for c in (*COUNTS, *MORE)], ("lines", pa.list_(pa.int32())), ("padas", pada), ("errors", error)])
 
-    return pairs.withColumn(out, F.arrow_udf(run, RESULT)(F.col(ref), F.col(heard)))
+    def run(a: pa.Array, b: pa.Array, n: pa.Array, skipped: pa.Array) -> pa.Array:
+        return pa.array([P.compare(*(v.as_py() for v in row)) for row in zip(a, b, n, skipped)], kind)
+
+    metre = F.lit(None) if per_pada is None else per_pada, F.lit(0) if offset is None else offset
+    return pairs.withColumn(out, F.arrow_udf(run, RESULT)(F.col(ref), F.col(heard), *[c.cast("int") for c in metre]))
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -52,14 +63,32 @@ def q_syllabify(spark: SparkSession, d: str) -> DataFrame:
     return a.select("conv_id", "turn", F.size("aksharas").alias("aksharas"), F.size(F.filter("aksharas", lambda x: x["long"])).alias("long_vowels"), "weights")
 
 
+def compared_turns(spark: SparkSession, d: str) -> DataFrame:
+    return compare_phonology(turn_pairs(spark, d), "text", "heard", per_pada=F.lit(ANUSHTUBH))
+
+
 def q_compare(spark: SparkSession, d: str) -> DataFrame:
-    return compare_phonology(turn_pairs(spark, d), "text", "heard").select("conv_id", "turn", *[f"p.{c}" for c in COUNTS])
+    return compared_turns(spark, d).select("conv_id", "turn", *[f"p.{c}" for c in (*COUNTS, *MORE)], "p.lines", "p.padas")
+
+
+def error_histogram(errors: DataFrame, by: list[str], examples: int = EXAMPLES) -> DataFrame:
+    """How often each kind of error occurs, and its first examples in the order of ``by`` and its place.
+
+    ``errors``: kind, at, ref, heard and ``by``. Examples are found by a window that keeps no more than their number
+    for each key, before any group is formed.
+    """
+    first = W.partitionBy("kind").orderBy(*by, "at", "place")
+    shown = F.struct(*by, "at", "place", "ref", "heard")
+    some = errors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= examples)
+    some = some.groupBy("kind").agg(F.sort_array(F.collect_list(shown)).alias("examples"))
+    return errors.groupBy("kind").agg(F.count("*").alias("errors")).join(some, "kind")
 
 
 def q_errors(spark: SparkSession, d: str) -> DataFrame:
-    """How often each kind of error occurs, and the first place of it."""
-    e = compare_phonology(turn_pairs(spark, d), "text", "heard").select("conv_id", "turn", F.inline("p.errors"))
-    return e.groupBy("kind").agg(F.count("*").alias("errors"), F.min(F.struct("conv_id", "turn", "at")).alias("first")).select("kind", "errors", "first.*")
+    """Kinds of errors over all turns, with the first twelve of each."""
+    listed = F.transform("p.errors", lambda e, k: F.struct(e["kind"].alias("kind"), e["at"].alias("at"), k.alias("place"), e["ref"].alias("ref"), e["heard"].alias("heard")))
+    errors = written(compared_turns(spark, d).select("conv_id", "turn", F.inline(listed)))
+    return error_histogram(errors, ["conv_id", "turn"]).select("kind", "errors", F.to_json("examples").alias("examples"))
 
 
 SCRIPTS = {"Deva": 0x0900, "Beng": 0x0980, "Gujr": 0x0A80, "Telu": 0x0C00, "Knda": 0x0C80}

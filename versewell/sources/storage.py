@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: worked out once, however often they are read."""
+    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
