@@ -39,7 +39,7 @@ from versewell.llm.common import Scratch, others, released, table
 
 PIECE, SLICE_BYTES = 4096, 1 << 20
 BLOCK = 1_000_000
-MEMO_CHUNKS, MEMO_CHARS = 350_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 150_000, 48
 CUT, RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s \s")  # before spaces; a space inside other white space
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 KIND = "struct<n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<struct<key: bigint, times: bigint>>>"
