@@ -25,26 +25,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versewell.llm.bpe import byte_table
 from versewell.llm.common import Scratch, others, released, table
 
-PIECE, SLICE_BYTES = 4096, 1 << 20
+PIECE, SLICE_BYTES = 4096, 1 << 19
 BLOCK = 1_000_000
-MEMO_CHUNKS, MEMO_CHARS = 150_000, 48
+MEMO_CHUNKS, MEMO_CHARS, AT_ONCE = 150_000, 48, 4096
 CUT, RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s \s")  # before spaces; a space inside other white space
 OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-KIND = "struct<n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<struct<key: bigint, times: bigint>>>"
+DDL = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<struct<key: bigint, times: bigint>>"
 _LINK = pa.struct([("key", pa.int64()), ("times", pa.int64())])
-_KIND = pa.struct([*[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("links", pa.list_(_LINK))])
+_KIND = pa.schema([*[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("links", pa.list_(_LINK))])
 
 
 def read_file(path: str) -> bytes:
@@ -58,6 +62,7 @@ class Pair:
     _built: dict[str, Pair] = {}
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -75,6 +80,7 @@ class Pair:
         first = json.loads(a)["pre_tokenizer"] or {}
         self.cuts = first.get("type") == "ByteLevel" and first["use_regex"] and not any("▁" in p.lstrip("▁") for p in pieces)
         self.sizes = [np.array([len(x) for x in side], "i8") for side in (self.a_bytes, self.b_bytes)]
+        self.lone = self.b.piece_to_id("▁")
         self.memo: dict[str, tuple[bytes, bytes, bool]] = {}
         self.older: dict[str, tuple[bytes, bytes, bool]] = {}  # what the memo held when it was full
         self.digits = [self._printed(side) for side in (self.a_bytes, self.b_bytes)]
@@ -101,25 +107,25 @@ class Pair:
         return [" " + part for part in text[1:].split(" ")]
 
     def _new(self, chunks: list[str]) -> None:
-        a = [np.array(e.ids, "<i4") for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # B puts a space before what it is given, but not before nothing
-        b = [np.array(ids, "<i4") for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
-        lone = np.array([self.b.piece_to_id("▁")], "<i4")
-        b = [lone if c == " " else ids for c, ids in zip(chunks, b)]
+        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        if " " in chunks:
+            b[chunks.index(" ")] = [self.lone]
         raw = [c.encode() for c in chunks]
-        exact = np.logical_and(*(self._exact(raw, ids, side) for side, ids in enumerate((a, b)))).tolist()
-        self.memo.update((c, (x.tobytes(), y.tobytes(), ok)) for c, x, y, ok in zip(chunks, a, b, exact))
+        exact = np.logical_and(self._exact(raw, a, 0), self._exact(raw, b, 1)).tolist()
+        self.memo.update((c, (array("i", x).tobytes(), array("i", y).tobytes(), ok)) for c, x, y, ok in zip(chunks, a, b, exact))
 
-    def _exact(self, raw: list[bytes], ids: list[np.ndarray], side: int) -> np.ndarray:
+    def _exact(self, raw: list[bytes], ids: list[list[int]], side: int) -> np.ndarray:
         """Whether the bytes of the ids are the chunk, for each chunk."""
         of = (self.a_bytes, self.b_bytes)[side]
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<i4")
+        flat = list(chain.from_iterable(ids))
         ends = np.cumsum([0, *map(len, ids)])
         sizes = np.concatenate([np.zeros(1, "i8"), np.cumsum(self.sizes[side][flat])])[ends]
         same_size = np.diff(sizes) == [len(r) for r in raw]
-        if same_size.all() and b"".join(map(of.__getitem__, flat.tolist())) == b"".join(raw):
+        if same_size.all() and b"".join(map(of.__getitem__, flat)) == b"".join(raw):
             return same_size
-        return np.array([b"".join(map(of.__getitem__, x.tolist())) == r for x, r in zip(ids, raw)], bool)
+        return np.array([b"".join(map(of.__getitem__, x)) == r for x, r in zip(ids, raw)], bool)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A's ids, tokens of A in each text, B's ids, tokens of B in each text); none for unfaithful texts."""
@@ -130,7 +136,8 @@ class Pair:
         kept = [c for c in new if c in self.older]
         self.memo.update((c, self.older[c]) for c in kept)
         new = list(new.difference(kept))
-        self._new(new)
+        for at in range(0, len(new), AT_ONCE):
+            self._new(new[at : at + AT_ONCE])
         sides, counts = ([], []), np.zeros((2, len(texts)), "i8")
         for k, chunks in enumerate(cut):
             if chunks:
@@ -247,10 +254,10 @@ class Aligned:
         return out
 
 
-def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
-    step = max(1, int(len(batch) * SLICE_BYTES / max(batch.nbytes, 1)))
-    for at in range(0, len(batch), step):
-        yield batch.slice(at, step).to_pylist()
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch[text].nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def align(df: DataFrame, a: bytes, b: bytes, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -262,16 +269,19 @@ def align(df: DataFrame, a: bytes, b: bytes, text: str = "text", block: int = BL
     files = spark.sparkContext.broadcast((a, b))
     vocabulary = sentencepiece.SentencePieceProcessor(model_proto=b).get_piece_size()
 
-    @F.arrow_udf(KIND)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.get(*files.value)
-        for batch in released(batches):
-            parts = [Aligned(pair, texts).figures() for texts in _slices(batch)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], _KIND)
+        for batch in released(batches):  # a slice's links go out before the next slice is read
+            for part in _slices(batch, "__text"):
+                own = {c: part[c] for c in part.schema.names if c != "__text"}
+                made = Aligned(pair, part["__text"].to_pylist()).figures().flatten()
+                yield pa.RecordBatch.from_pydict(own | dict(zip(_KIND.names, made)))
 
     kept = others(df, *OUT, text)
-    found = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(*kept).alias("__kept"), run(F.col(f"`{text}`")).alias("__found"))
-    found = scratch.write(found.select("__row", *(["__kept"] if kept else []), "__found.*"))
+    held = [F.struct(*kept).alias("__kept")] if kept else []
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), *held, F.col(f"`{text}`").alias("__text"))
+    shape = T.StructType([*(f for f in rows.schema if f.name != "__text"), *T.StructType.fromDDL(DDL)])
+    found = scratch.write(rows.mapInArrow(run, shape))
 
     links = found.select("__row", F.explode("links").alias("link")).select("__row", "link.*")
     counts = scratch.write(links.groupBy("key").agg(F.sum("times").alias("count")))
@@ -288,8 +298,7 @@ def align(df: DataFrame, a: bytes, b: bytes, text: str = "text", block: int = BL
         parts.append(links.selectExpr("__row", "0L AS n_best", "0L AS count_sum"))
     added = parts[0] if blocks <= 1 else reduce(DataFrame.unionByName, parts).groupBy("__row").agg(*[F.sum(c).alias(c) for c in ("n_best", "count_sum")])
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
-    held = ["__kept.*"] if kept else []
-    return found.drop("links").join(added, "__row", "left").select(*held, "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
+    return found.drop("links").join(added, "__row", "left").select(*(["__kept.*"] if kept else []), "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
 
 
 def op12_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
