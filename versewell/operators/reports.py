@@ -100,9 +100,21 @@ def moments(takes: DataFrame) -> DataFrame:
     return shown.select("learner", "assessment", "sloka", "kind", "rank")
 
 
-def qualifying(history_: DataFrame, least: int = 90) -> DataFrame:
-    """Attempts that count for a badge: quiz, overall of at least ``least``, one per learner, quiz and day, numbered."""
+def clean_attempts(items: DataFrame) -> DataFrame:
+    """Assessments of which every item was compared, recited and without a slip."""
+    fine = F.col("matched") & ~F.col("missing") & (F.size("slips") == 0)
+    return items.groupBy("assessment").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("clean")).where("clean").select("assessment")
+
+
+def qualified(history_: DataFrame, least: int = 90, clean: DataFrame | None = None) -> DataFrame:
+    """Quiz attempts good enough for a badge: an overall of ``least``, and among ``clean`` where that is given."""
     ok = history_.where((F.col("kind") == "quiz") & (F.col("overall") >= least))
+    return ok if clean is None else ok.join(clean, "assessment", "left_semi")
+
+
+def qualifying(history_: DataFrame, least: int = 90, clean: DataFrame | None = None) -> DataFrame:
+    """Attempts that count for a badge: qualified, one per learner, quiz and day, numbered."""
+    ok = qualified(history_, least, clean)
     first = F.row_number().over(W.partitionBy("learner", "quiz", "day").orderBy("at", "assessment"))
     per_day = ok.withColumn("one", first).where("one = 1")
     return per_day.withColumn("n", F.row_number().over(W.partitionBy("learner", "quiz").orderBy("day")))
@@ -131,11 +143,12 @@ def merge_badges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 CUT = "1998-01-01"
+LEAST_STAND_IN = 60  # the stand-in scores seldom reach 90
 
 
 def _badges(spark, d, until: str | None = None) -> DataFrame:
     h = history(spark, d).withColumn("quiz", F.col("quiz") % 3)
-    return badge_levels(qualifying(h.where(F.col("day") < until) if until else h, 60))  # the stand-in scores seldom reach 90
+    return badge_levels(qualifying(h.where(F.col("day") < until) if until else h, LEAST_STAND_IN))
 
 
 def q_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -8,18 +8,20 @@ transformation feeds a long-running ``writeStream``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from versewell.operators import reports as R
 from versewell.plans import views as V
 from versewell.sources.storage import shared_folder
+from versewell.streaming import awards, ordered, restarts
 
 STOP_SECONDS = 1800  # silence that ends a take
+DELAY = "1 day"  # how late events may come
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,15 +37,17 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run the stream over what is there; the last version of each key, by batch."""
+def drain(stream: DataFrame, keys: list[str], mode: str = "update", then: Callable[[], None] | None = None) -> DataFrame:
+    """Run the stream over what is there; the last version of each key, by batch. ``then`` adds what a second run reads."""
     spark, top = stream.sparkSession, folder(stream.sparkSession)
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{top}/out/batch={n}")  # a batch that runs again replaces itself
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for more in (None, then) if then else (None,):
+        if more:
+            more()
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
     schema = T.StructType([*stream.schema, T.StructField("__batch", T.IntegerType())])
     out = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{top}/out")
     if mode == "complete":  # every batch holds the whole table
@@ -83,20 +87,11 @@ def q_unsure_confirm(spark: SparkSession, d: str) -> DataFrame:
     return drain(slips.join(clicks, on).select("take", "slip", "click"), ["take", "slip", "click"], "append").distinct()
 
 
-def fold(rows: DataFrame, key: str, out: str, state: str, start: tuple, step: Callable) -> DataFrame:
-    """Stateful fold per key over rows in time order; emits one row for each row that ``step`` answers to."""
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else start
-        said = []
-        for row in pd.concat(list(parts)).sort_values(["at", "event_id"]).itertuples(index=False):
-            now, answer = step(k[0], now, row)
-            if answer is not None:
-                said.append(answer)
-        held.update(now)
-        yield pd.DataFrame(said, columns=[c.split()[0] for c in out.split(", ")])
-
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+def folded(spark: SparkSession, d: str, rows: DataFrame, job: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Answers of an ordered fold over all of a finite stream: then time passes, so that the last rows are folded, too."""
+    seen, tick = ordered.with_ticks(rows, f"{folder(spark)}/ticks")
+    last = V.table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 400 DAYS")).first()[0]
+    return drain(job(seen), keys, "append", then=lambda: tick(last))
 
 
 def q_pace_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -104,11 +99,11 @@ def q_pace_profile(spark: SparkSession, d: str) -> DataFrame:
 
     def step(user, now, row):
         mean, n = now
-        mean, n = mean + (row.value - mean) / min(n + 1, 20), n + 1
-        return (mean, n), (user, n, mean)
+        mean, n = mean + (row.values[0] - mean) / min(n + 1, 20), n + 1
+        return (mean, n), [(user, n, mean)]
 
     rows = events_stream(spark, d).where("event_type = 'purchase'").select("user_id", "event_id", "at", "value")
-    out = drain(fold(rows, "user_id", "user_id long, n long, pace double", "mean double, n long", (0.0, 0), step), ["user_id", "n"], "append")
+    out = folded(spark, d, rows, lambda r: ordered.fold(r, "user_id", ["value"], "user_id long, n long, pace double", (0.0, 0), step, DELAY), ["user_id", "n"])
     return out.groupBy("user_id").agg(F.round(F.max_by("pace", "n"), 6).alias("pace"), F.max("n").alias("n"))
 
 
@@ -117,7 +112,7 @@ def q_ear(spark: SparkSession, d: str) -> DataFrame:
 
     def step(user, now, row):
         count, last, items = now
-        at = row.at.timestamp()
+        at = row.at
         pause = at - last if last else 0.0
         said = None
         if count and pause >= 14400:
@@ -126,11 +121,11 @@ def q_ear(spark: SparkSession, d: str) -> DataFrame:
             said = (user, items, "complete", "pause" if count >= 30 else "dropped", count)
         if said:
             count, items = 0, items + 1
-        return (count + 1 + int(row.value // 50), at, items), said
+        return (count + 1 + int(row.values[0] // 50), at, items), [said] if said else []
 
     rows = events_stream(spark, d).select("user_id", "event_id", "at", "value")
     out = "user_id long, item long, state string, reason string, heard long"
-    return drain(fold(rows, "user_id", out, "count long, last double, items long", (0, 0.0, 0), step), ["user_id", "item"], "append")
+    return folded(spark, d, rows, lambda r: ordered.fold(r, "user_id", ["value"], out, (0, 0.0, 0), step, DELAY), ["user_id", "item"])
 
 
 RISE = 2.5  # dB between a nucleus and the dips around it
@@ -154,13 +149,13 @@ def q_syllables(spark: SparkSession, d: str) -> DataFrame:
 
     def step(user, now, row):
         *levels, last = now
-        at = row.at.timestamp()
-        new, counted = nucleus(tuple(levels), 20 * math.log10(max(row.value, 0.01) / 100))
-        return (*new, at), (user, new[3], round(at - last, 3) if last else 0.0) if counted else None
+        at = row.at
+        new, counted = nucleus(tuple(levels), 20 * math.log10(max(row.values[0], 0.01) / 100))
+        return (*new, at), [(user, new[3], round(at - last, 3) if last else 0.0)] if counted else []
 
     rows = events_stream(spark, d).select("user_id", "event_id", "at", "value")
-    out = fold(rows, "user_id", "user_id long, nucleus long, pause double", "dip double, peak double, rising boolean, count long, last double", (0.0, 0.0, False, 0, 0.0), step)
-    return drain(out, ["user_id", "nucleus"], "append")
+    job = lambda r: ordered.fold(r, "user_id", ["value"], "user_id long, nucleus long, pause double", (0.0, 0.0, False, 0, 0.0), step, DELAY)
+    return folded(spark, d, rows, job, ["user_id", "nucleus"])
 
 
 def q_stalls(spark: SparkSession, d: str) -> DataFrame:
@@ -168,16 +163,59 @@ def q_stalls(spark: SparkSession, d: str) -> DataFrame:
 
     def step(user, now, row):
         count, last, stalled = now
-        at = row.at.timestamp()
+        at = row.at
         pada = count // 8
         stall = bool(last) and at - last >= 3600 and count % 8 != 0 and stalled != pada
-        return (count + 1, at, pada if stall else stalled), (user, pada, "stall", count) if stall else None
+        return (count + 1, at, pada if stall else stalled), [(user, pada, "stall", count)] if stall else []
 
     rows = events_stream(spark, d).select("user_id", "event_id", "at", "value")
-    return drain(fold(rows, "user_id", "user_id long, pada long, kind string, count long", "count long, last double, stalled long", (0, 0.0, -1), step), ["user_id", "pada"], "append")
+    job = lambda r: ordered.fold(r, "user_id", [], "user_id long, pada long, kind string, count long", (0, 0.0, -1), step, DELAY)
+    return folded(spark, d, rows, job, ["user_id", "pada"])
+
+
+PLAN, FRAMES, LONG_PAUSE = [8, 8, 8, 8], 4, 12 * 3600  # akṣaras of a text's pādas, frames of a template, a pause in seconds
+
+
+def signature(kind: int, value: float) -> np.ndarray:
+    """Twelve cepstra that stand for an event: its kind's, and a little of its value."""
+    return np.cos(np.arange(1, 13) * (kind + 2) * 1.3) * 6 + 0.1 * np.sin(np.arange(1, 13) * value)
+
+
+def q_restarts(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a learner as the frames of a take, an akṣara each; each kind of event opens one pāda of the text."""
+    kinds = F.array_position(F.array(*[F.lit(k) for k in ("signup", "purchase", "view", "click", "error")]), F.col("event_type"))
+    frame = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda c: F.cos(c * (kinds + 2) * 1.3) * 6 + 0.1 * F.sin(c * F.col("value")))
+    rows = events_stream(spark, d).select(F.col("user_id").alias("take"), "event_id", "at", frame.alias("frame"), F.lit(1).alias("aksharas"))
+    centre = np.mean([signature(k, 0) for k in range(1, 6)], 0)
+    templates = [(k, np.stack([signature(k, 0) - centre])) for k in range(1, 5)]
+    known = spark.sparkContext.broadcast(Fixed((templates, 9.0, PLAN, 0)))
+    job = lambda r: restarts.restarts(r, known, LONG_PAUSE, FRAMES, 1, delay=DELAY)
+    return folded(spark, d, rows, job, ["take", "at"]).withColumn("at", F.round("at", 3))
+
+
+class Fixed:
+    """The same text for every take."""
+
+    def __init__(self, value: tuple):
+        self.value = value
+
+    def __call__(self, take: int) -> tuple:
+        return self.value
+
+
+def q_award_badges(spark: SparkSession, d: str) -> DataFrame:
+    """Awards over a stream of quiz attempts, in four batches: only what is new or raised in each."""
+    top = folder(spark)
+    h = R.qualified(R.history(spark, d).withColumn("quiz", F.col("quiz") % 3), R.LEAST_STAND_IN)
+    h = h.select("learner", "quiz", "day", F.col("at").cast("timestamp").alias("at"), "assessment").withColumn("part", F.ntile(4).over(R.W.partitionBy("learner").orderBy("at", "assessment")))
+    for k in range(1, 5):
+        h.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{top}/in/part={k}")
+    seen = spark.readStream.schema(awards.COUNTED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/in")
+    seen.writeStream.foreachBatch(awards.award(top)).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    return awards.awards(top, spark).select("learner", "quiz", "level", "change", "from_level")
 
 
-QUERIES = {"stream_syllable_counter": q_syllables, "stream_ear_slips": q_stalls, "stream_session_takes": q_sessions, "stream_period_counts": q_period_counts, "stream_unsure_confirm": q_unsure_confirm, "stream_pace_profile": q_pace_profile, "stream_ear_decisions": q_ear}
+QUERIES = {"stream_restart_detection": q_restarts, "stream_award_badges": q_award_badges, "stream_syllable_counter": q_syllables, "stream_ear_slips": q_stalls, "stream_session_takes": q_sessions, "stream_period_counts": q_period_counts, "stream_unsure_confirm": q_unsure_confirm, "stream_pace_profile": q_pace_profile, "stream_ear_decisions": q_ear}
 _FMT = "'%Y-%m-%d %H:%M:%S'"
 ORACLE = {
     "stream_ear_slips": """WITH e AS (SELECT user_id, row_number() OVER w - 1 AS count, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
