@@ -1,4 +1,4 @@
-"""Audio decoding, pitch, silence and alignment on made signals."""
+"""Audio decoding and silence on made signals."""
 
 import struct
 
@@ -33,13 +33,6 @@ def test_sample_formats():
     assert audio.decode(head(1, 1, 12, b"ab")) is None and audio.decode(b"") is None and audio.decode(None) is None
 
 
-def test_pitch_of_tones():
-    for hz in (100, 220, 440):
-        got = signals.pitch(tone(hz, 1.0), 8000, 160)
-        assert abs(12 * np.log2(np.nanmedian(got) / hz)) < 0.05 and np.isnan(got).mean() < 0.05
-    assert np.isnan(signals.pitch(np.zeros(8000), 8000, 160)).all()
-
-
 def test_trim_is_a_no_op_the_second_time():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(0, 1e-4, 8000), tone(200, 1.0), rng.normal(0, 1e-4, 8000)]
@@ -47,23 +40,3 @@ def test_trim_is_a_no_op_the_second_time():
     assert abs(a - 0.85) < 0.03 and abs(b - 2.15) < 0.03
     again = signals.active_region(x[int(a * 8000) : int(b * 8000)], 8000)
     assert again[0] < 0.02 and again[1] > b - a - 0.02
-
-
-def test_alignment():
-    rng = np.random.default_rng(2)
-    a = rng.normal(size=(40, 12))
-    cost, path = signals.align(a, a)
-    assert cost < 1e-6 and (path[:, 0] == path[:, 1]).all()
-    cost, path = signals.align(a, np.repeat(a, 2, 0))
-    assert (np.diff(path, axis=0) >= 0).all() and abs(np.polyfit(path[:, 0], path[:, 1], 1)[0] - 2) < 0.1
-    b = rng.normal(size=(7, 12))
-    small = a[:6]
-    table = np.full((7, 8), np.inf)  # the plain recurrence
-    table[0, 0] = 0
-    dist = np.sqrt(((small[:, None] - b[None]) ** 2).sum(2))
-    for i in range(6):
-        for j in range(7):
-            into = min(table[i, j], table[i, j + 1] + signals.STEP if i else np.inf, table[i + 1, j] + signals.STEP if j else np.inf)
-            table[i + 1, j + 1] = dist[i, j] + (0 if i == j == 0 else into)
-    cost, path = signals.align(small, b)
-    assert abs(cost * len(path) - table[6, 7]) < 1e-9

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,21 +43,6 @@ def q_features_sink(spark: SparkSession, d: str) -> DataFrame:
     return D.read_features(spark, path, 2).select("recording", F.size("rms_db").cast("long").alias("frames"), F.element_at("rms_db", 1).alias("first_db"))
 
 
-def validate(verses: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(id, level, rule): one rule, one table. verses: id, chapter, verse, text; chapters: chapter, verses."""
-    known = verses.join(chapters.select("chapter"), "chapter", "left_anti").select("id", F.lit("error").alias("level"), F.lit("unknown chapter").alias("rule"))
-    twice = verses.groupBy("chapter", "verse").agg(F.count("*").alias("n"), F.max("id").alias("id")).where("n > 1").select("id", F.lit("error"), F.lit("duplicate verse"))
-    blank = verses.where("text IS NULL OR trim(text) = ''").select("id", F.lit("warning"), F.lit("no text"))
-    short = verses.groupBy("chapter").agg(F.count_distinct("verse").alias("n")).join(chapters, "chapter").where("n <> verses").select(F.col("chapter").cast("long").alias("id"), F.lit("warning"), F.lit("verse count"))
-    return reduce(DataFrame.union, [known, twice, blank, short])
-
-
-def q_validate(spark: SparkSession, d: str) -> DataFrame:
-    verses = V.slokas(spark, d).select(F.col("sloka").alias("id"), "chapter", "verse", F.when(F.col("sloka") % 13 != 0, F.col("name")).alias("text"))
-    chapters = spark.range(1, 17).select(F.col("id").cast("int").alias("chapter"), F.lit(38).alias("verses"))
-    return validate(verses, chapters)
-
-
 def q_recording_meta(spark: SparkSession, d: str) -> DataFrame:
     """Patches over current metadata: an absent field keeps, an explicit null clears, unknown vocabulary is refused."""
     c = V.table(spark, d, "customer")
@@ -144,7 +127,7 @@ def q_award(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_json_documents": q_json_documents, "src_translation_jsonl": q_translations, "snk_features_parquet": q_features_sink, "validate_dataset": q_validate, "clean_recording_meta": q_recording_meta,
+    "src_json_documents": q_json_documents, "src_translation_jsonl": q_translations, "snk_features_parquet": q_features_sink, "clean_recording_meta": q_recording_meta,
     "map_names_to_verses": q_map_names, "akshara_plan": q_plan, "metre_for_record": q_metre_for_record, "sound_scores": q_sound_scores, "phrasing_score": q_phrasing, "pada_starts": q_pada_starts, "award_badges_batches": q_award,
 }
 _PLAN = f"""l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda t: length(trim(t, ' ')) > 0)) AS t, generate_subscripts(list_filter(string_split(text, chr(10)), lambda t: length(trim(t, ' ')) > 0), 1) - 1 AS pada FROM documents),
@@ -153,10 +136,6 @@ ORACLE = {
     "src_json_documents": "SELECT o_custkey AS id, 'quiz ' || o_custkey AS name, count(*) AS attempts, max(floor(o_totalprice % 101))::BIGINT AS best, strftime(arg_max(o_orderdate, o_orderkey), '%Y-%m-%d') AS last_at FROM orders WHERE o_custkey % 10 <> 3 GROUP BY o_custkey",
     "src_translation_jsonl": V.sql("SELECT sloka, t.text FROM v_slokas LEFT JOIN (SELECT l_partkey, arg_max(l_orderkey || '-' || l_suppkey || '-' || l_linenumber, (l_orderkey, l_suppkey, l_linenumber)) AS text FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) t ON l_partkey = sloka", "v_slokas"),
     "snk_features_parquet": V.sql("SELECT recording, count(*) AS frames, arg_min(rms_db, idx) AS first_db FROM v_frames WHERE recording % 4 <> 0 GROUP BY recording", "v_frames"),
-    "validate_dataset": V.sql(
-        """,, c AS (SELECT range AS chapter FROM range(1, 17)), x AS (SELECT sloka AS id, chapter, verse, CASE WHEN sloka % 13 <> 0 THEN name END AS text FROM v_slokas)
-SELECT id, 'error' AS level, 'unknown chapter' AS rule FROM x WHERE chapter NOT IN (SELECT chapter FROM c) UNION ALL SELECT max(id), 'error', 'duplicate verse' FROM x GROUP BY chapter, verse HAVING count(*) > 1
-UNION ALL SELECT id, 'warning', 'no text' FROM x WHERE text IS NULL OR trim(text) = '' UNION ALL SELECT chapter, 'warning', 'verse count' FROM x WHERE chapter IN (SELECT chapter FROM c) GROUP BY chapter HAVING count(DISTINCT verse) <> 38""", "v_slokas"),
     "clean_recording_meta": """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 AND NOT (c_nationkey >= 8 AND c_nationkey < 16) THEN CASE WHEN c_nationkey < 8 THEN 'BUILDING' END ELSE c_mktsegment END AS style,
 CASE WHEN c_custkey % 6 = 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN -c_acctbal END ELSE c_acctbal END AS lead FROM customer""",
     "map_names_to_verses": V.sql(

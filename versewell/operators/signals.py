@@ -1,4 +1,4 @@
-"""Sound jobs: features, silence, alignment. Each is one Arrow pass over recordings, or over pairs of them."""
+"""Recordings as files: headers, identity and silence. Each is one Arrow pass."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from versewell.plans import views as V
 from versewell.sources import audio as A
 
-RATE, HOP = 8000, 160  # 50 frames a second
-STEP, PART = 0.15, 320  # cost of a slanted step of an alignment; samples of one event's tone
+RATE, PART = 8000, 320  # samples of one event's tone
 
 
 def levels(x: np.ndarray, hop: int) -> np.ndarray:
@@ -34,65 +33,6 @@ def active_region(x: np.ndarray, rate: int, pad: float = 0.15) -> tuple[float, f
     return max(0.0, runs[0][0] / 100 - pad), min(len(x) / rate, runs[-1][1] / 100 + pad)
 
 
-def pitch(x: np.ndarray, rate: int, hop: int, low: float = 70, high: float = 600) -> np.ndarray:
-    """Fundamental of each frame in Hz (NaN: unvoiced) by the cumulative mean difference, from an FFT autocorrelation."""
-    longest, shortest, size = int(rate / low), int(rate / high), 512
-    starts = np.arange(0, max(0, len(x) - size - longest), hop)
-    if not len(starts):
-        return np.zeros(0)
-    frames = x[starts[:, None] + np.arange(size + longest)]
-    head = frames[:, :size]
-    n = 1 << int(np.ceil(np.log2(2 * size + longest)))
-    cross = np.fft.irfft(np.conj(np.fft.rfft(head, n)) * np.fft.rfft(frames, n), n)[:, : longest + 1]
-    power = np.cumsum(np.pad(frames**2, ((0, 0), (1, 0))), 1)
-    energy = power[:, size : size + longest + 1] - power[:, : longest + 1]
-    d = energy[:, :1] + energy - 2 * cross
-    d[:, 0] = 0
-    mean = np.cumsum(d, 1) / np.maximum(np.arange(longest + 1), 1)
-    norm = np.where(mean > 1e-12, d / np.maximum(mean, 1e-12), 1.0)
-    norm[:, :shortest] = 1
-    dip = norm < 0.15
-    first = np.where(dip.any(1), dip.argmax(1), 0)
-    out = np.full(len(starts), np.nan)
-    for k in np.flatnonzero(first):
-        t = first[k]
-        while t + 1 <= longest and norm[k, t + 1] < norm[k, t]:
-            t += 1
-        shift = 0.0
-        if 0 < t < longest:
-            a, b, c = norm[k, t - 1 : t + 2]
-            shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c > 1e-12 else 0.0
-        out[k] = rate / (t + shift)
-    return out
-
-
-def align(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
-    """Least-cost monotone path between two sequences of vectors: (mean cost along it, [steps, 2]).
-
-    One row of the table at a time: with P the running sum of the row's costs and steps, the best way along
-    the row is P plus the running minimum of (best way in from above + cost - P).
-    """
-    n, m = len(a), len(b)
-    cost = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
-    best, back = np.empty((n, m)), np.zeros((n, m), "u1")
-    for i in range(n):
-        if i:
-            straight, up = np.r_[np.inf, best[i - 1, :-1]], best[i - 1] + STEP
-            into = np.minimum(straight, up)
-            back[i] = up < straight
-        else:
-            into = np.r_[0.0, np.full(m - 1, np.inf)]
-        p = np.cumsum(cost[i] + STEP)
-        best[i] = p + np.minimum.accumulate(into + cost[i] - p)
-        back[i][best[i] < into + cost[i] - 1e-12] = 2
-    path, i, j = [(n - 1, m - 1)], n - 1, m - 1
-    while i or j:
-        way = back[i, j] if i and j else (1 if i else 2)
-        i, j = (i - 1, j - 1) if way == 0 else (i - 1, j) if way == 1 else (i, j - 1)
-        path.append((i, j))
-    return float(best[-1, -1] / len(path)), np.array(path[::-1])
-
-
 def sung(spark: SparkSession, d: str) -> DataFrame:
     """A recording per learner, made of their events: each sounds for 40 ms at a pitch and loudness from its value."""
     e = V.table(spark, d, "events")
@@ -129,33 +69,5 @@ def q_trim(spark: SparkSession, d: str) -> DataFrame:
     return A.with_audio(sung(spark, d), "start double, stop double, bytes bigint", job).select("recording", "audio.*")
 
 
-def q_features(spark: SparkSession, d: str) -> DataFrame:
-    """Frame features of each recording in one row: loudness and semitones (null: unvoiced)."""
-
-    def job(x, rate, channels, bits):
-        hz = pitch(x, rate, HOP)
-        st = 69 + 12 * np.log2(hz / 440)
-        return {"rms_db": levels(x, HOP).tolist(), "st": [None if np.isnan(v) else float(v) for v in st]}
-
-    f = A.with_audio(sung(spark, d), "rms_db array<double>, st array<double>", job)
-    return f.select("recording", F.size("audio.rms_db").alias("frames"), F.size(F.filter("audio.st", lambda v: v.isNotNull())).alias("voiced"), "audio.rms_db", "audio.st")
-
-
-def q_align(spark: SparkSession, d: str) -> DataFrame:
-    """Alignment of each recording's vectors with the next label's: mean cost, steps, and the slope of the path."""
-    e = V.table(spark, d, "embeddings")
-    r = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 12).alias("v")))), lambda x: x["v"]).alias("seq"))
-    pairs = r.select("label", "seq").join(r.select((F.col("label") - 1).alias("label"), F.col("seq").alias("other")), "label")
-
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            cost, path = align(np.array(x), np.array(y))
-            out.append({"cost": round(cost, 6), "steps": len(path), "slope": round(float(np.polyfit(path[:, 0], path[:, 1], 1)[0]), 6) if len(x) > 1 else 1.0})
-        return pa.array(out, pa.struct([("cost", pa.float64()), ("steps", pa.int64()), ("slope", pa.float64())]))
-
-    return pairs.select("label", F.arrow_udf(run, "struct<cost double, steps bigint, slope double>")("seq", "other").alias("a")).select("label", "a.*")
-
-
-QUERIES = {"src_wav_corpus": q_wav_corpus, "audio_identity": q_audio_identity, "trim_silence": q_trim, "extract_features": q_features, "align_dtw": q_align}
+QUERIES = {"src_wav_corpus": q_wav_corpus, "audio_identity": q_audio_identity, "trim_silence": q_trim}
 ORACLE = {"src_wav_corpus": f"SELECT user_id AS recording, {RATE}::INT AS sample_rate, 1 AS channels, 16 AS bits, count(*) * {PART} AS n_samples, count(*) * {PART / RATE}::DOUBLE AS duration FROM events GROUP BY user_id"}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from versewell.operators import corpus, corrections, frames, linking, phonology, reports, scoring, signals, texts
+from versewell.operators import corpus, corrections, dataset, frames, linking, phonology, reports, scoring, signals, sound, texts
 from versewell.streaming import live
 
-MODULES = (scoring, reports, linking, frames, texts, corrections, corpus, phonology, signals, live)
+MODULES = (scoring, reports, linking, frames, texts, corrections, corpus, dataset, phonology, signals, sound, live)
 
 
 def queries() -> dict:

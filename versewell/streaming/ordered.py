@@ -13,6 +13,7 @@ from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TICK_KEY = -(1 << 62)  # the key of rows that only move the watermark
@@ -70,12 +71,12 @@ def fold(rows: DataFrame, key: str, values: list[str], out: str, start: Any, ste
 def with_ticks(rows: DataFrame, folder: str) -> tuple[DataFrame, Callable[[Any], None]]:
     """The stream with another one beside it, and what to call to let time pass there: everything up to the given moment
     is then folded. Live streams need no ticks."""
-    spark = rows.sparkSession
-    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(folder)
-    ticks = spark.readStream.schema(rows.schema).parquet(folder)
+    spark, kind = rows.sparkSession, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    spark.createDataFrame([], kind).write.mode("ignore").parquet(folder)
+    ticks = spark.readStream.schema(kind).parquet(folder)
 
     def tick(at: Any) -> None:
-        one = [TICK_KEY if k == 0 else at if f.name == "at" else 0 if f.dataType.typeName() in ("long", "integer") else None for k, f in enumerate(rows.schema)]
-        spark.createDataFrame([tuple(one)], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+        one = [TICK_KEY if k == 0 else at if f.name == "at" else 0 if f.dataType.typeName() in ("long", "integer") else None for k, f in enumerate(kind)]
+        spark.createDataFrame([tuple(one)], kind).coalesce(1).write.mode("append").parquet(folder)
 
     return rows.unionByName(ticks), tick
