@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 
+from versewell.functions.trimming import trimmed
 from versewell.operators import signals
 from versewell.sources import audio
 
@@ -33,10 +34,38 @@ def test_sample_formats():
     assert audio.decode(head(1, 1, 12, b"ab")) is None and audio.decode(b"") is None and audio.decode(None) is None
 
 
+def noise(seconds, level=1e-4, rate=8000, seed=1):
+    return np.random.default_rng(seed).normal(0, level, int(seconds * rate))
+
+
 def test_trim_is_a_no_op_the_second_time():
-    rng = np.random.default_rng(1)
-    x = np.r_[rng.normal(0, 1e-4, 8000), tone(200, 1.0), rng.normal(0, 1e-4, 8000)]
-    a, b = signals.active_region(x, 8000)
-    assert abs(a - 0.85) < 0.03 and abs(b - 2.15) < 0.03
-    again = signals.active_region(x[int(a * 8000) : int(b * 8000)], 8000)
-    assert again[0] < 0.02 and again[1] > b - a - 0.02
+    x = np.r_[noise(1), tone(200, 1.0), noise(1, seed=2)]
+    y, start, stop, changed = trimmed(x, 8000)
+    assert changed and abs(start / 8000 - 0.88) < 0.03 and abs(stop / 8000 - 2.22) < 0.03
+    again = trimmed(y, 8000)
+    assert not again[3] and again[0] is y
+    assert np.allclose(y[200:-200], x[start + 200 : stop - 200]) and y[0] == 0 == y[-1]  # faded where it was cut
+    assert not trimmed(np.zeros(8000), 8000)[3] and not trimmed(np.zeros(0), 8000)[3]
+
+
+def test_clicks_and_rooms_are_no_sound():
+    click = np.r_[noise(0.2), 0.5 * np.ones(400), noise(0.8, seed=3), tone(200, 1.0), noise(1, seed=4)]  # 50 ms, then silence
+    _, start, _, _ = trimmed(click, 8000)
+    assert abs(start / 8000 - (1.05 - 0.12)) < 0.04
+    room = np.r_[noise(0.3, 1e-5), noise(1.5, 4e-3), tone(200, 1.0), noise(1.5, 4e-3, seed=5)]  # a dip before a steady room
+    _, start, stop, _ = trimmed(room, 8000)
+    assert abs(start / 8000 - (1.8 - 0.12)) < 0.05 and abs(stop / 8000 - (2.8 + 0.22)) < 0.05
+    one = np.r_[tone(200, 0.3), np.zeros(1600), tone(200, 1.0)]  # a word before a pause is no click
+    assert trimmed(one, 8000)[1] == 0
+
+
+def test_trimmed_recordings(spark, tmp_path):
+    x = np.r_[noise(1), tone(200, 1.0), noise(1, seed=2)]
+    rows = [(1, audio.encode(x, 8000), [("a", 0.0, 1.5), ("b", 1.5, None)]), (2, b"nonsense", None), (3, audio.encode(tone(200, 1.0), 8000), [])]
+    df = spark.createDataFrame(rows, "k int, content binary, chunks array<struct<text string, start double, end double>>")
+    got = {r.k: r for r in signals.write_trimmed(df, str(tmp_path / "out"), chunks="chunks").collect()}
+    cut = audio.header(got[1].content)["duration"]
+    assert got[1].changed and abs(cut - 1.34) < 0.05 and got[2].content == b"nonsense" and not got[2].changed and not got[3].changed
+    a, b = got[1].chunks
+    assert a.start == 0 and abs(a.end - (1.5 - 0.88)) < 0.03 and b.start == a.end and b.end is None
+    assert audio.header(got[3].content)["n_samples"] == 8000

@@ -67,6 +67,13 @@ def compared_turns(spark: SparkSession, d: str) -> DataFrame:
     return compare_phonology(turn_pairs(spark, d), "text", "heard", per_pada=F.lit(ANUSHTUBH))
 
 
+def q_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Light and heavy syllables of every turn: the pattern, and how many of each."""
+    a = weigh(syllabify(V.table(spark, d, "conversations"), "text"))
+    heavy = F.regexp_count("weights", F.lit("G")).cast("long")
+    return a.select("conv_id", "turn", "weights", heavy.alias("heavy"), (F.length("weights") - heavy).alias("light"))
+
+
 def q_compare(spark: SparkSession, d: str) -> DataFrame:
     return compared_turns(spark, d).select("conv_id", "turn", *[f"p.{c}" for c in (*COUNTS, *MORE)], "p.lines", "p.padas")
 
@@ -118,5 +125,5 @@ def q_convert_script(spark: SparkSession, d: str) -> DataFrame:
     return w.select("word", "knda", (convert_script(F.col("knda"), "Knda", "Deva") == F.col("deva")).alias("exact"))
 
 
-QUERIES = {"transliterate": q_transliterate, "convert_script": q_convert_script, "syllabify": q_syllabify, "compare_phonology": q_compare, "agg_error_histogram": q_errors}
+QUERIES = {"transliterate": q_transliterate, "convert_script": q_convert_script, "syllabify": q_syllabify, "syllable_weights": q_weights, "compare_phonology": q_compare, "agg_error_histogram": q_errors}
 ORACLE: dict[str, str] = {}

@@ -7,32 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versewell.functions.trimming import trimmed
 from versewell.plans import views as V
 from versewell.sources import audio as A
+from versewell.sources.documents import scratch_path
 
 RATE, PART = 8000, 320  # samples of one event's tone
 
 
-def levels(x: np.ndarray, hop: int) -> np.ndarray:
-    """Loudness in dB of consecutive frames."""
-    frames = x[: len(x) // hop * hop].reshape(-1, hop)
-    return 10 * np.log10(np.maximum((frames**2).mean(1), 1e-10)) if len(frames) else np.zeros(0)
-
-
-def active_region(x: np.ndarray, rate: int, pad: float = 0.15) -> tuple[float, float]:
-    """Seconds of the sounding part: frames over an adaptive threshold, blips under 60 ms left out, padded."""
-    db = levels(x, rate // 100)
-    if not len(db):
-        return 0.0, 0.0
-    s = np.sort(db)
-    on = db >= max(s[round(0.1 * (len(s) - 1))] + 6, s[round(0.98 * (len(s) - 1))] - 35)
-    edges = np.flatnonzero(np.diff(np.r_[0, on.astype(int), 0]))
-    runs = [(a, b) for a, b in edges.reshape(-1, 2) if b - a >= 6]
-    if not runs:
-        return 0.0, len(x) / rate
-    return max(0.0, runs[0][0] / 100 - pad), min(len(x) / rate, runs[-1][1] / 100 + pad)
-
-
 def sung(spark: SparkSession, d: str) -> DataFrame:
     """A recording per learner, made of their events: each sounds for 40 ms at a pitch and loudness from its value."""
     e = V.table(spark, d, "events")
@@ -59,15 +41,44 @@ def q_audio_identity(spark: SparkSession, d: str) -> DataFrame:
     return sung(spark, d).select("recording", A.identity(F.col("content")).alias("h")).groupBy("h").agg(F.min("recording").alias("recording"), F.count("*").alias("copies")).drop("h")
 
 
+TRIMMED = "start double, stop double, removed_start double, removed_end double, changed boolean, content binary"
+
+
+def trim_silence(recordings: DataFrame, content: str = "content", out: str = "trimmed") -> DataFrame:
+    """Add ``out``: the part with sound in seconds, what was cut, whether anything was, and the new file."""
+
+    def job(x, rate, channels, bits):
+        y, start, stop, changed = trimmed(x, rate)
+        return {"start": start / rate, "stop": stop / rate, "removed_start": start / rate, "removed_end": (len(x) - stop) / rate, "changed": changed, "content": A.encode(y, rate)}
+
+    return A.with_audio(recordings, TRIMMED, job, content, out)
+
+
+def write_trimmed(recordings: DataFrame, path: str, content: str = "content", chunks: str | None = None) -> DataFrame:
+    """Write recordings without their silence as Parquet and read them back: content, and with ``chunks``
+    (array<struct<text, start, end>>) their times moved by what was cut, kept inside the new length."""
+    t = trim_silence(recordings, content)
+    cut, length = F.col("trimmed.removed_start"), F.col("trimmed.stop") - F.col("trimmed.start")
+    inside = lambda v: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(length, v - cut)))
+    if chunks:
+        t = t.withColumn(chunks, F.transform(chunks, lambda c: F.struct(c["text"].alias("text"), inside(c["start"]).alias("start"), inside(c["end"]).alias("end"))))
+    kept = [c for c in recordings.columns if c != content]
+    t.select(*kept, F.coalesce("trimmed.content", content).alias(content), F.coalesce("trimmed.changed", F.lit(False)).alias("changed")).write.parquet(path)
+    return recordings.sparkSession.read.parquet(path)
+
+
 def q_trim(spark: SparkSession, d: str) -> DataFrame:
     """Sounding region of each recording, and the size of the trimmed file."""
+    t = trim_silence(sung(spark, d))
+    return t.select("recording", *[F.round(f"trimmed.{c}", 4).alias(c) for c in ("start", "stop")], "trimmed.changed", F.octet_length("trimmed.content").cast("long").alias("bytes"))
 
-    def job(x, rate, channels, bits):
-        a, b = active_region(x, rate)
-        return {"start": round(a, 3), "stop": round(b, 3), "bytes": len(A.encode(x[int(a * rate) : int(b * rate)], rate))}
 
-    return A.with_audio(sung(spark, d), "start double, stop double, bytes bigint", job).select("recording", "audio.*")
+def q_trimmed_audio(spark: SparkSession, d: str) -> DataFrame:
+    """Trimmed recordings with a transcript of one chunk over the whole, written and read back."""
+    r = A.headers(sung(spark, d)).withColumn("chunks", F.array(F.struct(F.lit("all").alias("text"), F.lit(0.0).alias("start"), F.col("audio.duration").alias("end")))).drop("audio")
+    t = A.headers(write_trimmed(r, scratch_path(spark), chunks="chunks"))
+    return t.select("recording", "changed", F.round("audio.duration", 4).alias("duration"), F.round(F.element_at("chunks", 1)["end"], 4).alias("stop"))
 
 
-QUERIES = {"src_wav_corpus": q_wav_corpus, "audio_identity": q_audio_identity, "trim_silence": q_trim}
+QUERIES = {"src_wav_corpus": q_wav_corpus, "audio_identity": q_audio_identity, "trim_silence": q_trim, "snk_trimmed_audio": q_trimmed_audio}
 ORACLE = {"src_wav_corpus": f"SELECT user_id AS recording, {RATE}::INT AS sample_rate, 1 AS channels, 16 AS bits, count(*) * {PART} AS n_samples, count(*) * {PART / RATE}::DOUBLE AS duration FROM events GROUP BY user_id"}
