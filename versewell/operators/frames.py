@@ -145,20 +145,50 @@ def q_activity_threshold(spark: SparkSession, d: str) -> DataFrame:
     return a.select("recording", trusted.alias("trusted"), F.round(thr, 6).alias("threshold_db"))
 
 
+LEAST_MATCHES, SNAP = 10, 0.3
+
+
+def key_offset(matches: DataFrame, by: str, apart: str = "apart") -> DataFrame:
+    """(by, offset, n): by how many semitones one side is sung higher, from the differences of matched frames.
+
+    The pitch class is the most frequent tenth of a semitone of the differences folded into one octave (the lowest of
+    equally frequent ones); the octave is the one that most differences of that class lie in (the same octave before
+    others, then the nearest, the lower one); then the median of those within a semitone, a whole number if it is
+    within 0.3 of one. 0 with fewer than ten differences. A difference of nothing is none.
+    """
+    half = lambda x: F.floor(x + 0.5)
+    m = matches.where(F.col(apart).isNotNull()).select(by, F.col(apart).alias("d"))
+    m = m.withColumn("folded", F.col("d") - 12 * half(F.col("d") / 12))
+    bins = m.groupBy(by, half((F.col("folded") + 6) * 10).alias("bin")).agg(F.count("*").alias("votes"))
+    modes = bins.groupBy(by).agg(F.max_by("bin", F.struct("votes", (-F.col("bin")).alias("b"))).alias("bin"), F.sum("votes").alias("n"))
+    m = m.join(modes.select(by, (F.col("bin") / 10 - 6).alias("class")), by)
+    octave = half((F.col("d") - F.col("class")) / 12).alias("octave")
+    votes = m.where("abs(folded - class) <= 1").groupBy(by, "class", octave).agg(F.count("*").alias("votes"))
+    rank = F.struct("votes", (-F.abs("octave")).alias("near"), (-F.col("octave")).alias("low"))
+    centres = votes.groupBy(by, "class").agg(F.max_by("octave", rank).alias("octave")).select(by, (F.col("class") + 12 * F.col("octave")).alias("centre"))
+    near = m.join(centres, by).where("abs(d - centre) <= 1").groupBy(by).agg(F.median("d").alias("middle"))
+    whole = half(F.col("middle"))
+    offset = F.when(F.col("n") < LEAST_MATCHES, 0.0).when(F.abs(F.col("middle") - whole) < SNAP, whole).otherwise(F.col("middle"))
+    return modes.join(near, by, "left").select(by, offset.alias("offset"), "n")
+
+
+def tempo_ratio(matches: DataFrame, by: str, ref: str = "i", heard: str = "j", least: float = 0.25, most: float = 4.0) -> DataFrame:
+    """(by, tempo_ratio): slope of the frames heard over the reference's, kept in bounds; 1 where it can't be told."""
+    x = F.col(ref).cast("double")
+    slope = F.when(F.var_pop(x) > 0, F.regr_slope(F.col(heard).cast("double"), x))
+    return matches.groupBy(by).agg(F.coalesce(F.greatest(F.lit(least), F.least(F.lit(most), slope)), F.lit(1.0)).alias("tempo_ratio"))
+
+
 def q_key_offset(spark: SparkSession, d: str) -> DataFrame:
-    """Mode of octave-folded pitch differences to the next frame in tenths, lowest bin on ties."""
-    f = V.frames(spark, d)
-    diff = (F.lead("st").over(by_time()) - F.col("st")) * 3
-    folded = diff - 12 * F.floor(diff / 12 + 0.5)
-    bins = f.select("recording", F.floor(folded * 10 + 0.5).cast("long").alias("bin")).where("bin IS NOT NULL").groupBy("recording", "bin").count()
-    return bins.groupBy("recording").agg(F.max_by("bin", F.struct("count", (-F.col("bin")).alias("b"))).alias("bin"), F.max("count").alias("votes"))
+    """Differences of pitch to the next frame, three times as large, as those of two takes."""
+    f = V.frames(spark, d).select("recording", ((F.lead("st").over(by_time()) - F.col("st")) * 3).alias("apart"))
+    return key_offset(f, "recording").select("recording", F.round("offset", 6).alias("offset"), "n")
 
 
 def q_tempo_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Least-squares slope of take frame on reference frame, clamped; 1 where it can't be told."""
     f = V.frames(spark, d).where("st IS NOT NULL").withColumn("j", F.col("idx") * 1.1 + F.col("rms_db"))
-    slope = F.regr_slope(F.col("j"), F.col("idx").cast("double"))
-    return f.groupBy("recording").agg(F.round(F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(2.0), slope)), F.lit(1.0)), 6).alias("tempo_ratio"))
+    return tempo_ratio(f, "recording", "idx").select("recording", F.round("tempo_ratio", 6).alias("tempo_ratio"))
 
 
 def q_normalize_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -366,9 +396,12 @@ SELECT take, span, row_number() OVER (PARTITION BY take ORDER BY t0) AS pada FRO
 a AS (SELECT recording, arg_min(level, (level, idx)) FILTER (n = 15) AS level, arg_min(spread, (level, idx)) FILTER (n = 15) AS spread, {_rank_sql('rms_db', 0.98)} AS p98, {_rank_sql('rms_db', 0.1)} AS p10 FROM x GROUP BY recording)
 SELECT recording, coalesce(spread <= 25 AND p98 - level >= 12, false) AS trusted, round(CASE WHEN coalesce(spread <= 25 AND p98 - level >= 12, false) THEN level + 9 ELSE greatest(p10 + 6, p98 - 35) END, 6) AS threshold_db FROM a""", *_F),
     "key_offset": V.sql(
-        """,, x AS (SELECT recording, (lead(st) OVER (PARTITION BY recording ORDER BY idx) - st) * 3 AS df FROM v_frames), b AS (SELECT recording, floor((df - 12 * floor(df / 12 + 0.5)) * 10 + 0.5)::BIGINT AS bin, count(*) AS n FROM x WHERE df IS NOT NULL GROUP BY ALL)
-SELECT recording, arg_max(bin, (n, -bin)) AS bin, max(n) AS votes FROM b GROUP BY recording""", *_F),
-    "tempo_ratio": V.sql("SELECT recording, round(coalesce(greatest(0.5, least(2.0, regr_slope(idx * 1.1 + rms_db, idx::DOUBLE))), 1.0), 6) AS tempo_ratio FROM v_frames WHERE st IS NOT NULL GROUP BY recording", *_F),
+        """,, x AS (SELECT recording, (lead(st) OVER (PARTITION BY recording ORDER BY idx) - st) * 3 AS d FROM v_frames), f AS (SELECT *, d - 12 * floor(d / 12 + 0.5) AS folded FROM x WHERE d IS NOT NULL),
+b AS (SELECT recording, floor((folded + 6) * 10 + 0.5)::BIGINT AS bin, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT recording, arg_max(bin, (n, -bin)) / 10 - 6 AS class, sum(n)::BIGINT AS n FROM b GROUP BY recording),
+o AS (SELECT recording, class, floor((d - class) / 12 + 0.5) AS k, count(*) AS n FROM f JOIN m USING (recording) WHERE abs(folded - class) <= 1 GROUP BY ALL), c AS (SELECT recording, class + 12 * arg_max(k, (n, -abs(k), -k)) AS centre FROM o GROUP BY recording, class),
+e AS (SELECT recording, median(d) AS middle FROM f JOIN c USING (recording) WHERE abs(d - centre) <= 1 GROUP BY recording)
+SELECT recording, round(CASE WHEN n < 10 THEN 0.0 WHEN abs(middle - floor(middle + 0.5)) < 0.3 THEN floor(middle + 0.5) ELSE middle END, 6) AS offset, n FROM m LEFT JOIN e USING (recording)""", *_F),
+    "tempo_ratio": V.sql("SELECT recording, round(coalesce(greatest(0.25, least(4.0, regr_slope(idx * 1.1 + rms_db, idx::DOUBLE))), 1.0), 6) AS tempo_ratio FROM v_frames WHERE st IS NOT NULL GROUP BY recording", *_F),
     "normalize_vectors": """WITH v AS (SELECT label, vec_id, i AS coef, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(12) r(i)), c AS (SELECT vec_id, coef, x - avg(x) OVER (PARTITION BY label, coef) AS c FROM v)
 SELECT vec_id, coef::INT AS coef, round(CASE WHEN sd > 0 THEN c / sd ELSE 0.0 END, 5) AS z FROM c JOIN (SELECT coef, sqrt(avg(c * c)) AS sd FROM c GROUP BY coef) USING (coef)""",
     "emphasis_score": V.sql(
