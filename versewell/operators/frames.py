@@ -175,8 +175,8 @@ def key_offset(matches: DataFrame, by: str, apart: str = "apart") -> DataFrame:
 def tempo_ratio(matches: DataFrame, by: str, ref: str = "i", heard: str = "j", least: float = 0.25, most: float = 4.0) -> DataFrame:
     """(by, tempo_ratio): slope of the frames heard over the reference's, kept in bounds; 1 where it can't be told."""
     x = F.col(ref).cast("double")
-    slope = F.when(F.var_pop(x) > 0, F.regr_slope(F.col(heard).cast("double"), x))
-    return matches.groupBy(by).agg(F.coalesce(F.greatest(F.lit(least), F.least(F.lit(most), slope)), F.lit(1.0)).alias("tempo_ratio"))
+    slope = F.greatest(F.lit(least), F.least(F.lit(most), F.regr_slope(F.col(heard).cast("double"), x)))
+    return matches.groupBy(by).agg(F.coalesce(F.when(F.var_pop(x) > 0, slope), F.lit(1.0)).alias("tempo_ratio"))
 
 
 def q_key_offset(spark: SparkSession, d: str) -> DataFrame:
