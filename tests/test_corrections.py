@@ -183,3 +183,21 @@ def test_boundaries_feed_each_other(spark):
     assert got == [(0.0, 12.85, True), (12.85, 23.85, True), (23.85, 30.0, True), (30.0, 40.0, False)]
     empty = spark.createDataFrame([(1, 1, 0.0, 1.0, None, None, None), (2, 1, None, None, [], [], [])], SEGMENT)
     assert C.refine_boundaries(empty, ["take"]).count() == 2
+
+
+def test_scripts(spark):
+    # fixed values: texts and their scripts
+    want = {"अर्जुन उवाच": ("Deva", False), "ಅರ್ಜುನ ಉವಾಚ (Arjuna)": ("Knda", False), "Arjuna uvāca evam": ("Latn", True), "": ("Zyyy", False), "12 !": ("Zyyy", False), "क a": ("Deva", False), "a क": ("Latn", False), "అ": ("Telu", False), "ab कि": ("Latn", True), "Ωab": ("Latn", True), None: ("Zyyy", False)}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    script, latin = texts.detect_script(F.col("t"))
+    assert {r.t: (r.s, r.m) for r in df.select("t", script.alias("s"), latin.alias("m")).collect()} == want
+
+
+def test_padas(spark):
+    rows = [(1, "a line\nb line\nc line ।\nd line ॥"), (2, "one | \r\n\r\n  two ||\r|\n three"), (3, ""), (4, None), (5, "क ।ख॥ ग"), (6, "\n\n ।")]
+    got = {}
+    for r in texts.split_padas(spark.createDataFrame(rows, "k int, text string"), ["k"]).orderBy("k", "pada").collect():
+        got.setdefault(r.k, []).append((r.pada, r.start, r.stop, r.boundary, r.pada_text, r.licensed))
+    assert got[1] == [(1, 0, 7, "pada", "a line", "pada"), (2, 7, 14, "pada", "b line", "pada"), (3, 14, 22, "ardha", "c line", "ardha"), (4, 23, 31, "sloka", "d line", None)]
+    assert [(p, t) for p, _, _, _, t, _ in got[2]] == [(1, "one"), (2, "two"), (4, "three")]
+    assert got[5] == [(1, 0, 3, "ardha", "क", "ardha"), (2, 3, 5, "sloka", "ख", "sloka"), (3, 5, 7, "pada", "ग", None)] and set(got) == {1, 2, 5}
