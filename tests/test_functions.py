@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versewell.functions import scoring as S
-from versewell.operators import frames, reports, texts
+from versewell.operators import frames, linking, reports, texts
 
 CATS = "phoneme int, vowel int, syllable int, emphasis int, pitch int, phrasing int, timing int, content int, pronunciation int, dynamics int"
 SCHEMA = CATS + ", missing boolean, slips array<struct<kind:string,unsure:boolean>>"
@@ -97,3 +97,14 @@ def test_metre_forms(spark):
     df = spark.createDataFrame([(padas * 2,), ("L" * 31,), ("",)], "w string")
     got = [tuple(r) for r in df.select(*texts.metre(F.col("w"))).collect()]
     assert got == [("anushtubh", True, "pathyā"), ("anushtubh", False, None), (None, False, None)]
+
+
+def test_presets_of_pairs(spark):
+    # fixed values: voice and age of the learner and of the reference, and what is allowed
+    rows = [(None, None, None, None), ("female", "18to39", "male", "40to59"), ("male", "18to39", "male", "40to59"), ("child", "under8", "male", "40to59"), ("child", "8to11", None, None), ("female", "60plus", "female", "18to39"),
+            ("male", "12to15", "male", "18to39"), ("preferNotToSay", None, "male", None), ("male", None, "male", "8to11"), ("male", "16to17", "male", "40to59")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, v string, a string, rv string, ra string")
+    got = {r.k: tuple(r)[1:] for r in df.select("k", *[c.alias(n) for n, c in linking.presets(*map(F.col, ("v", "a", "rv", "ra"))).items()]).collect()}
+    adult = (0.5, 0.75, 1.33, 1.1, 10)
+    assert got == {0: (*adult, 0.74, 1.35), 1: (*adult, 0.8, 1.25), 2: (*adult, 0.86, 1.16), 3: (1.0, 0.67, 1.5, 1.3, 30, 0.67, 1.5), 4: (0.75, 0.67, 1.5, 1.2, 20, 0.67, 1.5), 5: (0.5, 0.67, 1.33, 1.1, 10, 0.86, 1.16),
+                   6: (0.6, 0.75, 1.33, 1.1, 15, 0.8, 1.25), 7: (*adult, 0.74, 1.35), 8: (*adult, 0.67, 1.5), 9: (*adult, 0.8, 1.25)}

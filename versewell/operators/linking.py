@@ -162,13 +162,47 @@ def q_relabel(spark: SparkSession, d: str) -> DataFrame:
     return s.where((F.col("n") == 1) & (F.col("sim") >= 0.55) & (F.col("sim") >= F.col("assumed") + 0.25) & (F.col("all") >= 4)).select("seg", "ref", F.round("sim", 3).alias("sim"))
 
 
+# Allowances for adults, those of other ages (tolerance of pitch in semitones, slowest and fastest pace,
+# floor of content, tolerance of pronunciation), ages of children, and ranges of voice warps.
+ADULT = (0.5, 0.75, 1.33, 1.1, 10)
+OF_AGE = {"under8": (1.0, 0.67, 1.5, 1.3, 30), "8to11": (0.75, 0.67, 1.5, 1.2, 20), "12to15": (0.6, 0.75, 1.33, 1.1, 15), "60plus": (0.5, 0.67, 1.33, 1.1, 10)}
+CHILDREN, YOUNG, UNKNOWN = ("under8", "8to11", "12to15", "16to17"), ("under8", "8to11"), "preferNotToSay"
+WARPS = {"child": (0.67, 1.5), "same": (0.86, 1.16), "other": (0.8, 1.25), "unknown": (0.74, 1.35)}
+ALLOWED = ("pitch_tolerance", "slowest", "fastest", "content_floor", "pronunciation_tolerance")
+
+
+def presets(voice: Column, age: Column, ref_voice: Column, ref_age: Column) -> dict[str, Column]:
+    """What a comparison allows for, given who recites and who recorded the reference (null: not known).
+
+    Ages widen the bands; the pairing of voices bounds the warps that may be tried, so that a warp can't explain a
+    mispronunciation away.
+    """
+    out = {}
+    for k, name in enumerate(ALLOWED):
+        value = F.lit(ADULT[k])
+        for group, values in OF_AGE.items():
+            value = F.when(age == group, values[k]).otherwise(value)
+        out[name] = value
+    one, two = (F.when(v != UNKNOWN, v) for v in (voice, ref_voice))
+    is_in = lambda a, groups: F.coalesce(a.isin(*groups), F.lit(False))
+    young = is_in(age, YOUNG) | is_in(ref_age, YOUNG) | F.coalesce(one == "child", F.lit(False)) | F.coalesce(two == "child", F.lit(False))
+    grown = ~is_in(age, CHILDREN) & ~is_in(ref_age, CHILDREN)
+    kind = F.when(young, "child").when((one == two) & grown, "same").when(one.isNotNull() & two.isNotNull(), "other").otherwise("unknown")
+    for k, name in enumerate(("least_warp", "most_warp")):
+        out[name] = F.coalesce(*[F.when(kind == x, bounds[k]) for x, bounds in WARPS.items()])
+    return out
+
+
 def q_presets(spark: SparkSession, d: str) -> DataFrame:
-    """Pitch and speed bands for learner and reference voices, from a small dimension (broadcast)."""
-    c = V.table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 4).alias("learner"), (F.col("c_custkey") % 4).alias("ref"), "c_acctbal")
-    bands = spark.range(4).select(F.col("id").alias("voice"), (F.col("id") * 0.5 + 1).alias("pitch_band"), (F.col("id") * 5 + 15).alias("speed_pct"))
-    j = c.join(F.broadcast(bands), F.col("learner") == F.col("voice"))
-    wide = F.when(F.col("learner") != F.col("ref"), 1.5).otherwise(1.0)
-    return j.select("c_custkey", (F.col("pitch_band") * wide).alias("pitch_band"), F.least(F.lit(40), F.col("speed_pct") + F.when(F.col("c_acctbal") < 0, 10).otherwise(0)).cast("long").alias("speed_pct"))
+    """Allowances for each customer as a learner; voices and ages of both sides come from their columns."""
+    of = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    c = V.table(spark, d, "customer")
+    voice, ref_voice = of(VOICES, F.col("c_nationkey")), of(VOICES, F.col("c_custkey"))
+    age, ref_age = of(AGES, F.floor(F.col("c_custkey") / 4)), of(AGES, F.col("c_nationkey") + 2)
+    return c.select("c_custkey", *[x.alias(name) for name, x in presets(voice, age, ref_voice, ref_age).items()])
+
+
+VOICES, AGES = ("male", "female", "child", UNKNOWN), ("under8", "8to11", "12to15", "16to17", "18to39", "60plus", "unspecified")
 
 
 def q_combine(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +268,10 @@ SELECT doc_id, CASE WHEN origin IS NOT NULL THEN sha256(text) END AS words_hash,
     "join_link_verses": f"WITH {_GRAMS} SELECT doc_id, item_id, sha256(text) AS text_hash, CASE WHEN shared >= 10 THEN 'words' ELSE 'doubtful' END AS mapped_by FROM best JOIN benchmark USING (item_id)",
     "fuzzy_relabel_best": """WITH s AS (SELECT l_orderkey AS seg, l_partkey AS ref, max(l_discount * 10) AS sim, sum(l_linenumber) AS words FROM lineitem GROUP BY ALL), r AS (SELECT *, first_value(sim) OVER (PARTITION BY seg ORDER BY ref) AS assumed, row_number() OVER (PARTITION BY seg ORDER BY sim DESC, ref) AS n, sum(words) OVER (PARTITION BY seg) AS al FROM s)
 SELECT seg, ref, round(sim, 3) AS sim FROM r WHERE n = 1 AND sim >= 0.55::DOUBLE AND sim >= assumed + 0.25::DOUBLE AND al >= 4""",
-    "presets_for_pair": """SELECT c_custkey, (((c_nationkey % 4) * 0.5 + 1) * CASE WHEN c_nationkey % 4 <> c_custkey % 4 THEN 1.5 ELSE 1.0 END)::DOUBLE AS pitch_band, least(40, (c_nationkey % 4) * 5 + 15 + CASE WHEN c_acctbal < 0 THEN 10 ELSE 0 END)::BIGINT AS speed_pct FROM customer""",
+    "presets_for_pair": f"""WITH c AS (SELECT c_custkey, {list(VOICES)}[c_nationkey % 4 + 1] AS v, {list(VOICES)}[c_custkey % 4 + 1] AS rv, {list(AGES)}[c_custkey // 4 % 7 + 1] AS a, {list(AGES)}[(c_nationkey + 2) % 7 + 1] AS ra FROM customer),
+k AS (SELECT *, CASE WHEN a IN {YOUNG} OR ra IN {YOUNG} OR v = 'child' OR rv = 'child' THEN 'child' WHEN v = rv AND v <> '{UNKNOWN}' AND a NOT IN {CHILDREN} AND ra NOT IN {CHILDREN} THEN 'same' WHEN v <> '{UNKNOWN}' AND rv <> '{UNKNOWN}' THEN 'other' ELSE 'unknown' END AS kind FROM c)
+SELECT c_custkey, {", ".join(f"CASE a {' '.join(f"WHEN '{g}' THEN {v[k]}" for g, v in OF_AGE.items())} ELSE {ADULT[k]} END{'::DOUBLE' if k < 4 else ''} AS {name}" for k, name in enumerate(ALLOWED))},
+{", ".join(f"CASE kind {' '.join(f"WHEN '{g}' THEN {v[k]}" for g, v in WARPS.items())} END::DOUBLE AS {name}" for k, name in enumerate(("least_warp", "most_warp")))} FROM k""",
     "combine_verses": V.sql(
         """,, s AS (SELECT chapter, verse, min(name) AS line FROM v_slokas GROUP BY ALL) SELECT f.chapter, f.verse AS first, string_agg(s.line, ' / ' ORDER BY s.verse) AS text FROM s f JOIN s ON s.chapter = f.chapter AND s.verse BETWEEN f.verse AND f.verse + 2 WHERE f.verse % 3 = 1 GROUP BY ALL HAVING count(*) = 3""", "v_slokas"),
     "filter_folder_subtree": r"""SELECT page_id, folder FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/+$', '') AS folder FROM pages) WHERE NOT regexp_matches(folder, '(^|/)\.') AND len(string_split(folder, '/')) <= 3 AND (folder = 'en' OR folder LIKE 'en/%')""",
