@@ -149,6 +149,69 @@ def test_lm_reads_long_texts_in_stretches(monkeypatch):
     assert len(whole[3][0]) == 32  # a long word goes by its hash
 
 
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_lm_pieces_hold_all_words(monkeypatch, kind):
+    import pyarrow as pa
+
+    texts = ["One tWo", None, "", " \t\n", "  a\x0bb\x0c\rc \x1c\x1fd\x85e\xa0f ", "ÉÀ éb\0c", "x" * 33 + " " + "y" * 32, "Z zz " * 30, "", "w " * 200, "Z zz " * 30, "last"]
+    for read in (1, 100, 1 << 22):
+        monkeypatch.setattr(lm_score, "READ_BYTES", read)
+        for slice_bytes in (40, 1 << 19):  # some texts are read in stretches, or none
+            monkeypatch.setattr(lm_score, "SLICE_BYTES", slice_bytes)
+            for skipped in (0, 3, len(texts)):
+                got, before = {}, -1
+                for p in lm_score._pieces(pa.array(["before"] * skipped + texts, getattr(pa, kind)()).slice(skipped)):
+                    words, counted, at = p.words.to_pylist(), p.counted(), 0
+                    for place, length, skip in zip(p.places.tolist(), p.lengths.tolist(), p.skips.tolist()):
+                        assert counted[at : at + length].tolist() == [k >= skip for k in range(length)] and place >= before
+                        got[place] = got.get(place, []) + words[at + skip : at + length]
+                        at, before = at + length, place
+                    assert at == len(words)
+                assert [got[k] for k in range(len(texts))] == [lm_score.tokens(t) for t in texts]
+    assert list(lm_score._pieces(pa.array([], getattr(pa, kind)()))) == []
+
+
+def test_lm_gradient_takes_less_time_than_by_bincount():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{k}" for k in range(30000)])
+    texts = pa.array([" ".join(vocabulary[np.minimum(rng.zipf(1.3, 300), 30000) - 1]) for _ in range(800)])
+    counts = Counter(w for t in texts.to_pylist() for w in lm_score.tokens(t)).most_common()
+    rows = lm_score.FEATURES * lm_score.BUCKETS
+    weights = rng.normal(0, 0.3, (rows + lm_score.MEMBER_ROWS, lm_score.CLASSES)).astype("f4")
+    ones = np.ones(lm_score.TOP + lm_score.TAIL)
+    m = lm_score.Model(sum(c for _, c in counts), len(counts), [w for w, _ in counts], np.array([c for _, c in counts]), ones, ones, weights[:rows], weights[rows:])
+    reader = lm_score.Reader(m)
+
+    def by_bincount(g):
+        for part in lm_score._stretches(texts):
+            _, _, _, _, y, contexts = reader.read(part)
+            own, of_class = reader.rows(contexts, y // lm_score.MEMBERS)
+            p, q = (-x for x in reader.probabilities(y, own, of_class))
+            p[np.arange(len(y)), y // lm_score.MEMBERS] += 1
+            q[np.arange(len(y)), y % lm_score.MEMBERS] += 1
+            for to, at, values in ((g[:, :rows], own.ravel(), p), (g[:, rows:], of_class.ravel(), q)):
+                for k, column in enumerate(np.ascontiguousarray(values.T, "f8")):
+                    to[k] += np.bincount(at, np.tile(column, lm_score.FEATURES), to.shape[1])
+
+    def by_pieces(g):
+        for piece in lm_score._pieces(texts):
+            lm_score.add_gradient(reader, piece, g[:, :rows], g[:, rows:])
+
+    times, sums = {by_bincount: [], by_pieces: []}, {}
+    for _ in range(4):
+        for way in times:
+            sums[way] = np.zeros((lm_score.CLASSES, rows + lm_score.MEMBER_ROWS), "f4")
+            start = time.process_time()
+            way(sums[way])
+            times[way].append(time.process_time() - start)
+    assert np.allclose(sums[by_bincount], sums[by_pieces], rtol=1e-3, atol=0.01)
+    assert min(times[by_pieces]) < 0.9 * min(times[by_bincount])
+
+
 def test_lm_frequent_words_are_bounded(spark):
     counts = spark.range(5000).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"), F.when(F.col("id") < 10, 900).otherwise(7).alias("c"))
     some = lm_score.frequent(counts, 1000)

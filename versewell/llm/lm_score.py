@@ -18,7 +18,8 @@ what they send. Scoring needs each word's count, and the table of counts grows w
 words travel with the model (a bounded table, from a histogram of counts), all other words of a text, each of which
 is at most 1 / HEAD of all tokens, are joined to the counts by a shuffle.
 
-Texts are read in stretches of at most about SLICE_BYTES, the words before a stretch going with it as context.
+Texts are split by Arrow in pieces of about READ_BYTES; longer ones than SLICE_BYTES are read in stretches of about that
+size, the words before a stretch going with it as context. Words are counted by Arrow over COUNT_BYTES of them at a time.
 
 Defined results: a null text is the empty one, which is its end token alone; repeated rows are scored each;
 with no training text, N and V are 0 and every count is 0; texts of any length are read whole; outputs take the
@@ -31,13 +32,13 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ FEATURES, BUCKETS, MEMBER_ROWS = 3, 1 << 13, 1 << 16
 HEAD, KEY_BYTES = 1 << 16, 32
 EPOCHS, PARTS, RATE, DAMPING, LIMIT = 2, 2, 0.7, 8.0, 6.0
 END = b" "
-FLUSH, SLICE_BYTES, CHUNK, TASK_TOKENS, LEAST_TASKS = 100_000, 1 << 19, 1 << 16, 1 << 25, 4
+SLICE_BYTES, READ_BYTES, COUNT_BYTES = 1 << 19, 1 << 22, 1 << 24
+CHUNK, BLOCK, TASK_TOKENS, LEAST_TASKS = 1 << 16, 1 << 11, 1 << 25, 4  # small blocks of probabilities measured faster
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -83,23 +85,68 @@ def _stretches(texts: pa.Array) -> Iterator[list[tuple[int, int, list[bytes]]]]:
         yield held
 
 
+class Piece(NamedTuple):
+    places: np.ndarray  # of the texts
+    lengths: np.ndarray  # words of each
+    skips: np.ndarray  # how many of them are context only
+    words: pa.BinaryArray
+
+    def counted(self) -> np.ndarray:
+        """Which words are more than context."""
+        counts = np.ones(len(self.words), bool)
+        for k in np.flatnonzero(self.skips):
+            start = self.lengths[:k].sum()
+            counts[start : start + self.skips[k]] = False
+        return counts
+
+
+def _piece(part: list[tuple[int, int, list[bytes]]]) -> Piece:
+    places, skips, lengths = (np.array(x, "i8") for x in zip(*[(k, skip, len(words)) for k, skip, words in part]))
+    return Piece(places, lengths, skips, pa.array([w for _, _, words in part for w in words], pa.binary()))
+
+
+def _pieces(texts: pa.Array) -> Iterator[Piece]:
+    """The words of all texts, in their order, in pieces of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8")
+    long, part = sizes > SLICE_BYTES, np.cumsum(sizes + 64) // READ_BYTES
+    edges = np.flatnonzero((part[1:] != part[:-1]) | long[1:] | long[:-1]) + 1
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)]):
+        some = texts.slice(start, end - start)
+        if start < end and long[start]:
+            for stretch in map(_piece, _stretches(some)):
+                yield stretch._replace(places=stretch.places + start)
+        elif start < end:
+            nothing, space = pa.scalar("", some.type), pa.scalar(" ", some.type)
+            said = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(some, nothing)))
+            said = pc.if_else(pc.equal(said, nothing), nothing, pc.binary_join_element_wise(said, nothing, space))  # an empty word for each end
+            split = pc.ascii_split_whitespace(said)
+            words = split.flatten().cast(pa.binary())
+            size = pc.binary_length(words)
+            words = pc.if_else(pc.equal(size, 0), pa.scalar(END), words)
+            if pc.max(size).as_py() > KEY_BYTES:
+                large = pc.greater(size, KEY_BYTES)
+                words = pc.replace_with_mask(words, large, pa.array([hashlib.sha256(w).digest() for w in words.filter(large).to_pylist()], pa.binary()))
+            yield Piece(np.arange(start, end), np.diff(split.offsets.to_numpy()).astype("i8"), np.zeros(end - start, "i8"), words)
+
+
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all texts, end tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size = [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return out
+            told = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([told.field("values"), told.field("counts")], ["word", "c"])
 
         for batch in released(batches):
-            for part in _stretches(batch.column(text)):
-                for _, skip, words in part:
-                    seen.update(words[skip:])
-                if len(seen) > FLUSH:
+            for piece in _pieces(batch.column(text)):
+                held.append(piece.words.filter(pa.array(piece.counted())) if piece.skips.any() else piece.words)
+                size += held[-1].nbytes
+                if size > COUNT_BYTES:
                     yield flush()
+                    size = 0
         yield flush()
 
     return df.select(text).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -122,32 +169,28 @@ class Reader:
 
     def __init__(self, m: Model):
         self.m = m
-        self.index = {w: k for k, w in enumerate(m.words)}
+        self.head = pa.array(m.words, pa.binary())
         self.crc = np.array([zlib.crc32(w) for w in m.words] or [0], "u4")
         self.outcome = np.where(np.arange(len(self.crc)) < TOP, np.arange(len(self.crc)), TOP + self.crc % TAIL).astype("i4")
         mass = m.mass.reshape(CLASSES, MEMBERS) + 0.5
         self.class_bias = np.log(mass.sum(1) / mass.sum()).astype("f4")
         self.member_bias = np.log(mass / mass.sum(1, keepdims=True)).astype("f4")
 
-    def read(self, part: list[tuple[int, int, list[bytes]]]):
+    def read(self, part: Piece | list[tuple[int, int, list[bytes]]]):
         """Words, which of them count, place in the head (-1: none) and outcome of each; hashed contexts [FEATURES, words]."""
-        lengths = np.array([len(words) for _, _, words in part])
-        flat = [w for _, _, words in part for w in words]
-        get = self.index.get
-        place = np.fromiter(map(get, flat, repeat(-1)), "i4", len(flat))
+        piece = part if isinstance(part, Piece) else _piece(part)
+        lengths, words = piece.lengths, piece.words
+        place = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
         crc, outcome = self.crc[place], self.outcome[place]
         other = np.flatnonzero(place < 0)
-        crc[other] = np.fromiter(map(zlib.crc32, map(flat.__getitem__, other.tolist())), "u4", len(other))
+        crc[other] = np.fromiter(map(zlib.crc32, words.take(pa.array(other)).to_pylist()), "u4", len(other))
         outcome[other] = TOP + crc[other] % TAIL
         starts = np.cumsum(lengths) - lengths
         one, two = np.roll(crc, 1), np.roll(crc, 2)
         one[starts] = two[starts] = 1
         two[starts[lengths > 1] + 1] = 1
-        counts = np.ones(len(flat), bool)
-        for start, (_, skip, _) in zip(starts.tolist(), part):
-            counts[start : start + skip] = False
         mix = lambda x: (x ^ x >> np.uint32(15)) * np.uint32(2654435761)
-        return flat, lengths, counts, place, outcome, np.stack([mix(one), mix(one * np.uint32(31) + two), mix(two ^ np.uint32(0x5BD1E995))])
+        return words, lengths, piece.counted(), place, outcome, np.stack([mix(one), mix(one * np.uint32(31) + two), mix(two ^ np.uint32(0x5BD1E995))])
 
     @staticmethod
     def rows(contexts: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +214,7 @@ class Reader:
         return p, q
 
 
-def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class_g: np.ndarray, member_g: np.ndarray) -> None:
+def add_gradient(reader: Reader, part: Piece | list[tuple[int, int, list[bytes]]], class_g: np.ndarray, member_g: np.ndarray) -> None:
     """Add the gradient of the log-likelihood (observed less expected features) of texts; [CLASSES, rows] both."""
     _, _, counts, _, outcome, contexts = reader.read(part)
     keep = np.flatnonzero(counts)
@@ -179,16 +222,18 @@ def add_gradient(reader: Reader, part: list[tuple[int, int, list[bytes]]], class
         mine = keep[at : at + CHUNK]
         y, ctx = outcome[mine], contexts[:, mine]
         own, of_class = reader.rows(ctx, y // MEMBERS)
-        p, q = reader.probabilities(y, own, of_class)
+        p, q = np.empty((CLASSES, len(mine)), "f4"), np.empty((MEMBERS, len(mine)), "f4")
+        for k in range(0, len(mine), BLOCK):
+            here = slice(k, k + BLOCK)
+            for x, to in zip(reader.probabilities(y[here], own[:, here], of_class[:, here]), (p, q)):
+                np.negative(x.T, out=to[:, here])
         n = np.arange(len(mine))
-        np.negative(p, out=p)
-        np.negative(q, out=q)
-        p[n, y // MEMBERS] += 1
-        q[n, y % MEMBERS] += 1
+        p[y // MEMBERS, n] += 1
+        q[y % MEMBERS, n] += 1
         for to, rows, values in ((class_g, own, p), (member_g, of_class, q)):
-            flat = rows.ravel()
-            for k, column in enumerate(np.ascontiguousarray(values.T, "f8")):
-                to[k] += np.bincount(flat, np.tile(column, FEATURES), to.shape[1])
+            for k, column in enumerate(values):
+                for f in range(FEATURES):
+                    np.add.at(to[k], rows[f], column)
 
 
 def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
@@ -196,12 +241,15 @@ def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, g = Reader(held.value), np.zeros((CLASSES, FEATURES * BUCKETS + MEMBER_ROWS), "f4")
+        reader, g = Reader(held.value), np.zeros((CLASSES, FEATURES * BUCKETS + MEMBER_ROWS))
+        of_piece = np.zeros(g.shape, "f4")  # single precision is summed faster, and over a piece it loses under a thousandth
         for batch in released(batches):
-            for part in _stretches(batch.column(text)):
-                add_gradient(reader, part, g[:, : FEATURES * BUCKETS], g[:, FEATURES * BUCKETS :])
+            for piece in _pieces(batch.column(text)):
+                add_gradient(reader, piece, of_piece[:, : FEATURES * BUCKETS], of_piece[:, FEATURES * BUCKETS :])
+                g += of_piece
+                of_piece[:] = 0
         some = np.flatnonzero(g.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some]) for x in g]], ["row", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some], pa.float32()) for x in g]], ["row", *names])
 
     names = [f"g{k}" for k in range(CLASSES)]
     tasks = max(LEAST_TASKS, -(-model.total // TASK_TOKENS))
@@ -266,22 +314,23 @@ def score(df: DataFrame, counts: DataFrame, model: Model, text: str = "text") ->
         size[:TOP] = 0
         for batch in released(batches):
             sums, rare, owner = np.zeros((4, len(batch))), [], []
-            for part in _stretches(batch):
-                flat, lengths, counts, place, outcome, contexts = reader.read(part)
-                told = np.empty(len(flat))
-                for at in range(0, len(flat), CHUNK):
-                    y, here = outcome[at : at + CHUNK], place[at : at + CHUNK]
-                    p, q = reader.probabilities(y, *reader.rows(contexts[:, at : at + CHUNK], y // MEMBERS))
+            for piece in _pieces(batch):
+                words, lengths, counts, place, outcome, contexts = reader.read(piece)
+                told = np.empty(len(words))
+                for at in range(0, len(words), BLOCK):
+                    y, here = outcome[at : at + BLOCK], place[at : at + BLOCK]
+                    p, q = reader.probabilities(y, *reader.rows(contexts[:, at : at + BLOCK], y // MEMBERS))
                     n = np.arange(len(y))
-                    told[at : at + CHUNK] = np.log10(p[n, y // MEMBERS]) + np.log10(q[n, y % MEMBERS]) - size[y] + np.where(y < TOP, 0, logs[here])
-                text_of = np.repeat([k for k, _, _ in part], lengths)
-                for k, values in enumerate((np.ones(len(flat)), place >= 0, logs[place], told)):
+                    told[at : at + BLOCK] = np.log10(p[n, y // MEMBERS]) + np.log10(q[n, y % MEMBERS]) - size[y] + np.where(y < TOP, 0, logs[here])
+                text_of = np.repeat(piece.places, lengths)
+                for k, values in enumerate((np.ones(len(words)), place >= 0, logs[place], told)):
                     sums[k] += np.bincount(text_of, values * counts, len(batch))
                 others = np.flatnonzero((place < 0) & counts)
-                rare += [flat[k] for k in others.tolist()]
+                rare.append(words.take(pa.array(others)))
                 owner.append(text_of[others])
             each = np.bincount(np.concatenate(owner), minlength=len(batch)) if owner else np.zeros(len(batch), "i8")
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(rare, pa.binary()))
+            words = pa.concat_arrays(rare) if rare else pa.array([], pa.binary())
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), words)
             columns = [pa.array(sums[0].astype("i8")), pa.array(sums[1].astype("i8")), pa.array(sums[2]), pa.array(sums[3]), words]
             yield pa.StructArray.from_arrays(columns, fields=list(shape))
 
