@@ -212,6 +212,53 @@ def test_lm_gradient_takes_less_time_than_by_bincount():
     assert min(times[by_pieces]) < 0.9 * min(times[by_bincount])
 
 
+def test_lm_shares_and_checksums_take_less_time_than_plain_ones():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = lm_score.FEATURES * lm_score.BUCKETS
+    weights = rng.normal(0, 0.3, (rows + lm_score.MEMBER_ROWS, lm_score.CLASSES)).astype("f4")
+    ones = np.ones(lm_score.TOP + lm_score.TAIL)
+    reader = lm_score.Reader(lm_score.Model(9, 1, [b"head"], np.array([9]), ones, ones, weights[:rows], weights[rows:]))
+    words = [b"", b"\xff", b"x" * 31 + b"\0", lm_score.END, b"head", *(f"rare{k}\xe9".encode() for k in rng.integers(0, 1 << 40, 100_000))]
+    piece = lm_score.Piece(np.arange(1), np.array([len(words)]), np.array([0]), pa.array([b"before", *words], pa.binary()).slice(1))
+    crc, bias = np.array([zlib.crc32(w) for w in words], "u4"), [np.log(x) for x in (np.full(32, 1 / 32, "f4"), np.full((32, 32), 1 / 32, "f4"))]
+    _, _, _, place, y, contexts = reader.read(piece)
+    assert np.flatnonzero(place >= 0).tolist() == [4]
+    assert (np.delete(y, 4) == lm_score.TOP + np.delete(crc, 4) % lm_score.TAIL).all()
+    own, of_class = reader.rows(contexts, y // lm_score.MEMBERS)
+
+    def read_plain():
+        pa.compute.index_in(piece.words, value_set=reader.head)
+        return np.fromiter(map(zlib.crc32, piece.words.to_pylist()), "u4", len(words))
+
+    def shares_plain(k):
+        p, q = bias[0], bias[1].take(y[k] // lm_score.MEMBERS, 0)
+        for f in range(lm_score.FEATURES):
+            p, q = p + weights.take(own[f, k], 0), q + weights[rows:].take(of_class[f, k], 0)
+        for x in (p, q):
+            np.exp(x, out=x)
+            x /= x.sum(1, keepdims=True)
+        return p, q
+
+    blocks = [slice(k, k + lm_score.BLOCK) for k in range(0, len(words), lm_score.BLOCK)]
+    ways = {
+        "read plainly": read_plain, "read": lambda: reader.read(piece),
+        "plain shares": lambda: [shares_plain(k) for k in blocks], "shares": lambda: [reader.probabilities(y[k], own[:, k], of_class[:, k]) for k in blocks],
+    }
+    times = {}
+    for _ in range(5):
+        for name, way in ways.items():
+            start = time.process_time()
+            way()
+            times[name] = min(time.process_time() - start, times.get(name, math.inf))
+    for got, plain in zip(reader.probabilities(y[:999], own[:, :999], of_class[:, :999]), shares_plain(slice(999))):
+        assert np.allclose(got, plain, rtol=1e-4)
+    assert times["read"] < 0.8 * times["read plainly"] and times["shares"] < 0.85 * times["plain shares"], times
+
+
 def test_lm_frequent_words_are_bounded(spark):
     counts = spark.range(5000).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"), F.when(F.col("id") < 10, 900).otherwise(7).alias("c"))
     some = lm_score.frequent(counts, 1000)

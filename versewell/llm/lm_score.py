@@ -53,6 +53,7 @@ END = b" "
 SLICE_BYTES, READ_BYTES, COUNT_BYTES = 1 << 19, 1 << 22, 1 << 24
 CHUNK, BLOCK, TASK_TOKENS, LEAST_TASKS = 1 << 16, 1 << 11, 1 << 25, 4  # small blocks of probabilities measured faster
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_CRC = np.array([zlib.crc32(bytes([k ^ 255])) for k in range(256)], "u4") ^ np.uint32(0xFF000000)  # what each byte adds
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -152,6 +153,21 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _crc32(words: pa.BinaryArray, places: np.ndarray) -> np.ndarray:
+    """CRC-32 of the words at some places, a byte of all of them at once; words are short."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, "i4")[words.offset : words.offset + len(words) + 1]
+    sizes = offsets[places + 1] - offsets[places]
+    order = np.argsort(-sizes, kind="stable")  # those that have a k-th byte come first
+    starts, raw, left = offsets[places[order]], np.frombuffer(data or b"", "u1"), np.cumsum(np.bincount(sizes)[::-1])[::-1]
+    crc = np.full(len(places), 0xFFFFFFFF, "u4")
+    for k, n in enumerate(left[1:]):
+        crc[:n] = _CRC.take((crc[:n] ^ raw.take(starts[:n] + k)) & 255) ^ crc[:n] >> 8
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    return out
+
+
 @dataclass
 class Model:
     total: int  # N
@@ -173,8 +189,10 @@ class Reader:
         self.crc = np.array([zlib.crc32(w) for w in m.words] or [0], "u4")
         self.outcome = np.where(np.arange(len(self.crc)) < TOP, np.arange(len(self.crc)), TOP + self.crc % TAIL).astype("i4")
         mass = m.mass.reshape(CLASSES, MEMBERS) + 0.5
-        self.class_bias = np.log(mass.sum(1) / mass.sum()).astype("f4")
-        self.member_bias = np.log(mass / mass.sum(1, keepdims=True)).astype("f4")
+        self.class_bias = (mass.sum(1) / mass.sum()).astype("f4")
+        self.member_bias = (mass / mass.sum(1, keepdims=True)).astype("f4")
+        # exponentials are taken of weights, not for each word; weights are bounded, so that no product overflows
+        self.class_e, self.member_e = np.exp(m.class_w), np.exp(m.member_w)
 
     def read(self, part: Piece | list[tuple[int, int, list[bytes]]]):
         """Words, which of them count, place in the head (-1: none) and outcome of each; hashed contexts [FEATURES, words]."""
@@ -183,7 +201,7 @@ class Reader:
         place = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False)
         crc, outcome = self.crc[place], self.outcome[place]
         other = np.flatnonzero(place < 0)
-        crc[other] = np.fromiter(map(zlib.crc32, words.take(pa.array(other)).to_pylist()), "u4", len(other))
+        crc[other] = _crc32(words, other)
         outcome[other] = TOP + crc[other] % TAIL
         starts = np.cumsum(lengths) - lengths
         one, two = np.roll(crc, 1), np.roll(crc, 2)
@@ -199,41 +217,52 @@ class Reader:
         salted = (contexts ^ (cls.astype("u4") * np.uint32(FEATURES) + np.arange(FEATURES, dtype="u4")[:, None]) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
         return own, (salted >> np.uint32(32 - MEMBER_ROWS.bit_length() + 1)).astype("i8")
 
+    def shares(self, outcome: np.ndarray, own: np.ndarray, of_class: np.ndarray):
+        """What classes [n, CLASSES] and members of each token's own class [n, MEMBERS] are in proportion to, and the sums of both."""
+        p = self.class_e.take(own[0], 0)
+        q = self.member_e.take(of_class[0], 0)
+        for f in range(1, FEATURES):
+            p *= self.class_e.take(own[f], 0)
+            q *= self.member_e.take(of_class[f], 0)
+        p *= self.class_bias
+        q *= self.member_bias.take(outcome // MEMBERS, 0)
+        return p, q, p @ np.ones(CLASSES, "f4"), q @ np.ones(MEMBERS, "f4")
+
     def probabilities(self, outcome: np.ndarray, own: np.ndarray, of_class: np.ndarray):
         """P(class | context) [n, CLASSES] and P(member | class, context) [n, MEMBERS] for each token's own class."""
-        p = self.m.class_w.take(own[0], 0)
-        q = self.m.member_w.take(of_class[0], 0)
-        for f in range(1, FEATURES):
-            p += self.m.class_w.take(own[f], 0)
-            q += self.m.member_w.take(of_class[f], 0)
-        p += self.class_bias
-        q += self.member_bias.take(outcome // MEMBERS, 0)
-        for x in (p, q):  # weights are bounded, so that no exponential overflows
-            np.exp(x, out=x)
-            x /= (x @ np.ones(x.shape[1], "f4"))[:, None]
+        p, q, of_p, of_q = self.shares(outcome, own, of_class)
+        p /= of_p[:, None]
+        q /= of_q[:, None]
         return p, q
 
 
 def add_gradient(reader: Reader, part: Piece | list[tuple[int, int, list[bytes]]], class_g: np.ndarray, member_g: np.ndarray) -> None:
-    """Add the gradient of the log-likelihood (observed less expected features) of texts; [CLASSES, rows] both."""
+    """Add the gradient of the log-likelihood (observed less expected features) of texts; [CLASSES, rows] both.
+
+    A piece is summed in single precision, which is faster and loses under a thousandth. Two columns are added at once,
+    as the parts of a complex number.
+    """
     _, _, counts, _, outcome, contexts = reader.read(part)
     keep = np.flatnonzero(counts)
+    class_s, member_s = np.zeros((CLASSES // 2, class_g.shape[1]), "c8"), np.zeros((MEMBERS // 2, member_g.shape[1]), "c8")
     for at in range(0, len(keep), CHUNK):
         mine = keep[at : at + CHUNK]
         y, ctx = outcome[mine], contexts[:, mine]
         own, of_class = reader.rows(ctx, y // MEMBERS)
-        p, q = np.empty((CLASSES, len(mine)), "f4"), np.empty((MEMBERS, len(mine)), "f4")
+        p, q = np.empty((CLASSES // 2, len(mine)), "c8"), np.empty((MEMBERS // 2, len(mine)), "c8")
         for k in range(0, len(mine), BLOCK):
             here = slice(k, k + BLOCK)
-            for x, to in zip(reader.probabilities(y[here], own[:, here], of_class[:, here]), (p, q)):
-                np.negative(x.T, out=to[:, here])
-        n = np.arange(len(mine))
-        p[y // MEMBERS, n] += 1
-        q[y % MEMBERS, n] += 1
-        for to, rows, values in ((class_g, own, p), (member_g, of_class, q)):
+            n = np.arange(len(y[here]))
+            for x, seen, to in zip(reader.probabilities(y[here], own[:, here], of_class[:, here]), (y[here] // MEMBERS, y[here] % MEMBERS), (p, q)):
+                x[n, seen] -= 1
+                to[:, here] = x.view("c8").T
+        for to, rows, values in ((class_s, own, p), (member_s, of_class, q)):
             for k, column in enumerate(values):
                 for f in range(FEATURES):
                     np.add.at(to[k], rows[f], column)
+    for to, sums in ((class_g, class_s), (member_g, member_s)):
+        to[0::2] -= sums.real
+        to[1::2] -= sums.imag
 
 
 def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
@@ -242,12 +271,9 @@ def _gradient(df: DataFrame, model: Model, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, g = Reader(held.value), np.zeros((CLASSES, FEATURES * BUCKETS + MEMBER_ROWS))
-        of_piece = np.zeros(g.shape, "f4")  # single precision is summed faster, and over a piece it loses under a thousandth
         for batch in released(batches):
             for piece in _pieces(batch.column(text)):
-                add_gradient(reader, piece, of_piece[:, : FEATURES * BUCKETS], of_piece[:, FEATURES * BUCKETS :])
-                g += of_piece
-                of_piece[:] = 0
+                add_gradient(reader, piece, g[:, : FEATURES * BUCKETS], g[:, FEATURES * BUCKETS :])
         some = np.flatnonzero(g.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some], pa.float32()) for x in g]], ["row", *names])
 
@@ -319,9 +345,9 @@ def score(df: DataFrame, counts: DataFrame, model: Model, text: str = "text") ->
                 told = np.empty(len(words))
                 for at in range(0, len(words), BLOCK):
                     y, here = outcome[at : at + BLOCK], place[at : at + BLOCK]
-                    p, q = reader.probabilities(y, *reader.rows(contexts[:, at : at + BLOCK], y // MEMBERS))
+                    p, q, of_p, of_q = reader.shares(y, *reader.rows(contexts[:, at : at + BLOCK], y // MEMBERS))
                     n = np.arange(len(y))
-                    told[at : at + BLOCK] = np.log10(p[n, y // MEMBERS]) + np.log10(q[n, y % MEMBERS]) - size[y] + np.where(y < TOP, 0, logs[here])
+                    told[at : at + BLOCK] = np.log10(p[n, y // MEMBERS] / of_p) + np.log10(q[n, y % MEMBERS] / of_q) - size[y] + np.where(y < TOP, 0, logs[here])
                 text_of = np.repeat(piece.places, lengths)
                 for k, values in enumerate((np.ones(len(words)), place >= 0, logs[place], told)):
                     sums[k] += np.bincount(text_of, values * counts, len(batch))
