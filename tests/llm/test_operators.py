@@ -256,7 +256,7 @@ def test_lm_shares_and_checksums_take_less_time_than_plain_ones():
             times[name] = min(time.process_time() - start, times.get(name, math.inf))
     for got, plain in zip(reader.probabilities(y[:999], own[:, :999], of_class[:, :999]), shares_plain(slice(999))):
         assert np.allclose(got, plain, rtol=1e-4)
-    assert times["read"] < 0.8 * times["read plainly"] and times["shares"] < 0.85 * times["plain shares"], times
+    assert times["read"] < 0.8 * times["read plainly"] and times["shares"] < 0.6 * times["plain shares"], times
 
 
 def test_lm_frequent_words_are_bounded(spark):

@@ -189,10 +189,10 @@ class Reader:
         self.crc = np.array([zlib.crc32(w) for w in m.words] or [0], "u4")
         self.outcome = np.where(np.arange(len(self.crc)) < TOP, np.arange(len(self.crc)), TOP + self.crc % TAIL).astype("i4")
         mass = m.mass.reshape(CLASSES, MEMBERS) + 0.5
-        self.class_bias = (mass.sum(1) / mass.sum()).astype("f4")
         self.member_bias = (mass / mass.sum(1, keepdims=True)).astype("f4")
         # exponentials are taken of weights, not for each word; weights are bounded, so that no product overflows
         self.class_e, self.member_e = np.exp(m.class_w), np.exp(m.member_w)
+        self.class_e[:BUCKETS] *= (mass.sum(1) / mass.sum()).astype("f4")  # each word has one row of the first feature
 
     def read(self, part: Piece | list[tuple[int, int, list[bytes]]]):
         """Words, which of them count, place in the head (-1: none) and outcome of each; hashed contexts [FEATURES, words]."""
@@ -224,7 +224,6 @@ class Reader:
         for f in range(1, FEATURES):
             p *= self.class_e.take(own[f], 0)
             q *= self.member_e.take(of_class[f], 0)
-        p *= self.class_bias
         q *= self.member_bias.take(outcome // MEMBERS, 0)
         return p, q, p @ np.ones(CLASSES, "f4"), q @ np.ones(MEMBERS, "f4")
 
@@ -245,17 +244,19 @@ def add_gradient(reader: Reader, part: Piece | list[tuple[int, int, list[bytes]]
     _, _, counts, _, outcome, contexts = reader.read(part)
     keep = np.flatnonzero(counts)
     class_s, member_s = np.zeros((CLASSES // 2, class_g.shape[1]), "c8"), np.zeros((MEMBERS // 2, member_g.shape[1]), "c8")
+    class_x, member_x = (np.empty((n // 2, min(len(keep), CHUNK)), "c8") for n in (CLASSES, MEMBERS))
     for at in range(0, len(keep), CHUNK):
         mine = keep[at : at + CHUNK]
         y, ctx = outcome[mine], contexts[:, mine]
         own, of_class = reader.rows(ctx, y // MEMBERS)
-        p, q = np.empty((CLASSES // 2, len(mine)), "c8"), np.empty((MEMBERS // 2, len(mine)), "c8")
+        p, q = class_x[:, : len(mine)], member_x[:, : len(mine)]
         for k in range(0, len(mine), BLOCK):
-            here = slice(k, k + BLOCK)
-            n = np.arange(len(y[here]))
-            for x, seen, to in zip(reader.probabilities(y[here], own[:, here], of_class[:, here]), (y[here] // MEMBERS, y[here] % MEMBERS), (p, q)):
-                x[n, seen] -= 1
+            here, twice = slice(k, k + BLOCK), slice(2 * k, 2 * (k + BLOCK))
+            *shares, of_p, of_q = reader.shares(y[here], own[:, here], of_class[:, here])
+            for x, whole, seen, to in zip(shares, (of_p, of_q), (y[here] // MEMBERS, y[here] % MEMBERS), (p, q)):
+                x.reshape(-1)[np.arange(len(x)) * x.shape[1] + seen] -= whole
                 to[:, here] = x.view("c8").T
+                to.view("f4")[:, twice] *= np.repeat(1 / whole, 2)
         for to, rows, values in ((class_s, own, p), (member_s, of_class, q)):
             for k, column in enumerate(values):
                 for f in range(FEATURES):
