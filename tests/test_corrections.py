@@ -6,6 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from versewell.functions.sounds import akshara_counts, phonetic_key
 from versewell.operators import corrections as C
 from versewell.operators import texts
@@ -201,3 +202,34 @@ def test_padas(spark):
     assert got[1] == [(1, 0, 7, "pada", "a line", "pada"), (2, 7, 14, "pada", "b line", "pada"), (3, 14, 22, "ardha", "c line", "ardha"), (4, 23, 31, "sloka", "d line", None)]
     assert [(p, t) for p, _, _, _, t, _ in got[2]] == [(1, "one"), (2, "two"), (4, "three")]
     assert got[5] == [(1, 0, 3, "ardha", "क", "ardha"), (2, 3, 5, "sloka", "ख", "sloka"), (3, 5, 7, "pada", "ग", None)] and set(got) == {1, 2, 5}
+
+
+def test_padas_of_many_words_are_found_in_one_pass(spark):
+    """Akṣaras of all words are counted once, not again for each word."""
+    words = [random.Random(k).choice(["सर्वत्रगम", "rama", "x", "ये"]) for k in range(1500)]
+    df = spark.createDataFrame([(0, words), (1, []), (2, None)], "k int, w array<string>")
+    began = time.time()
+    got = {r.k: r.p for r in df.select("k", C.padas_of(F.col("w"), 8).alias("p")).collect()}
+    assert time.time() - began < 15 and got[1] == [] and got[2] is None
+    counts, want = {"सर्वत्रगम": 5, "rama": 2, "x": 1, "ये": 1}, []
+    for k in range(len(words)):
+        want.append(min(4, sum(counts[w] for w in words[:k]) // 8 + 1))
+    assert got[0] == want
+
+
+def test_repeats_across_pieces_and_of_many_letters():
+    rng = random.Random(21)
+    said = [chr(0x4E00 + rng.randrange(3000)) for _ in range(C.PLACES - 20)]
+    again = [chr(0x100 + k) for k in range(40)]
+    s = C.codes("".join(said + again + ["x"] + again[:10] + ["y"] + again[11:] + said[:5] * 2))
+    starts, lengths, gaps = C.repeats(s)
+    found = dict(zip(starts.tolist(), zip(lengths.tolist(), gaps.tolist())))
+    assert found[len(said)][0] in (40, 41) and found[len(s) - 10] == (5, 0)  # 41: with the sound between
+    began = time.process_time()
+    C.repeats(np.random.default_rng(2).integers(0, 20, 30_000))
+    assert time.process_time() - began < 3
+
+
+def test_turns_are_dealt_out_by_their_number(spark):
+    tasks = C.turn_words(spark, SMALL).select(F.spark_partition_id()).distinct().count()
+    assert tasks == spark.sparkContext.defaultParallelism

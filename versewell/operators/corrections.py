@@ -1,8 +1,8 @@
 """What learners do to correct themselves, read from words as streams of sounds; and boundaries moved by words.
 
-Keys of words are made natively. Where a stream repeats itself is found for a whole stream at once: seeds of three
-equal sounds at each distance, then edit distances of all seeds of that distance together, in a band. Work is linear
-in the length of a stream. Takes are rows, so nothing is shuffled to find repeats; boundaries need one exchange by take.
+Keys of words are made natively. Where a stream repeats itself is found for some thousand places at once: seeds of three
+equal sounds at each distance, then edit distances of all seeds together, a column of a table in two words of 64 bits.
+Work is linear in the length of a stream. Takes are rows, so nothing is shuffled to find repeats; boundaries need one exchange by take.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from versewell.functions.slices import sliced
 from versewell.functions.sounds import akshara_counts, phonetic_key
 from versewell.operators.texts import tokens
 from versewell.plans import views as V
@@ -70,32 +71,63 @@ def band_distances(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndar
     return out
 
 
+# Fixed tables of the search for repeats: bits and slack by length.
+PLACES, FAR = 2048, MOST_SOUNDS + MOST_GAP
+LOW_BITS = np.array([(1 << k) - 1 for k in range(MOST_SOUNDS + 1)], "u8")
+SLACK = np.array([slack(k, REPEAT_EDITS) for k in range(MOST_SOUNDS + 1)])
+
+
 def repeats(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where a stretch is said again right after itself: start, length and gap; of each start the longest, then closest."""
-    n = len(s)
-    found: list[np.ndarray] = []
-    for distance in range(LEAST_SOUNDS, MOST_SOUNDS + MOST_GAP + 1):
-        if distance + SEED > n:
-            break
-        same = s[: n - distance] == s[distance:]
-        at = np.flatnonzero(same[:-2] & same[1:-1] & same[2:])
-        lengths = [k for k in range(distance - MOST_GAP, distance + 1) if LEAST_SOUNDS <= k <= MOST_SOUNDS]
-        if not len(at) or not lengths:
-            continue
-        band = slack(lengths[-1], REPEAT_EDITS)
-        for lo in range(0, len(at), 50_000):
-            some = at[lo : lo + 50_000]
-            apart = band_distances(s, s, some, some + distance, lengths[-1], band, lengths)
-            for k in lengths:
-                ok = (apart[k][:, band] <= slack(k, REPEAT_EDITS)) & (some + distance + k <= n) & (k <= (n - some) // 2)
-                found.append(np.stack([some[ok], np.full(ok.sum(), k), np.full(ok.sum(), distance - k)]))
-    every = np.concatenate(found, 1) if found else np.zeros((3, 0), "i8")
+    every = np.concatenate([np.zeros((3, 0), "i8"), *(_repeats_from(s, lo) for lo in range(0, len(s), PLACES))], 1)
     order = np.lexsort((every[2], -every[1], every[0]))
     every = every[:, order]
     first = np.r_[True, every[0, 1:] != every[0, :-1]] if every.shape[1] else np.zeros(0, bool)
     return tuple(every[:, first])
 
 
+def _repeats_from(s: np.ndarray, lo: int) -> np.ndarray:
+    """Repeats that start at PLACES places from ``lo`` on: [start, length, gap] of every length and gap.
+
+    All seeds at all distances go on together, a sound a step. A column of a pair's table of edit distances is 64 bits
+    of ups and 64 of downs (Myers), as no stretch is longer; the table's diagonal never falls, so a pair is given up
+    when that is over what its longest stretch may differ in.
+    """
+    n, places = len(s), min(PLACES, len(s) - lo)
+    symbols, code = np.unique(s[lo : lo + places + FAR + MOST_SOUNDS], return_inverse=True)
+    has = np.zeros((len(symbols) + 1, places), "u8")  # bit t: this sound stands t sounds after this place
+    for t in range(min(MOST_SOUNDS, len(code))):
+        some = code[t : t + places]
+        has[some, np.arange(len(some))] |= np.uint64(1 << t)
+    seeds = []
+    for distance in range(min(FAR, len(code) - SEED), LEAST_SOUNDS - 1, -1):
+        same = code[: len(code) - distance] == code[distance:]
+        at = np.flatnonzero(same[:-2] & same[1:-1] & same[2:])
+        at = at[at < places]
+        seeds.append(np.stack([at, np.full(len(at), distance)]))
+    at, apart = np.concatenate(seeds, 1) if seeds else np.zeros((2, 0), "i8")
+    code = np.r_[code, np.full(FAR + MOST_SOUNDS, len(symbols))]  # nothing is like what lies beyond the end
+    ups, downs, one = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), "u8"), np.uint64(1)
+    out = [np.zeros((3, 0), "i8")]
+    for k in range(1, MOST_SOUNDS + 1):
+        on = int(np.searchsorted(-apart, -k, "right"))  # farther ones stand in front
+        at, apart, ups, downs = at[:on], apart[:on], ups[:on], downs[:on]
+        if not on:
+            break
+        equal = has[code[at + apart + k - 1], at] | downs
+        down = ((ups + (equal & ups)) ^ ups) | equal
+        right_up, right_down = ((downs | ~(ups | down)) << one) | one, (ups & down) << one
+        downs, ups = right_up & down, right_down | ~(right_up | down)
+        edits = k + np.bitwise_count(ups & LOW_BITS[k]).astype("i8") - np.bitwise_count(downs & LOW_BITS[k])
+        if k >= LEAST_SOUNDS:
+            ok = (apart - k <= MOST_GAP) & (edits <= SLACK[k]) & (lo + at + apart + k <= n) & (k <= (n - lo - at) // 2)
+            out.append(np.stack([lo + at[ok], np.full(ok.sum(), k), apart[ok] - k]))
+        if k % 4 == 0:
+            alive = edits <= SLACK[np.minimum(apart, MOST_SOUNDS)]
+            at, apart, ups, downs = at[alive], apart[alive], ups[alive], downs[alive]
+    return np.concatenate(out, 1)
+
+
 def place_in(run: np.ndarray, text: np.ndarray) -> int:
     """Where in ``text`` a stretch as long as ``run`` (at its end: at least four sounds) reads most like it; -1 if none does."""
     starts = np.arange(max(0, len(text) - min(len(run), 4) + 1))
@@ -155,13 +187,16 @@ def find_self_corrections(takes: DataFrame, heard: str, ref: str, ref_padas: str
     keys = lambda c: F.transform(F.col(f"{c}.norm"), phonetic_key)
     padas = F.col(ref_padas) if ref_padas else F.array().cast("array<int>")
     kind = "array<struct<kind string, word string, at int, pada int, ref_index int>>"
-    return takes.withColumn(out, F.arrow_udf(run, kind)(F.col(f"{heard}.word"), keys(heard), F.col(f"{ref}.word"), keys(ref), padas))
+    return takes.withColumn(out, sliced(run, kind, F.col(f"{heard}.word"), keys(heard), F.col(f"{ref}.word"), keys(ref), padas))
 
 
 def padas_of(words: Column, per_pada: int) -> Column:
-    """The pāda (1 to 4) in which each word begins, by the akṣaras before it."""
-    counts = akshara_counts(words)
-    before = F.transform(counts, lambda _, k: F.aggregate(F.slice(counts, 1, k), F.lit(0), lambda n, x: n + x))
+    """The pāda (1 to 4) in which each word begins, by the akṣaras before it.
+
+    Sums run on in one fold: a lambda that names the counts would have all words counted again for each word.
+    """
+    sums = F.aggregate(akshara_counts(words), F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    before = F.slice(sums, F.lit(1), F.size(words))
     return F.transform(before, lambda n: F.least(F.lit(4), F.floor(n / per_pada) + 1).cast("int"))
 
 
@@ -238,11 +273,19 @@ def refine_boundaries(segments: DataFrame, take: list[str], start: str = "start"
     return joined.withColumn(start, F.col("__start")).withColumn(stop, F.col("__stop")).drop("__k", "__start", "__stop")
 
 
+TURNS_A_TASK = 2000
+
+
 def turn_words(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as takes: their tokens, and those of the turn before as the text that was to be recited."""
+    """Turns as takes: their tokens, and those of the turn before as the text that was to be recited.
+
+    Keys of words take far longer than their bytes say: turns are dealt out by their number.
+    """
     by = W.partitionBy("conv_id").orderBy("turn")
-    t = V.table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(by).alias("ref"))
-    return t.where("ref IS NOT NULL").select("conv_id", "turn", tokens(F.col("text")).alias("heard"), tokens(F.col("ref")).alias("ref"))
+    t = V.table(spark, d, "conversations")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-t.count() // TURNS_A_TASK))
+    t = t.select("conv_id", "turn", "text", F.lag("text").over(by).alias("ref")).where("ref IS NOT NULL").repartition(tasks, "conv_id", "turn")
+    return t.select("conv_id", "turn", tokens(F.col("text")).alias("heard"), tokens(F.col("ref")).alias("ref"))
 
 
 def q_self_corrections(spark: SparkSession, d: str) -> DataFrame:
