@@ -3,7 +3,9 @@
 import struct
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from versewell.functions.trimming import trimmed
 from versewell.operators import signals
 from versewell.sources import audio
@@ -69,3 +71,38 @@ def test_trimmed_recordings(spark, tmp_path):
     a, b = got[1].chunks
     assert a.start == 0 and abs(a.end - (1.5 - 0.88)) < 0.03 and b.start == a.end and b.end is None
     assert audio.header(got[3].content)["n_samples"] == 8000
+
+
+def rss():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_what_is_made_of_a_batch_is_not_held(spark):
+    """400 recordings are one batch; each is made into 2 MB."""
+    df = spark.range(0, 400, 1, 1).select("id", F.lit(audio.encode(tone(220, 0.1), 8000)).alias("content"))
+    made = audio.with_audio(df, "used bigint, made binary", lambda *_: {"used": rss(), "made": b"x" * 2_000_000})
+    used = [r.used for r in made.select("audio.used", F.octet_length("audio.made")).collect()]
+    assert len(used) == 400 and max(used) - min(used) < 400e6
+
+
+def test_recordings_of_events_are_as_sung(spark):
+    """Slices of a batch hold their own learners' notes, with rests where there were errors."""
+    got = {r.recording: audio.decode(r.content)[0] for r in signals.sung(spark, SMALL).collect()}
+    notes = {}
+    for r in spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect():
+        notes.setdefault(r.user_id, []).append((100 + min(r.value, 400), 0.0 if r.event_type == "error" else 0.5))
+    assert set(got) == set(notes)
+    for learner, said in notes.items():
+        hz, loud = (np.repeat([n[k] for n in said], signals.PART) for k in (0, 1))
+        assert np.abs(got[learner] - np.sin(np.cumsum(hz) * (2 * np.pi / signals.RATE)) * loud).max() < 1e-4
+
+
+def test_trimmed_audio_of_events(spark):
+    """Every recording is written once; a transcript of the whole ends with the cut recording."""
+    rows = signals.q_trimmed_audio(spark, SMALL).collect()
+    trim = {r.recording: r for r in signals.q_trim(spark, SMALL).collect()}
+    assert sorted(r.recording for r in rows) == sorted(trim)
+    for r in rows:
+        t = trim[r.recording]
+        assert r.changed == t.changed and abs(r.duration - (t.stop - t.start)) < 2e-4 and abs(r.stop - r.duration) < 2e-4

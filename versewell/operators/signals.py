@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versewell.functions.slices import inside, sliced
 from versewell.functions.trimming import trimmed
 from versewell.plans import views as V
 from versewell.sources import audio as A
 from versewell.sources.documents import scratch_path
 
 RATE, PART = 8000, 320  # samples of one event's tone
+NOTES_BYTES = 1 << 18  # of events whose recordings are made together: their sound takes twenty times as many
 
 
 def sung(spark: SparkSession, d: str) -> DataFrame:
@@ -21,15 +23,17 @@ def sung(spark: SparkSession, d: str) -> DataFrame:
     notes = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", (F.col("event_type") == "error").alias("rest"))))
 
     def run(batch: pa.Array) -> pa.Array:
+        each, places = inside(batch)
+        hz = 100 + np.minimum(each.field("value").to_numpy(zero_copy_only=False), 400)
+        loud = np.where(each.field("rest").fill_null(False).to_numpy(zero_copy_only=False), 0.0, 0.5)
         out = []
-        for x in batch.to_pylist():
-            hz = np.array([100 + min(n["value"], 400) for n in x])
-            loud = np.array([0.0 if n["rest"] else 0.5 for n in x])
-            phase = np.cumsum(np.repeat(hz, PART)) * (2 * np.pi / RATE)
-            out.append(A.encode(np.sin(phase) * np.repeat(loud, PART), RATE))
+        for a, b in places:
+            phase = np.cumsum(np.repeat(hz[a:b], PART)) * (2 * np.pi / RATE)
+            out.append(A.encode(np.sin(phase) * np.repeat(loud[a:b], PART), RATE))
         return pa.array(out, pa.binary())
 
-    return e.groupBy("user_id").agg(notes.alias("n")).select(F.col("user_id").alias("recording"), F.arrow_udf(run, "binary")(F.col("n")).alias("content"))
+    made = sliced(run, "binary", "n", most=NOTES_BYTES)
+    return e.groupBy("user_id").agg(notes.alias("n")).select(F.col("user_id").alias("recording"), made.alias("content"))
 
 
 def q_wav_corpus(spark: SparkSession, d: str) -> DataFrame:
