@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -106,3 +107,25 @@ def test_trimmed_audio_of_events(spark):
     for r in rows:
         t = trim[r.recording]
         assert r.changed == t.changed and abs(r.duration - (t.stop - t.start)) < 2e-4 and abs(r.stop - r.duration) < 2e-4
+
+
+def test_made_recordings_are_headed_in_the_pass_that_makes_them(spark, capsys):
+    r = audio.headers(signals.sung(spark, SMALL), carry=True)
+    r.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1 and r.columns == ["recording", "content", "audio"]
+    plain = {x.recording: (x.content, x.audio) for x in audio.headers(signals.sung(spark, SMALL)).collect()}
+    assert {x.recording: (x.content, x.audio) for x in r.collect()} == plain
+    odd = spark.createDataFrame([(1, b"nonsense"), (2, None)], "k int, content binary")
+    assert [(x.k, x.content, x.audio) for x in audio.headers(odd, carry=True).orderBy("k").collect()] == [(1, b"nonsense", None), (2, None, None)]
+
+
+def test_written_recordings_stand_in_small_groups(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    files = [audio.encode(rng.uniform(-0.5, 0.5, 100_000), 8000) for _ in range(10)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(files)], "k int, content binary").coalesce(1)
+    many = df.crossJoin(spark.range(0, 20, 1, 1)).select((F.col("k") * 20 + F.col("id")).alias("k"), "content")  # 40 MB
+    assert signals.write_trimmed(many, str(tmp_path / "out")).count() == 200
+    meta = [pq.read_metadata(f) for f in (tmp_path / "out").glob("*.parquet")]
+    groups = [m.row_group(g) for m in meta for g in range(m.num_row_groups)]
+    sizes = [(g.num_rows, g.total_byte_size) for g in groups]
+    assert sum(n for n, _ in sizes) == 200 and max(x for _, x in sizes) < 25e6, sizes

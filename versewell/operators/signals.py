@@ -58,6 +58,10 @@ def trim_silence(recordings: DataFrame, content: str = "content", out: str = "tr
     return A.with_audio(recordings, TRIMMED, job, content, out)
 
 
+#: A row is a file: writers hold a group of rows and readers thousands of rows of a group, so groups are kept small.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 10}
+
+
 def write_trimmed(recordings: DataFrame, path: str, content: str = "content", chunks: str | None = None) -> DataFrame:
     """Write recordings without their silence as Parquet and read them back: content, and with ``chunks``
     (array<struct<text, start, end>>) their times moved by what was cut, kept inside the new length."""
@@ -67,7 +71,7 @@ def write_trimmed(recordings: DataFrame, path: str, content: str = "content", ch
     if chunks:
         t = t.withColumn(chunks, F.transform(chunks, lambda c: F.struct(c["text"].alias("text"), inside(c["start"]).alias("start"), inside(c["end"]).alias("end"))))
     kept = [c for c in recordings.columns if c != content]
-    t.select(*kept, F.coalesce("trimmed.content", content).alias(content), F.coalesce("trimmed.changed", F.lit(False)).alias("changed")).write.parquet(path)
+    t.select(*kept, F.coalesce("trimmed.content", content).alias(content), F.coalesce("trimmed.changed", F.lit(False)).alias("changed")).write.options(**SMALL_GROUPS).parquet(path)
     return recordings.sparkSession.read.parquet(path)
 
 
@@ -79,7 +83,7 @@ def q_trim(spark: SparkSession, d: str) -> DataFrame:
 
 def q_trimmed_audio(spark: SparkSession, d: str) -> DataFrame:
     """Trimmed recordings with a transcript of one chunk over the whole, written and read back."""
-    r = A.headers(sung(spark, d)).withColumn("chunks", F.array(F.struct(F.lit("all").alias("text"), F.lit(0.0).alias("start"), F.col("audio.duration").alias("end")))).drop("audio")
+    r = A.headers(sung(spark, d), carry=True).withColumn("chunks", F.array(F.struct(F.lit("all").alias("text"), F.lit(0.0).alias("start"), F.col("audio.duration").alias("end")))).drop("audio")
     t = A.headers(write_trimmed(r, scratch_path(spark), chunks="chunks"))
     return t.select("recording", "changed", F.round("audio.duration", 4).alias("duration"), F.round(F.element_at("chunks", 1)["end"], 4).alias("stop"))
 
